@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, wavelet
+from . import merkle, mixing, packing, quality_rules, sharding, wavelet
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators.
@@ -27,9 +27,33 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_index(wavelet.write_token_files(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+#: Shards of the placement query.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op6_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS)
+
+
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_wavelet_tokens": op3_wavelet_tokens,
+    "op5_quality_divergence": op5_quality_divergence,
+    "op6_lookup_sharding": op6_lookup_sharding,
+    "op8_pareto_mixing": op8_pareto_mixing,
+    "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
