@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing, packing, quality_rules, sharding, wavelet
+from . import html_text, merkle, mixing, packing, quality_rules, sharding, warc, wavelet
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators.
@@ -22,11 +22,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return wavelet.token_index(wavelet.write_token_files(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_block_extraction": op2_block_extraction,
     "op3_wavelet_tokens": op3_wavelet_tokens,
+    "op4_warc_bundles": op4_warc_bundles,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op8_pareto_mixing": op8_pareto_mixing,
