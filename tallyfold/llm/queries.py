@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, merkle, mixing, packing, quality_rules, sharding, warc, wavelet
+from . import html_text, merkle, mixing, near_dedup, packing, quality_rules, sharding, warc, wavelet
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators.
@@ -51,6 +51,10 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_quality_divergence": op5_quality_divergence,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op8_pareto_mixing": op8_pareto_mixing,
+    "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 
