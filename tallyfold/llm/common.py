@@ -57,12 +57,12 @@ class TokenIds:
     while it is remembered.  ``spaced=False`` is for files that lower-case and
     drop white space (chunks are words); ``spaced=True`` for byte-level files,
     where a blank belongs to the word after it (chunks begin before a blank that
-    a non-blank follows).
+    a non-blank follows, and before a line feed between two non-blanks).
     """
 
     #: Chunks and pre-tokens remembered per worker; beyond, the older half goes.
     LIMIT = 1_500_000
-    _blank = re.compile(r" (?:\s|$)")
+    _blanks = re.compile(r"^\s|\s\s|\s$")
     _cut = re.compile(r" (?=\S)")
 
     def __init__(self, path: str, spaced: bool):
@@ -123,7 +123,12 @@ class TokenIds:
             if (known := self.old_chunks.get(key)) is not None:
                 self.chunks[key] = known
                 continue
-            text = key[0] if isinstance(key, tuple) else " " + key if self.spaced else key.decode("utf-8")
+            if isinstance(key, tuple):
+                text = key[0]
+            elif self.spaced:
+                text = key if key[:1] == "\n" else " " + key
+            else:
+                text = key.decode("utf-8")
             cut[key] = parts = self._split(text)
             new.update(parts)
         unknown = []
@@ -149,7 +154,7 @@ class TokenIds:
             lists = []
             for t in texts:
                 text = t.decode("utf-8") if t else ""
-                parts = self._cut.split(text) if self._blank.search(text) else text.split(" ")
+                parts = self._cut.split(text) if self._blanks.search(text) else text.replace("\n", " \n").split(" ")
                 parts[0] = (parts[0],)
                 lists.append(parts)
         else:

@@ -45,8 +45,9 @@ DOCS = "part int, file int, place long, doc_id long, local_start long, n_tokens
 def build_planes(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """Packed bit-planes and the number of zeros in each."""
     planes, zeros = [], []
+    ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for b in range(bits - 1, -1, -1):
-        plane = (ids >> b & 1).astype(bool)
+        plane = ids & ids.dtype.type(1 << b) != 0
         planes.append(np.packbits(plane, bitorder="little"))
         low = ids[~plane]
         zeros.append(len(low))
@@ -97,6 +98,7 @@ class WaveletMatrix:
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
+        i = int(i)
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
@@ -152,14 +154,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane upwards."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            plane = np.unpackbits(np.frombuffer(self._frame(str(k)), np.uint8), bitorder="little", count=self.n).astype(bool)
-            up = np.empty(self.n, np.uint32)
+            plane = np.unpackbits(np.frombuffer(self._frame(str(k)), np.uint8), bitorder="little", count=self.n).view(bool)
+            up = np.empty(self.n, kind)
             up[~plane] = ids[: self.zeros[k]]
-            up[plane] = ids[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            up[plane] = ids[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             ids = up
-        return ids
+        return ids.astype(np.uint32)
 
 
 def write_matrix(uri: str, ids: np.ndarray, ends: list[int], doc_ids: list[int | None], bits: int) -> None:
