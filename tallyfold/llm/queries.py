@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, merkle, mixing, near_dedup, packing, quality_rules, sharding, warc, wavelet
+from . import html_text, kneser_ney, merkle, mixing, near_dedup, packing, quality_rules, sharding, warc, wavelet
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators.
@@ -47,6 +47,10 @@ def op6_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS)
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), kneser_ney.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op4_warc_bundles": op4_warc_bundles,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_lookup_sharding": op6_lookup_sharding,
+    "op7_kneser_ney_quality": op7_kneser_ney_quality,
     "op8_pareto_mixing": op8_pareto_mixing,
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
