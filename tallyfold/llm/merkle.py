@@ -19,7 +19,7 @@ two trees share over the leaves of the larger: 1 for equal texts, 0 for texts
 with nothing in common.
 
 Defined cases: a null text is an empty text, whose tree has one empty leaf;
-repeated rows give repeated results; rows with equal doc_id are ordered by text;
+repeated rows give repeated results; rows with equal doc_id stand in a fixed order;
 null doc_ids come last in descending order; in a table of one row the next
 document is the document itself; other columns are not read.
 """
@@ -31,11 +31,10 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices
+from .common import as_bytes, slices
 
 #: A cut falls after one blank in this many; near: within so many bytes.
 LEAF_EVERY = 8
@@ -122,8 +121,8 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-WALK = OUT + ", part int, kind int, text string"
-RESULT, TAIL, HEAD = 0, 1, 2
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+NO_ID = -(1 << 63)
 
 
 def _compare(doc_id, text: str, own: str, after: str, after_print: str, known: dict) -> tuple:
@@ -136,61 +135,66 @@ def _compare(doc_id, text: str, own: str, after: str, after_print: str, known: d
     return doc_id, n, sha, own, edited_print, likeness(own, edited_print), likeness(own, after_print)
 
 
-def _batch(rows: list[tuple], names: list[str]):
+def _walk(batches):
+    """Each document of a range against the next; the row marked ``ahead`` ends the range."""
     import pyarrow as pa
+    import zstandard
 
-    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64(), "part": pa.int32(), "kind": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.string())) for i, n in enumerate(names)], names)
-
-
-def _walk(batches):
-    """Each document against the next of its partition; the first and last row are handed on."""
-    part, last, names = TaskContext.get().partitionId(), None, [c.split()[0] for c in WALK.split(", ")]
-    none = (None,) * 6
+    unpack = zstandard.ZstdDecompressor().decompress
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    last, over = None, False
     for batch in slices(batches, 256):
         rows, known = [], {}
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = text or ""
+        for doc_id, packed, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "ahead"))):
+            if over:  # further rows ahead that share the doc_id of the first
+                continue
+            text = unpack(packed).decode("utf-8") if packed else ""
             own = fingerprint(text, known)
-            if last is None:
-                rows.append((doc_id, *none, part, HEAD, text))
-            else:
-                rows.append((*_compare(*last, text, own, known), part, RESULT, None))
-            last = doc_id, text, own
+            if last is not None:
+                rows.append(_compare(*last, text, own, known))
+            last, over = (doc_id, text, own), ahead
         if rows:
-            yield _batch(rows, names)
-    if last is not None:
-        yield _batch([(last[0], *none, part, TAIL, last[1])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], NAMES)
 
 
-def _stitch(batches):
-    names = [c.split()[0] for c in OUT.split(", ")]
-    for batch in slices(batches, 64):
-        rows, known = [], {}
-        for doc_id, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after"))):
-            own = fingerprint(text, known)
-            rows.append(_compare(doc_id, text, own, after, fingerprint(after, known), known))
-        if rows:
-            yield _batch(rows, names)
+def _ranges(docs: DataFrame, n: int) -> list[tuple[int, int]]:
+    """(least, greatest) doc_id of at most ``n`` ranges, highest first; reads doc_id only."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    found = ids.repartitionByRange(n, F.desc("id")).groupBy(F.spark_partition_id()).agg(F.min("id"), F.max("id")).collect()
+    return sorted(((r[1], r[2]) for r in found), reverse=True)
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited form (OUT).
 
     The edited text replaces the last third by the beginning of the next document
-    in descending doc_id.  Texts are shuffled once, into ranges of doc_id, and each
-    task walks its range; only the last document of each range, which needs the
-    first of the next one, is joined afterwards (two rows per partition).
+    in descending doc_id.  A first look at doc_id alone sets ranges (as many as
+    ``spark.sql.shuffle.partitions``, one pair of numbers each comes to the driver);
+    then compressed texts are shuffled once, each to its range, and the first
+    document of a range also to the range before it, so that every task can walk
+    its range alone.
     """
-    down = F.desc_nulls_last("doc_id")
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(down).sortWithinPartitions(down, "text")
-    walked = keep(ordered.mapInArrow(_walk, WALK), "merkle")
-    ends = walked.filter(F.col("kind") != RESULT)
-    # one small row per partition with rows: which partition follows which
-    parts = walked.filter(F.col("kind") == HEAD).select("part")
-    follows = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
-    parts = parts.select("part", follows.alias("next_part"))
-    tails = ends.filter(F.col("kind") == TAIL).select("doc_id", "text", "part").join(parts, "part")
-    heads = ends.filter(F.col("kind") == HEAD).select(F.col("part").alias("next_part"), F.col("text").alias("after"))
-    stitched = tails.join(heads, "next_part").select("doc_id", "text", "after").mapInArrow(_stitch, OUT)
-    return walked.filter(F.col("kind") == RESULT).select(*[c.split()[0] for c in OUT.split(", ")]).unionByName(stitched)
+    n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _ranges(docs, n)
+    if not bounds:
+        return docs.sparkSession.createDataFrame([], OUT)
+    lows = np.array([low for low, _ in bounds][::-1], np.int64)
+    heads = {high: (k - 1) % len(bounds) for k, (_, high) in enumerate(bounds)}
+
+    def deal(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            ids = [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
+            packed = [pack(t) if t else None for t in as_bytes(batch.column(1))]
+            part = (len(lows) - np.searchsorted(lows, np.array(ids, np.int64), "right")).tolist()
+            rows = [(i, z, p, False) for i, z, p in zip(ids, packed, part)]
+            rows += [(i, z, heads[i], True) for i, z in zip(ids, packed) if i in heads]
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["id", "packed", "part", "ahead"])
+
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(deal, "id long, packed binary, part int, ahead boolean")
+    ordered = dealt.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("ahead", F.desc("id"), "packed")
+    return ordered.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "packed", "ahead").mapInArrow(_walk, OUT)
