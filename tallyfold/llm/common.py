@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,21 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, verdicts: DataFrame, by: str = "kept") -> DataFrame:
+    """``docs`` less the documents whose verdict (doc_id, ``by``) is false.
+
+    Of rows that share a doc_id (null included) all go or stay: they stay if one does.
+    """
+    per = verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(by).alias("_stay"))
+    out = keep(per.filter("not _stay").select("_id"), "rejected")
+    out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """``bytes.split()`` splits on exactly the six characters excluded by WORD."""
     return text.split() if text else []
