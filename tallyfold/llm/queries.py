@@ -76,4 +76,13 @@ QUERIES = {
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which stands at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLE_SQL: dict[str, str] = {}
