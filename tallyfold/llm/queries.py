@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, kneser_ney, merkle, mixing, near_dedup, packing, quality_rules, sharding, warc, wavelet
 from .common import table
 
-#: Folder of the public tokenizer files; a parameter of the operators.
-try:
-    import public_tokenizers
-
-    tokenizer_path = public_tokenizers.path
-except ImportError:  # the same files at their documented place
-
-    def tokenizer_path(name: str) -> str:
-        return f"/opt/tokenizers/{name}"
+#: Place of a public tokenizer file; a parameter of the operators.
+tokenizer_path = public_tokenizers.path
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
