@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, app: str = "tallyfold", **conf: str) ->
         "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("TALLYFOLD_DRIVER_MEMORY", "8g"),
     }
     for key, value in {**settings, **conf}.items():
