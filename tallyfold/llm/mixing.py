@@ -9,9 +9,9 @@ documents are ranked by random odds over inclusion odds,
 source nearer to its target.  ``u`` is a hash of the doc_id, so reruns agree.
 
 Only DataFrame functions are used.  The ranking never meets in one task: a
-histogram of ranks by (source, bin) finds the bin in which the target falls, the
-running sum is taken inside that bin, and its last document is the cut to which
-every document is compared.
+histogram of ranks by (source, bin) finds the bin in which the target falls, that
+bin is cut into finer ones and so on LEVELS times, the running sum is taken inside
+the last bin, and its last document is the cut to which every document is compared.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; an empty source name is another; rows with equal doc_id share
@@ -30,7 +30,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
-BINS = 1 << 14
+#: Bins of a histogram, and how often the bin of the cut is cut finer.
+BINS = 256
+LEVELS = 3
 
 
 def n_words(text: str = "text") -> Column:
@@ -75,6 +77,12 @@ def _rank(preference: Column | None) -> Column:
     return F.when(F.col("rest") > 0, q / (1 + q)).otherwise(F.lit(1.0))
 
 
+def _place(level: int) -> Column:
+    """The bin of a rank among BINS ** level."""
+    bins = BINS**level
+    return F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1))
+
+
 def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, preference: Column | None = None) -> DataFrame:
     """One row per source: target, certain copies, and the cut for one copy more.
 
@@ -87,13 +95,17 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     targets = targets.withColumn("certain", F.floor(copies).cast("int")).withColumn("rest", copies - F.floor(copies))
     targets = keep(targets.withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size")), "mix-targets")
     ranked = _on_source(sizes.withColumn("odds", random_odds(seed=seed)), targets).withColumn("rank", _rank(preference))
-    ranked = ranked.withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)))
-    bins = ranked.groupBy("source", "wanted", "bin").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("bin"))
-    bins = bins.withColumn("before", upto - F.col("size")).withColumn("upto", upto)
-    edge = bins.filter("upto > wanted").groupBy("source").agg(F.min_by(F.struct("bin", "before"), "bin").alias("edge"))
-    edge = keep(edge.select("source", F.col("edge.bin").alias("edge_bin"), F.col("edge.before").alias("edge_before")), "mix-edges")
-    inside = _on_source(ranked, edge).filter("bin = edge_bin")
+    inside, edge = ranked, None
+    for level in range(1, LEVELS + 1):
+        if edge is not None:
+            inside = _on_source(ranked, edge).filter(_place(level - 1) == F.col("edge_place"))
+        before = F.lit(0).cast("long") if edge is None else F.col("edge_before")
+        bins = inside.groupBy("source", "wanted", before.alias("base"), _place(level).alias("place")).agg(F.sum("size").alias("size"))
+        upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("place"))
+        bins = bins.withColumn("upto", upto).filter("upto > wanted").withColumn("before", F.col("upto") - F.col("size"))
+        edge = bins.groupBy("source").agg(F.min(F.struct("place", "before")).alias("edge"))
+        edge = keep(edge.select("source", F.col("edge.place").alias("edge_place"), F.col("edge.before").alias("edge_before")), "mix-edges")
+    inside = _on_source(ranked, edge).filter(_place(LEVELS) == F.col("edge_place"))
     running = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("edge_before") + F.coalesce(F.sum("size").over(running), F.lit(0))
     taken = inside.filter("rest > 0").withColumn("before", before).filter("before + size / 2.0 <= wanted")
@@ -112,9 +124,9 @@ def copies_of(rows: DataFrame, plan: DataFrame, seed: str = SEED, preference: Co
     """Adds source_size, target and ``copies`` to rows with doc_id and source."""
     extra = [c for c in plan.columns if c != "source"]
     rows = _on_source(rows.withColumn("odds", random_odds(seed=seed)), plan).withColumn("rank", _rank(preference))
-    at = F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1))
+    at = _place(LEVELS)
     upto_cut = F.struct("rank", "doc_id") <= F.col("cut")
-    more = F.when(F.col("rest") <= 0, False).when(F.col("edge_bin").isNull(), True).otherwise((at < F.col("edge_bin")) | ((at == F.col("edge_bin")) & F.coalesce(upto_cut, F.lit(False))))
+    more = F.when(F.col("rest") <= 0, False).when(F.col("edge_place").isNull(), True).otherwise((at < F.col("edge_place")) | ((at == F.col("edge_place")) & F.coalesce(upto_cut, F.lit(False))))
     rows = rows.withColumn("copies", F.col("certain") + more.cast("int"))
     return rows.drop("odds", "rank", *[c for c in extra if c not in ("source_size", "target")])
 
