@@ -122,7 +122,7 @@ def p4_validate_snapshots(spark, d):
 def p6_check_identity(spark, d):
     c = X.load(spark, d, "customer")
     asked = c.select((F.col("c_custkey") % 50).alias("batch"), F.floor(F.col("c_custkey") / 50).alias("position"), F.col("c_custkey").alias("account_id"), F.when(F.col("c_nationkey") > 5, F.concat(F.lit("U_"), "c_custkey")).alias("node_id"))
-    got = asked.select("batch", "position", (F.col("account_id") + F.when(F.col("account_id") % 23 == 0, 1).otherwise(0)).alias("account_id"), F.concat(F.lit("U_"), F.col("account_id") + F.when(F.col("account_id") % 29 == 0, 1).otherwise(0)).alias("node_id")).filter("account_id % 31 <> 0")
+    got = asked.filter("account_id % 31 <> 0").select("batch", "position", (F.col("account_id") + F.when(F.col("account_id") % 23 == 0, 1).otherwise(0)).alias("account_id"), F.concat(F.lit("U_"), F.col("account_id") + F.when(F.col("account_id") % 29 == 0, 1).otherwise(0)).alias("node_id"))
     return V.check_identity(asked, got).select("account_id", "verdict")
 
 
@@ -510,13 +510,13 @@ def _progress(spark, d):
 def t7_forecast(spark, d):
     out = P.forecast(_progress(spark, d))
     hours = ("scan_hours_low", "scan_hours_high", "hours_low", "hours_high", "users_per_hour")
-    return out.select("sample", "basis", "preliminary", "future_low", "future_high", "remaining_low", "remaining_high", *[F.round(h, 4).alias(h) for h in hours])
+    return out.select("sample", "basis", "preliminary", "future_low", "future_high", "remaining_low", "remaining_high", *[F.round(h, 6).alias(h) for h in hours])
 
 
 @query
 def t8_fallback_forecast(spark, d):
     out = P.fallback_forecast(_progress(spark, d))
-    return out.select("sample", "rate_basis", "basis", "total_low", "total_high", "remaining_low", "remaining_high", F.round("hours_low", 4).alias("hours_low"), F.round("hours_high", 4).alias("hours_high"))
+    return out.select("sample", "rate_basis", "basis", "total_low", "total_high", "remaining_low", "remaining_high", F.round("hours_low", 6).alias("hours_low"), F.round("hours_high", 6).alias("hours_high"))
 
 
 @query
