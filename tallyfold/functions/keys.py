@@ -44,13 +44,18 @@ def _walk_fields(blob: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step)
 
 
+def _base64(raw: Column) -> Column:
+    """Base64 in one line, whatever the session says about line breaks."""
+    return F.regexp_replace(F.base64(raw), r"[\r\n]", "")
+
+
 def _strict_base64(text: Column) -> Column:
     """Decoded bytes, null unless encoding them again gives the text (padding optional)."""
     bare = F.rtrim(text, F.lit("="))
     raw = F.try_to_binary(F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4)))), F.lit("base64"))
     padding = F.length(text) - F.length(bare)
     proper = (padding == 0) | (F.length(text) % 4 == 0)
-    return F.when(proper & (F.rtrim(F.base64(raw), F.lit("=")) == bare), raw)
+    return F.when(proper & (F.rtrim(_base64(raw), F.lit("=")) == bare), raw)
 
 
 def _positive_mpint(part: Column) -> Column:
@@ -61,7 +66,7 @@ def _positive_mpint(part: Column) -> Column:
 
 
 def fingerprint_text(digest: Column) -> Column:
-    return F.concat(F.lit("SHA256:"), F.rtrim(F.base64(digest), F.lit("=")))
+    return F.concat(F.lit("SHA256:"), F.rtrim(_base64(digest), F.lit("=")))
 
 
 def parse_keys(df: DataFrame, raw: str) -> DataFrame:
@@ -88,7 +93,7 @@ def parse_keys(df: DataFrame, raw: str) -> DataFrame:
     df = df.withColumn("reason", reason)
     digest = F.unhex(F.sha2(blob, 256))
     good = F.col("reason").isNull()
-    out = {"fingerprint": digest, "text": fingerprint_text(digest), "type": F.col("_type"), "canonical": F.concat_ws(" ", "_type", F.base64(blob))}
+    out = {"fingerprint": digest, "text": fingerprint_text(digest), "type": F.col("_type"), "canonical": F.concat_ws(" ", "_type", _base64(blob))}
     for name, column in out.items():
         df = df.withColumn(name, F.when(good, column))
     return df.drop("_line", "_type", "_blob", "_walk")
