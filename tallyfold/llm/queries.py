@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, kneser_ney, merkle, mixing, near_dedup, packing, quality_rules, sharding, warc, wavelet
 from .common import table
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 #: Place of a public tokenizer file; a parameter of the operators.
 tokenizer_path = public_tokenizers.path
@@ -78,5 +79,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
-
-ORACLE_SQL: dict[str, str] = {}
