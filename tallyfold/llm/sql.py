@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import CLASS_LIMIT, CLASS_MIN_CHARS, COMMON_LIMIT, COMMON_MIN_WORDS, COMMON_WORDS, MIN_WORDS, MOST_REPEATED, N_COMMON, _forms
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP8 = f"""
@@ -37,4 +39,43 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS compone
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLE_SQL = {"op8_pareto_mixing": OP8, "op9_setsketch_dedup": OP9}
+def _op5() -> str:
+    """Long form of the quality rules: one row per document and histogram place."""
+    forms = ", ".join(f"('{lang}', {i}, '{form.decode()}')" for lang, words in COMMON_WORDS.items() for i, w in enumerate(words.split()) for form in _forms(w))
+    # The character classes as patterns, in the order of CLASSES.
+    patterns = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\x20\x09-\x0D", r".,;:?''\"()\-", r"!#$%&*+/<=>@\[\\\]^_`{|}~"]
+    classes = ", ".join(f"length(regexp_replace(t, '[^{x}]', '', 'g'))" for x in patterns)
+
+    def limit(pair: tuple[float, float], n: str) -> str:
+        return f"{pair[0]} + {pair[1]}::DOUBLE / sqrt({n})"
+
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+w8 AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(ws) - 6)) AS u(i)),
+twice AS (SELECT doc_id, g FROM w8 GROUP BY 1, 2 HAVING count(*) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM w8 JOIN twice USING (doc_id, g), range(8) r(k) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+base AS (
+  SELECT doc_id, lang, ws, length(t)::BIGINT AS chars, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, [{classes}] AS cs
+  FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM base),
+forms(lang, i, form) AS (VALUES {forms}),
+found AS (SELECT doc_id, f.i, count(*) AS c FROM (SELECT doc_id, lang, unnest(ws) AS w FROM judged) x JOIN forms f ON f.lang = x.lang AND f.form = x.w GROUP BY 1, 2),
+common AS (
+  SELECT j.doc_id, j.lang, base_failed, i, n_words AS total, coalesce(f.c, 0) AS c FROM judged j CROSS JOIN range({N_COMMON}) r(i) LEFT JOIN found f USING (doc_id, i)
+  UNION ALL SELECT j.doc_id, j.lang, base_failed, {N_COMMON}, n_words, n_words - coalesce((SELECT sum(c) FROM found f WHERE f.doc_id = j.doc_id), 0) FROM judged j),
+class AS (
+  SELECT doc_id, lang, base_failed, i, chars AS total, CASE WHEN i < 6 THEN cs[i + 1] ELSE chars - list_sum(cs) END AS c FROM judged CROSS JOIN range(7) r(i)),
+both_kinds AS (SELECT 'class' AS kind, * FROM class UNION ALL SELECT 'common', * FROM common),
+refs AS (SELECT kind, lang, i, avg(c / total::DOUBLE) AS q FROM both_kinds WHERE NOT base_failed GROUP BY 1, 2, 3),
+parts AS (SELECT kind, doc_id, c / total::DOUBLE AS p, q FROM both_kinds b JOIN refs r USING (kind, i) WHERE b.lang IS NOT DISTINCT FROM r.lang),
+js AS (SELECT kind, doc_id, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS x FROM parts GROUP BY 1, 2)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(chars >= {CLASS_MIN_CHARS} AND a.x > {limit(CLASS_LIMIT, "chars")}, false) OR coalesce(n_words >= {COMMON_MIN_WORDS} AND b.x > {limit(COMMON_LIMIT, "n_words")}, false)) AS kept,
+  round(a.x, 6) AS class_distance, round(b.x, 6) AS common_distance
+FROM judged j LEFT JOIN js a ON a.doc_id = j.doc_id AND a.kind = 'class' LEFT JOIN js b ON b.doc_id = j.doc_id AND b.kind = 'common'
+"""
+
+
+ORACLE_SQL = {"op5_quality_divergence": _op5(), "op8_pareto_mixing": OP8, "op9_setsketch_dedup": OP9}
