@@ -137,6 +137,7 @@ def features(docs: DataFrame) -> DataFrame:
     def measure(batches):
         import pyarrow as pa
 
+
         names = [c.split()[0] for c in FEATURES.split(", ")]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2]
         for batch in slices(batches):
@@ -160,19 +161,19 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _share(counts: str, i: int, total: Column) -> Column:
-    return F.get(F.col(counts), F.lit(i)) / total
+    return F.try_divide(F.get(F.col(counts), F.lit(i)), total)
 
 
 def distance(counts: str, reference: str) -> Column:
     """Jensen-Shannon distance of a histogram to a normalised reference."""
     total = F.aggregate(F.col(counts), F.lit(0).cast("long"), lambda a, x: a + x)
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    part = lambda x, m: F.when(x > 0, x * F.log2(F.try_divide(x, m))).otherwise(F.lit(0.0))
 
     def term(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         return (part(p, m) + part(q, m)) / 2
 
-    shares = F.transform(F.col(counts), lambda c: c / total)
+    shares = F.transform(F.col(counts), lambda c: F.try_divide(c, total))
     terms = F.zip_with(shares, F.col(reference), term)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
@@ -182,7 +183,7 @@ def base_failed() -> Column:
 
 
 def _beyond(distance: str, n: Column, least: int, limit: tuple[float, float]) -> Column:
-    return (n >= least) & (F.col(distance) > limit[0] + limit[1] / F.sqrt(n))
+    return (n >= least) & (F.col(distance) > limit[0] + F.try_divide(F.lit(limit[1]), F.sqrt(n)))
 
 
 def judge(rows: DataFrame) -> DataFrame:
