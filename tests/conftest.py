@@ -35,10 +35,12 @@ def duck():
 
 def rows(frame) -> list[tuple]:
     """Rows with columns in order of name, numbers rounded, sorted."""
+    import pandas as pd
+
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
             return None
         return round(float(x), 4) if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iufb" else str(x)
 
