@@ -33,15 +33,26 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of one Arrow batch between an executor and its Python workers.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what was computed is read again after the loss of an
-    executor instead of being computed again.
+    executor instead of being computed again.  While it is written, Arrow batches
+    are kept small, as whole texts may be long.
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    name, small = BATCH_BYTES
+    before = spark.conf.get(name)
+    spark.conf.set(name, small)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,19 +87,19 @@ class TokenIds:
     a non-blank follows, and before a line feed between two non-blanks).
     """
 
-    #: Chunks and pre-tokens remembered per worker; beyond, the older half goes.
+    #: Chunks, and as many pre-tokens, remembered per worker; beyond, the older half goes.
     LIMIT = 1_500_000
     _blanks = re.compile(r"^\s|\s\s|\s$")
     _cut = re.compile(r" (?=\S)")
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced = spaced
+        self.spaced, self.limit = spaced, limit
         self.vocab_size = self.tokenizer.get_vocab_size()
         # The pre-token patterns of the two kinds of file.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if spaced else r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -162,9 +173,9 @@ class TokenIds:
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text counts as empty."""
-        if len(self.chunks) > self.LIMIT // 2:
+        if len(self.chunks) > self.limit // 2:
             self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.units) > self.LIMIT // 2:
+        if len(self.units) > self.limit // 2:
             self.old_units, self.units = self.units, {}
         if self.spaced:
             lists = []
@@ -185,14 +196,31 @@ class TokenIds:
         yield from map(b"".join, found)
 
 
-_loaded: dict[tuple[str, bool], TokenIds] = {}
+_loaded: dict[tuple[str, bool, int], TokenIds] = {}
 
 
-def token_ids(path: str, spaced: bool) -> TokenIds:
+def token_ids(path: str, spaced: bool, limit: int = TokenIds.LIMIT) -> TokenIds:
     """One per Python worker; workers are reused between tasks."""
-    if (path, spaced) not in _loaded:
-        _loaded[path, spaced] = TokenIds(path, spaced)
-    return _loaded[path, spaced]
+    if (path, spaced, limit) not in _loaded:
+        tidy_worker()
+        _loaded[path, spaced, limit] = TokenIds(path, spaced, limit)
+    return _loaded[path, spaced, limit]
+
+
+def tidy_worker() -> None:
+    """Give back the memory a reused worker holds from tasks of other operators."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _loaded.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batches, rows: int = 512, most_bytes: int = 8 << 20):

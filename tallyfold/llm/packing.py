@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, keep, slices, token_ids
+from .common import TokenIds, as_bytes, keep, slices, token_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -71,13 +71,17 @@ class OpenBins:
         return number, self.capacity - free
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of each document with the checksum of their ids; nothing is shuffled."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, remembered: int = TokenIds.LIMIT) -> DataFrame:
+    """Pieces of each document with the checksum of their ids; nothing is shuffled.
+
+    ``remembered``: chunks of text whose ids a worker keeps; fewer take less memory
+    and more time.
+    """
 
     def encode(batches):
         import pyarrow as pa
 
-        ids_of = token_ids(tokenizer, False)
+        ids_of = token_ids(tokenizer, False, remembered)
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in slices(batches):
             rows = []
@@ -117,6 +121,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return spread.sortWithinPartitions(F.desc("length"), mixed, *pieces.columns).mapInArrow(fill, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, remembered: int = TokenIds.LIMIT) -> DataFrame:
     """Tokenise and pack whole documents; pieces are kept between the two jobs."""
-    return pack(keep(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, open_bins)
+    return pack(keep(token_pieces(docs, tokenizer, end_id, capacity, remembered), "pieces"), capacity, open_bins)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keep, slices
+from .common import as_bytes, keep, slices, tidy_worker
 
 # Common words by language.
 COMMON_WORDS = {
@@ -137,6 +137,7 @@ def features(docs: DataFrame) -> DataFrame:
     def measure(batches):
         import pyarrow as pa
 
+        tidy_worker()
 
         names = [c.split()[0] for c in FEATURES.split(", ")]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2]

@@ -35,6 +35,8 @@ from .files import new_file, open_file
 END_ID = 0
 #: Ids in one file, unless a single document has more.
 SHARD_IDS = 6_000_000
+#: Chunks of text whose ids a worker keeps beside the file it builds.
+REMEMBERED = 1_200_000
 MAGIC = b"WVMATRX1"
 NO_ID = -(1 << 63)
 
@@ -194,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sha
     def write(batches):
         import pyarrow as pa
 
-        ids_of = token_ids(tokenizer, True)
+        ids_of = token_ids(tokenizer, True, REMEMBERED)
         bits = max(1, (max(ids_of.vocab_size - 1, end_id)).bit_length())
         part, number = TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(4, "little")
