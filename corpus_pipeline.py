@@ -36,8 +36,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in training sequences."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces with their place in training sequences.
+
+    Executors hold what earlier stages left in the JVM, so workers remember fewer ids.
+    """
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), remembered=300_000)
 
 
 STAGES = [
