@@ -6,9 +6,10 @@
    smallest member against every other one, never all pairs.
 3. Proposals whose sizes allow the similarity and whose sketches make it likely are
    verified on the full sets, made again from the whole texts.
-4. Links give components.  Buckets that still hold several components are cut finer,
-   by two bands at a time, and propose again, so that a member that is similar to
-   others than the first of its bucket is found.
+4. Links give components.  In a bucket that still holds several components every
+   member's sketch is compared with those of the other components; what may be similar
+   is one family.  Families are cut into blocks by size, and every two blocks compare
+   all their classes on the full sets, so that a pair is found whoever stands first.
 5. Components over all links give the groups; the smallest doc_id is kept.
 
 Defined cases: a text without words (or null) has an empty set and no links; rows
@@ -20,7 +21,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, as_bytes, keep, slices, tidy_worker
@@ -31,8 +32,13 @@ PERCENT = 75
 BAND_ROWS = 4
 #: An estimate below this is five standard deviations under the similarity asked for.
 LEAST_ESTIMATE = 0.56
-#: Bands i and i + 1 ... i + NEXT_BANDS are combined in the second proposal.
-NEXT_BANDS = 4
+#: Equal registers of two similar sets are fewer only beyond five standard deviations.
+LEAST_EQUAL = 70
+#: Larger buckets are cut into parts of about so many members; every two parts meet in a group.
+PART_ROWS = 4096
+#: Bounds of a family's block; two blocks are compared in a task.
+BLOCK_SHINGLES = 500_000
+BLOCK_ROWS = 2000
 
 SIGNATURES = "doc_id long, n_shingles long, digest binary, registers binary"
 
@@ -136,9 +142,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = keep(_propose(bands, ["band", "key"]), "proposals")
     links = keep(_verified(keep(_likely(first, classes), "likely"), docs), "links")
     labels = components(links)
-    again = keep(_second_proposals(bands, labels, first), "proposals")
-    if again.limit(1).count():
-        more = _verified(keep(_likely(again, classes), "likely"), docs)
+    edges = keep(_family_edges(bands, labels, classes), "family edges")
+    if edges.limit(1).count():
+        more = _family_links(components(edges), labels, classes, docs)
         labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(keep(more, "links")))
     labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(copies))
     label = labels.select(F.col("id").alias("doc_id"), "label")
@@ -146,27 +152,145 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _second_proposals(bands: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Proposals across the components that share a bucket, from buckets of two bands."""
+def _groups(batches, keys: list[str]):
+    """Lists of columns, one for each run of equal ``keys`` in sorted batches."""
+    at, held = None, []
+    for batch in batches:
+        columns = batch.to_pydict()
+        rows = list(zip(*(columns[k] for k in keys)))
+        rest = [columns[c] for c in batch.schema.names if c not in keys]
+        i = 0
+        while i < len(rows):
+            j = i
+            while j < len(rows) and rows[j] == rows[i]:
+                j += 1
+            if rows[i] != at:
+                if held:
+                    yield held
+                at, held = rows[i], [[] for _ in rest]
+            for into, column in zip(held, rest):
+                into.extend(column[i:j])
+            i = j
+    if held:
+        yield held
+
+
+def _tasks(df: DataFrame) -> int:
+    """Small rows, much work: as many tasks as configured, not as few as the bytes fill."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _fit(n: np.ndarray, m: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+
+def _spanning(ids: np.ndarray, n: np.ndarray, label: np.ndarray, registers: np.ndarray):
+    """Edges that connect all members with a pair of two labels whose sketches may be similar."""
+    left = np.arange(len(ids))
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            maybe = np.flatnonzero((label[left] != label[i]) & _fit(n[left], n[i]))
+            hit = maybe[(registers[left[maybe]] == registers[i]).sum(1) >= LEAST_EQUAL]
+            if len(hit):
+                found = left[hit].tolist()
+                yield from ((int(ids[i]), int(ids[k])) for k in found)
+                reached += found
+                left = np.delete(left, hit)
+
+
+def _family_edges(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect, bucket by bucket, all classes of two components that may be similar."""
+
+    def connect(batches):
+        import pyarrow as pa
+
+        for ids, n, label, registers in _groups(batches, ["band", "key", "p", "q"]):
+            rows = np.frombuffer(b"".join(registers), np.uint8).reshape(-1, REGISTERS)
+            edges = list(_spanning(np.array(ids), np.array(n), np.array(label), rows))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
+
     rows = bands.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("members > 2 and low <> high").select("band", "key")
-    open_rows = rows.join(mixed, ["band", "key"])
-    per = open_rows.groupBy("id", "n", "label").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
-    n_bands = REGISTERS // BAND_ROWS
-    i, step = F.col("i"), F.col("step")
-    steps = F.explode(F.sequence(F.lit(0), F.lit(n_bands * NEXT_BANDS - 1))).alias("place")
-    finer = per.select("id", "n", "label", "keys", steps).withColumn("i", (F.col("place") / NEXT_BANDS).cast("int")).withColumn("step", F.col("place") % NEXT_BANDS + 1)
-    one, two = F.element_at("keys", i), F.element_at("keys", ((i + step) % n_bands).cast("int"))
-    finer = finer.filter(one.isNotNull() & two.isNotNull()).select("id", "n", "label", "place", F.concat(one, two).alias("key"))
-    # another two heads in every place, so that one dense group doesn't always offer the same
-    drawn = F.struct(F.xxhash64("id", "place").alias("draw"), "id", "n", "label")
-    heads = finer.groupBy("place", "key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).filter("low.id <> high.id")
-    near = finer.join(heads, ["place", "key"])
-    sides = []
-    for head in ("low", "high"):
-        other = near.filter(F.col(f"{head}.label") != F.col("label"))
-        first = F.col(f"{head}.id") < F.col("id")
-        mine, theirs = F.struct(F.col("id").alias("id"), F.col("n").alias("n")), F.struct(F.col(f"{head}.id").alias("id"), F.col(f"{head}.n").alias("n"))
-        sides.append(other.select(F.when(first, theirs).otherwise(mine).alias("x"), F.when(first, mine).otherwise(theirs).alias("y")))
-    pairs = sides[0].union(sides[1]).select(F.col("x.id").alias("a"), F.col("x.n").alias("n_a"), F.col("y.id").alias("b"), F.col("y.n").alias("n_b"))
-    return pairs.filter(_sizes_fit("n_a", "n_b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = mixed.filter("members > 2 and low <> high").select("band", "key", F.ceil(F.col("members") / PART_ROWS).alias("parts"))
+    part, other = F.pmod(F.xxhash64("id"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    met = rows.join(mixed, ["band", "key"]).withColumn("part", part).select("*", other)
+    met = met.select("band", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "label")
+    met = met.join(classes.select("id", "n", "registers"), ["id", "n"]).select("band", "key", "p", "q", "id", "n", "label", "registers")
+    keys = ["band", "key", "p", "q"]
+    return met.repartition(_tasks(bands), *keys).sortWithinPartitions(*keys).mapInArrow(connect, "a long, b long").distinct()
+
+
+def _similar(side: np.ndarray, ids: np.ndarray, label: np.ndarray, texts: list[bytes | None]):
+    """Linked pairs of two blocks (side 0 with side 1) or of one block (side 0 only).
+
+    All intersections are counted: shingles of many sets in a matrix product, the
+    others by the pairs of sets that hold them.
+    """
+    hashes, sizes = shingle_sets(texts)
+    full = sizes > 0  # a row of an equal doc_id may be empty
+    side, ids, label, sizes = side[full], ids[full], label[full], sizes[full]
+    first, total = int((side == 0).sum()), len(ids)
+    low = first if first < total else 0
+    shared = np.zeros((first, total - low), np.int32)
+    known, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(total), sizes)
+    many = max(16, total // 16)
+    order = np.flatnonzero((times[place] > 1) & (times[place] < many))
+    order = order[np.argsort(place[order], kind="stable")]
+    token, at = place[order], doc[order]
+    for lag in range(1, many):
+        k = np.flatnonzero(token[lag:] == token[:-lag])
+        if not len(k):
+            break
+        i, j = at[k], at[k + lag]
+        inside = (i < first) & (j >= low)
+        np.add.at(shared.reshape(-1), i[inside] * (total - low) + j[inside] - low, 1)
+    often = np.flatnonzero(times >= many)
+    column = np.full(len(known), -1)
+    column[often] = np.arange(len(often))
+    column = column[place]
+    for c in range(0, len(often), 2048):
+        held = (column >= c) & (column < c + 2048)
+        cells = np.zeros((total, min(2048, len(often) - c)), np.float32)
+        cells[doc[held], column[held] - c] = 1
+        shared += (cells[:first] @ cells[low:].T).astype(np.int32)
+    for i in range(first):
+        js = np.arange(low or i + 1, total)
+        both = shared[i, js - low].astype(np.int64)
+        good = js[(label[js] != label[i]) & (100 * both >= PERCENT * (sizes[i] + sizes[js] - both))]
+        yield from ((int(ids[i]), int(ids[j])) for j in good)
+
+
+def _family_links(families: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from all pairs of each family, block by block."""
+
+    def compare(batches):
+        import pyarrow as pa
+
+        tidy_worker()
+
+        for side, ids, label, texts in _groups(slices(batches, 256, 2 << 20), ["family", "p", "q"]):
+            links = list(_similar(np.array(side), np.array(ids), np.array(label), [t and t.encode() for t in texts]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    member = families.select("id", F.col("label").alias("family"))
+    rows = member.join(classes.select("id", "n"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    weight = F.col("n") + BLOCK_SHINGLES // BLOCK_ROWS
+    before = F.sum(weight).over(Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)) - weight
+    rows = keep(rows.withColumn("block", F.floor(before / BLOCK_SHINGLES)), "family blocks")
+    spans = rows.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    p = spans.select("family", F.col("block").alias("p"), "high")
+    q = spans.select("family", F.col("block").alias("q"), "low")
+    met = p.join(q, "family").filter((F.col("p") <= F.col("q")) & (100 * F.col("high") >= PERCENT * F.col("low"))).select("family", "p", "q")
+    sides = met.select("family", F.col("p").alias("block"), "p", "q", F.lit(0).alias("side")).union(met.filter("p < q").select("family", F.col("q").alias("block"), "p", "q", F.lit(1).alias("side")))
+    ids = keep(rows.select(F.col("id").alias("doc_id")).distinct(), "needed")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+    keys = ["family", "p", "q"]
+    out = rows.join(texts, "id").join(sides, ["family", "block"]).select(*keys, "side", "id", "label", "text")
+    return out.repartition(_tasks(docs), *keys).sortWithinPartitions(*keys, "side").mapInArrow(compare, "a long, b long").distinct()
