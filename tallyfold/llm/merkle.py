@@ -9,10 +9,11 @@ Each node is the hash of its children's hashes; the root is a SHA-256.
 The fingerprint is text::
 
     root:<64 hex>;<sections>    sections joined by "/", each
-    <paragraphs>                paragraphs joined by ".", each the base64 of its
-                                leaves' 18-bit hashes, three characters a leaf
+    <node>:<paragraphs>         paragraphs joined by ".", each
+    <node>=<leaves>             base64 of the leaves' 48-bit hashes, eight
+                                characters a leaf; nodes are 96 bits, sixteen
 
-so the tree's inner nodes follow from it, equal texts have equal fingerprints,
+so it holds the tree's inner nodes, equal texts have equal fingerprints,
 unequal roots mean unequal texts, and comparing two trees top-down finds the
 branches, and so the places, that differ.  ``likeness`` is the number of leaves
 two trees share over the leaves of the larger: 1 for equal texts, 0 for texts
@@ -40,7 +41,8 @@ from .common import as_bytes, slices
 LEAF_EVERY = 8
 NEAR_EVERY = 3
 NEAR_BYTES = 96
-LEAF_CHARS = 3
+LEAF_CHARS = 8
+LEAF_BYTES, NODE_BYTES = 6, 12
 
 
 def _leaves(line: bytes) -> list[bytes]:
@@ -58,14 +60,13 @@ def _leaves(line: bytes) -> list[bytes]:
 
 
 def _line_hash(line: bytes, known: dict) -> tuple[bytes, bytes]:
-    """(hash of the paragraph node, its leaves' short hashes in one string)."""
+    """(hash of the paragraph node, the node as shown with its leaves)."""
     got = known.get(line)
     if got is None:
         full = [hashlib.blake2b(leaf, digest_size=16).digest() for leaf in _leaves(line)]
         node = hashlib.blake2b(b"".join(full), digest_size=16, person=b"paragraph").digest()
-        shown = bytearray(base64.b64encode(b"".join(h[:3] for h in full), b"-_"))
-        del shown[3::4]  # 18 of 24 bits
-        known[line] = got = node, bytes(shown)
+        shown = base64.b64encode(node[:NODE_BYTES], b"-_") + b"=" + base64.b64encode(b"".join(h[:LEAF_BYTES] for h in full), b"-_")
+        known[line] = got = node, shown
     return got
 
 
@@ -82,14 +83,22 @@ def fingerprint(text: str, known: dict | None = None) -> str:
     for section in sections:
         got = [_line_hash(line, known) for line in section]
         nodes.append(hashlib.blake2b(b"".join(n for n, _ in got), digest_size=16, person=b"section").digest())
-        shown.append(b".".join(s for _, s in got))
+        shown.append(base64.b64encode(nodes[-1][:NODE_BYTES], b"-_") + b":" + b".".join(s for _, s in got))
     root = hashlib.sha256(b"".join(nodes)).hexdigest()
     return f"root:{root};" + b"/".join(shown).decode()
 
 
+def _tree(print_: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(node, paragraphs) of each section; a paragraph is (node, leaves in one string)."""
+    out = []
+    for section in print_.partition(";")[2].split("/"):
+        node, _, paragraphs = section.partition(":")
+        out.append((node, [tuple(p.split("=")) for p in paragraphs.split(".") if p]))
+    return out
+
+
 def leaves_of(print_: str) -> list[str]:
-    body = print_.partition(";")[2].replace("/", ".").split(".")
-    return [p[i : i + LEAF_CHARS] for p in body for i in range(0, len(p), LEAF_CHARS)]
+    return [p[i : i + LEAF_CHARS] for _, paragraphs in _tree(print_) for _, p in paragraphs for i in range(0, len(p), LEAF_CHARS)]
 
 
 def likeness(a: str, b: str) -> float:
@@ -107,16 +116,16 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
     """(section, paragraph, leaf) of ``a`` that ``b`` doesn't hold at its place, found top-down."""
     if a[:69] == b[:69]:
         return []
-    trees = [[s.split(".") for s in t.partition(";")[2].split("/")] for t in (a, b)]
+    ours, theirs = _tree(a), _tree(b)
     out = []
-    for i, section in enumerate(trees[0]):
-        other = trees[1][i] if i < len(trees[1]) else []
-        if section == other:
+    for i, (node, section) in enumerate(ours):
+        there, other = theirs[i] if i < len(theirs) else ("", [])
+        if node == there:
             continue
-        for j, para in enumerate(section):
-            there = other[j] if j < len(other) else ""
+        for j, (para, leaves) in enumerate(section):
+            there, held = other[j] if j < len(other) else ("", "")
             if para != there:
-                out += [(i, j, k // LEAF_CHARS) for k in range(0, len(para), LEAF_CHARS) if para[k : k + LEAF_CHARS] != there[k : k + LEAF_CHARS]]
+                out += [(i, j, k // LEAF_CHARS) for k in range(0, len(leaves), LEAF_CHARS) if leaves[k : k + LEAF_CHARS] != held[k : k + LEAF_CHARS]]
     return out
 
 

@@ -286,3 +286,13 @@ def test_merkle_tree_locates_edits():
     assert x != y and {(s, p) for s, p, _ in merkle.differing(x, y)} == {(0, 1)}
     assert merkle.fingerprint(a) == x and merkle.likeness(x, x) == 1 and 0 < merkle.likeness(x, y) < 1
     assert len({merkle.fingerprint(t) for t in ("", "\n", "a", "a\n", "a\n\n", "a\nb", "a\n\nb", "a b")}) == 8
+
+
+def test_merkle_unrelated_long_texts():
+    """Leaves of unrelated texts of 120,000 words don't meet by chance; nodes are in the fingerprint."""
+    long = lambda name: "\n".join(" ".join(f"{name}{i}x{k}" for k in range(40)) for i in range(3000))
+    a, b = merkle.fingerprint(long("a")), merkle.fingerprint(long("b"))
+    assert merkle.likeness(a, b) < 1e-4
+    x, y = (merkle.fingerprint(t).partition(";")[2] for t in ("one two\n\nthree four", "one two\n\nthree 4"))
+    assert x.split("/")[0] == y.split("/")[0]
+    assert x.split("/")[1].partition(":")[0] != y.split("/")[1].partition(":")[0]
