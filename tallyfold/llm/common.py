@@ -1,13 +1,8 @@
-"""Helpers shared by the operators: tables, scratch tables, words, token ids."""
+"""Helpers shared by the operators: tables, scratch tables, words, batches."""
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
-from array import array
-from collections.abc import Iterator
-from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,135 +71,8 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-class TokenIds:
-    """Ids of texts under a byte-pair file of the tokenizers library, as bytes.
-
-    A text is cut into chunks where the pre-tokenizer cuts in any context, a
-    chunk into pre-tokens, and the library encodes each distinct pre-token once
-    while it is remembered.  ``spaced=False`` is for files that lower-case and
-    drop white space (chunks are words); ``spaced=True`` for byte-level files,
-    where a blank belongs to the word after it (chunks begin before a blank that
-    a non-blank follows, and before a line feed between two non-blanks).
-    """
-
-    #: Chunks, and as many pre-tokens, remembered per worker; beyond, the older half goes.
-    LIMIT = 1_500_000
-    _blanks = re.compile(r"^\s|\s\s|\s$")
-    _cut = re.compile(r" (?=\S)")
-
-    def __init__(self, path: str, spaced: bool, limit: int = LIMIT):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced, self.limit = spaced, limit
-        self.vocab_size = self.tokenizer.get_vocab_size()
-        # The pre-token patterns of the two kinds of file.
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if spaced else r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-        self.units_of = regex.compile(pattern).findall
-        self.chunks: dict[bytes | str, bytes] = {}
-        self.old_chunks: dict[bytes | str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.old_units: dict[str, bytes] = {}
-
-    def _split(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk, or the chunk itself where folding could move a cut."""
-        if self.spaced:
-            return self.units_of(chunk)
-        low = chunk.lower()
-        if len(low) == len(chunk) and (low.isascii() or is_normalized("NFC", low)) and "\u03c2" not in low:
-            return self.units_of(low)
-        return [chunk]
-
-    def _learn_units(self, units: list[str]) -> None:
-        """Letter runs go to the library in one text, anything else one by one."""
-        import numpy as np
-
-        lead = [u for u in units if self.spaced and u[0] == " " and u[1:].isalpha()]
-        plain = [u for u in units if u.isalpha()]
-        alone = [u for u in units if not u.isalpha() and not (self.spaced and u[0] == " " and u[1:].isalpha())]
-        for some, glue, step in ((lead, "", 1), (plain, "\n" if self.spaced else " ", 2 if self.spaced else 1)):
-            for at in range(0, len(some), 5_000):
-                part = some[at : at + 5_000]
-                got = self.tokenizer.encode(glue.join(part), add_special_tokens=False)
-                ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-                if not len(word) or word[-1] != step * (len(part) - 1):
-                    alone += part
-                    continue
-                starts = np.searchsorted(word, np.arange(len(part)) * step).tolist()
-                ends = np.searchsorted(word, np.arange(len(part)) * step, "right").tolist()
-                raw = ids.tobytes()
-                for u, x, y in zip(part, starts, ends):
-                    self.units[u] = raw[4 * x : 4 * y]
-        for at in range(0, len(alone), 5_000):
-            part = alone[at : at + 5_000]
-            for u, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.units[u] = array("I", got.ids).tobytes()
-
-    def _learn(self, missing: set) -> None:
-        """``missing``: chunks without the blank they begin with, or, in a tuple, a text's first chunk."""
-        cut, new = {}, set()
-        for key in missing:
-            if (known := self.old_chunks.get(key)) is not None:
-                self.chunks[key] = known
-                continue
-            if isinstance(key, tuple):
-                text = key[0]
-            elif self.spaced:
-                text = key if key[:1] == "\n" else " " + key
-            else:
-                text = key.decode("utf-8")
-            cut[key] = parts = self._split(text)
-            new.update(parts)
-        unknown = []
-        for u in new:
-            if u not in self.units:
-                if (known := self.old_units.get(u)) is not None:
-                    self.units[u] = known
-                else:
-                    unknown.append(u)
-        if unknown:
-            self._learn_units(unknown)
-        get = self.units.__getitem__
-        for key, parts in cut.items():
-            self.chunks[key] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; a null text counts as empty."""
-        if len(self.chunks) > self.limit // 2:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.units) > self.limit // 2:
-            self.old_units, self.units = self.units, {}
-        if self.spaced:
-            lists = []
-            for t in texts:
-                text = t.decode("utf-8") if t else ""
-                parts = self._cut.split(text) if self._blanks.search(text) else text.replace("\n", " \n").split(" ")
-                parts[0] = (parts[0],)
-                lists.append(parts)
-        else:
-            lists = [words_of(t) for t in texts]
-        get = self.chunks.get
-        found = [list(map(get, words)) for words in lists]
-        missing = {w for words, got in zip(lists, found) if None in got for w, g in zip(words, got) if g is None}
-        if missing:
-            self._learn(missing)
-            get = self.chunks.__getitem__
-            found = [[get(w) if g is None else g for w, g in zip(words, got)] if None in got else got for words, got in zip(lists, found)]
-        yield from map(b"".join, found)
-
-
-_loaded: dict[tuple[str, bool, int], TokenIds] = {}
-
-
-def token_ids(path: str, spaced: bool, limit: int = TokenIds.LIMIT) -> TokenIds:
-    """One per Python worker; workers are reused between tasks."""
-    if (path, spaced, limit) not in _loaded:
-        tidy_worker()
-        _loaded[path, spaced, limit] = TokenIds(path, spaced, limit)
-    return _loaded[path, spaced, limit]
+#: What operators remember in a Python worker from task to task.
+worker_memory: dict = {}
 
 
 def tidy_worker() -> None:
@@ -214,7 +82,7 @@ def tidy_worker() -> None:
 
     import pyarrow as pa
 
-    _loaded.clear()
+    worker_memory.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

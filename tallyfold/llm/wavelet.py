@@ -2,16 +2,19 @@
 
 One file holds the ids of consecutive documents (ascending doc_id).  A wavelet
 matrix stores a sequence as one bit-plane per bit of an id, most significant
-first; each plane is stably sorted by its bits before the next.  Planes are
-compressed one by one; ranks are rebuilt on opening from a popcount per 64-bit
-word, so access, counting and occurrence lookup all work from the one file.
+first; each plane is stably sorted by its bits before the next.  A plane is cut
+into blocks of BLOCK_BITS bits, each compressed by itself, and the ones before
+every block are stored, so access, rank and select read one block a plane and
+count bits inside it only.
 
 File layout, integers little-endian::
 
-    planes      one zstd frame per plane, ceil(n / 8) bytes of packed bits
+    blocks      one zstd frame per block of each plane, packed bits
+    samples     one zstd frame, int64 (planes, blocks + 1): ones before each block
+    places      one zstd frame, int64 (planes, blocks + 1): offset of each block
     ends        one zstd frame, int64 end position of each document
-    doc ids     one zstd frame, int64 doc_id of each document (null: minimum)
-    directory   JSON: n, docs, bits, zeros per plane, (offset, size) of each frame
+    doc_ids     one zstd frame, int64 doc_id of each document (null: minimum)
+    directory   JSON: n, docs, bits, block bits, zeros per plane, (offset, size) of the four tables
     footer      uint64 directory size, 8-byte magic
 
 Defined cases: a null or empty text is the end id alone; rows with equal doc_id
@@ -23,21 +26,27 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keep, scratch, slices, token_ids
+from .common import as_bytes, keep, scratch, slices
 from .files import new_file, open_file
+from .tokens import token_ids
 
 END_ID = 0
 #: Ids in one file, unless a single document has more.
 SHARD_IDS = 6_000_000
-#: Chunks of text whose ids a worker keeps beside the file it builds.
-REMEMBERED = 1_200_000
-MAGIC = b"WVMATRX1"
+#: Pre-tokens whose ids a worker keeps beside the file it builds.
+REMEMBERED = 700_000
+#: Bits of one block, a multiple of 64.
+BLOCK_BITS = 1 << 19
+#: Blocks an open file keeps in memory.
+OPEN_BLOCKS = 64
+MAGIC = b"WVMATRX2"
 NO_ID = -(1 << 63)
 
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
@@ -58,7 +67,7 @@ def build_planes(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int
 
 
 class WaveletMatrix:
-    """Access, rank and select over one file; planes are read when first needed."""
+    """Access, rank and select over one file; blocks are read when needed."""
 
     def __init__(self, uri: str):
         self.file = open_file(uri)
@@ -68,35 +77,42 @@ class WaveletMatrix:
             raise ValueError(f"not a wavelet-matrix file: {uri}")
         length = int.from_bytes(tail[:8], "little")
         head = json.loads(self._read(size - 16 - length, length))
-        self.n, self.bits, self.zeros, self.frames = head["n"], head["bits"], head["zeros"], head["frames"]
-        self._planes: dict[int, tuple] = {}
-        self.ends = np.frombuffer(self._frame("ends"), "<i8")
-        self.doc_ids = np.frombuffer(self._frame("doc_ids"), "<i8")
+        self.n, self.bits, self.block, self.zeros, self.tables = head["n"], head["bits"], head["block"], head["zeros"], head["tables"]
+        self.samples, self.places = (self._table(t).reshape(self.bits, -1) for t in ("samples", "places"))
+        self.ends, self.doc_ids = self._table("ends"), self._table("doc_ids")
+        self._open: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
 
     def _read(self, at: int, size: int) -> bytes:
         self.file.seek(at)
         return self.file.read(size)
 
-    def _frame(self, name: str) -> bytes:
+    def _table(self, name: str) -> np.ndarray:
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompress(self._read(*self.frames[name]))
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._read(*self.tables[name])), "<i8")
 
-    def _plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bits of a plane as 64-bit words, ones before each word)."""
-        if k not in self._planes:
-            raw = self._frame(str(k))
-            words = np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
-            ranks = np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.bitwise_count(words), out=ranks[1:])
-            self._planes[k] = words, ranks
-        return self._planes[k]
+    def _words(self, k: int, block: int) -> np.ndarray:
+        """A block of plane ``k`` as 64-bit words."""
+        import zstandard
+
+        words = self._open.get((k, block))
+        if words is None:
+            at, end = self.places[k, block : block + 2].tolist()
+            words = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._read(at, end - at)), "<u8")
+            self._open[k, block] = words
+            if len(self._open) > OPEN_BLOCKS:
+                self._open.popitem(last=False)
+        self._open.move_to_end((k, block))
+        return words
 
     def _ones(self, k: int, i: int) -> int:
         """Ones among the first ``i`` bits of plane ``k``."""
-        words, ranks = self._plane(k)
-        w, b = divmod(i, 64)
-        return int(ranks[w]) + ((int(words[w]) & ((1 << b) - 1)).bit_count() if b else 0)
+        block, rest = divmod(i, self.block)
+        ones = int(self.samples[k, block])
+        if rest:
+            words, (w, b) = self._words(k, block), divmod(rest, 64)
+            ones += int(np.bitwise_count(words[:w]).sum()) + (int(words[w]) & (1 << b) - 1).bit_count()
+        return ones
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
@@ -105,8 +121,8 @@ class WaveletMatrix:
             raise IndexError(i)
         value = 0
         for k in range(self.bits):
-            words, _ = self._plane(k)
-            bit = int(words[i // 64]) >> i % 64 & 1
+            block, rest = divmod(i, self.block)
+            bit = int(self._words(k, block)[rest // 64]) >> rest % 64 & 1
             ones = self._ones(k, i)
             i = self.zeros[k] + ones if bit else i - ones
             value = value << 1 | bit
@@ -131,35 +147,42 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _up(self, k: int, bit: int, wanted: np.ndarray) -> np.ndarray:
+        """Positions in plane ``k`` of the bits ``bit`` with the ascending numbers ``wanted``."""
+        before = self.samples[k] if bit else np.minimum(np.arange(self.samples.shape[1]) * self.block, self.n) - self.samples[k]
+        blocks = np.searchsorted(before, wanted, "right") - 1
+        out = np.empty_like(wanted)
+        for block in np.unique(blocks).tolist():
+            here = blocks == block
+            bits = np.unpackbits(self._words(k, block).view(np.uint8), bitorder="little")
+            out[here] = block * self.block + np.flatnonzero(bits == bit)[wanted[here] - before[block]]
+        return out
+
+    def _positions(self, token: int, numbers: np.ndarray) -> np.ndarray:
+        """Positions of the occurrences of ``token`` with ascending ``numbers``."""
+        at = self._span(token, 0, self.n)[0] + numbers
+        for k in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - k) & 1
+            at = self._up(k, bit, at - self.zeros[k] if bit else at)
+        return at
+
     def select(self, token: int, k: int) -> int:
         """Position of occurrence ``k`` (from 0) of ``token``."""
-        first, last = self._span(token, 0, self.n)
-        if not 0 <= k < last - first:
+        if not 0 <= k < self.count(token):
             raise IndexError(k)
-        at = first + k
-        for p in range(self.bits - 1, -1, -1):
-            bit = token >> (self.bits - 1 - p) & 1
-            wanted = at - self.zeros[p] if bit else at
-            lo, hi = 0, self.n  # the least position with wanted + 1 equal bits up to it
-            while lo < hi:
-                mid = (lo + hi) // 2
-                ones = self._ones(p, mid + 1)
-                if (ones if bit else mid + 1 - ones) > wanted:
-                    hi = mid
-                else:
-                    lo = mid + 1
-            at = lo
-        return at
+        return int(self._positions(token, np.array([k], np.int64))[0])
 
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+    def occurrences(self, token: int) -> np.ndarray:
+        """Ascending positions of ``token``, all looked up together plane by plane."""
+        return self._positions(token, np.arange(self.count(token)))
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane upwards."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         ids = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            plane = np.unpackbits(np.frombuffer(self._frame(str(k)), np.uint8), bitorder="little", count=self.n).view(bool)
+            raw = b"".join(self._words(k, b).tobytes() for b in range(self.samples.shape[1] - 1))
+            plane = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.n).view(bool)
             up = np.empty(self.n, kind)
             up[~plane] = ids[: self.zeros[k]]
             up[plane] = ids[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
@@ -167,21 +190,30 @@ class WaveletMatrix:
         return ids.astype(np.uint32)
 
 
-def write_matrix(uri: str, ids: np.ndarray, ends: list[int], doc_ids: list[int | None], bits: int) -> None:
+def write_matrix(uri: str, ids: np.ndarray, ends: list[int], doc_ids: list[int | None], bits: int, block_bits: int = BLOCK_BITS) -> None:
     import zstandard
 
     planes, zeros = build_planes(ids, bits)
-    parts = {str(k): p.tobytes() for k, p in enumerate(planes)}
-    parts["ends"] = np.array(ends, "<i8").tobytes()
-    parts["doc_ids"] = np.array([NO_ID if x is None else x for x in doc_ids], "<i8").tobytes()
-    frames, at = {}, 0
+    pack, size, at = zstandard.ZstdCompressor(level=1).compress, block_bits // 8, 0
+    samples, places, tables = [], [], {}
     with new_file(uri) as out:
-        for name, raw in parts.items():
-            packed = zstandard.ZstdCompressor(level=1).compress(raw)
+
+        def put(raw: bytes) -> tuple[int, int]:
+            nonlocal at
+            packed = pack(raw)
             out.write(packed)
-            frames[name] = (at, len(packed))
             at += len(packed)
-        head = json.dumps({"n": len(ids), "docs": len(ends), "bits": bits, "zeros": zeros, "frames": frames}).encode()
+            return at - len(packed), len(packed)
+
+        for plane in planes:
+            plane = np.concatenate((plane, np.zeros(-len(plane) % 8, np.uint8)))
+            parts = [plane[i : i + size] for i in range(0, len(plane), size)]
+            places.append([put(p.tobytes())[0] for p in parts] + [at])
+            samples.append(np.concatenate(([0], np.cumsum([int(np.bitwise_count(p).sum()) for p in parts]))))
+        whole = {"samples": samples, "places": places, "ends": ends, "doc_ids": [NO_ID if x is None else x for x in doc_ids]}
+        for name, rows in whole.items():
+            tables[name] = put(np.array(rows, "<i8").tobytes())
+        head = json.dumps({"n": len(ids), "docs": len(ends), "bits": bits, "block": block_bits, "zeros": zeros, "tables": tables}).encode()
         out.write(head + len(head).to_bytes(8, "little") + MAGIC)
 
 
@@ -199,26 +231,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sha
         ids_of = token_ids(tokenizer, True, REMEMBERED)
         bits = max(1, (max(ids_of.vocab_size - 1, end_id)).bit_length())
         part, number = TaskContext.get().partitionId(), 0
-        end = end_id.to_bytes(4, "little")
         held, ends, doc_ids, total, rows = [], [], [], 0, []
 
         def close():
             nonlocal held, ends, doc_ids, total, number
             if ends:
                 path = f"{folder}/part-{part:06d}-{number:04d}.wvm"
-                write_matrix(path, np.frombuffer(b"".join(held), "<u4"), ends, doc_ids, bits)
+                write_matrix(path, np.concatenate(held), ends, doc_ids, bits)
                 rows.append((part, number, path, len(ends), total))
                 number += 1
                 held, ends, doc_ids, total = [], [], [], 0
 
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.encode(as_bytes(batch.column(1)))):
-                if total and total + len(ids) // 4 + 1 > shard_ids:
+        for batch in slices(batches, 4096):
+            ids, counts = ids_of.encode(as_bytes(batch.column(1)))
+            upto = np.cumsum(counts)
+            ids = np.insert(ids.astype(np.uint16 if bits <= 16 else np.uint32), upto, end_id)
+            begin = 0
+            for doc_id, stop in zip(batch.column(0).to_pylist(), (upto + np.arange(1, len(upto) + 1)).tolist()):
+                if total and total + stop - begin > shard_ids:
                     close()
-                held += (ids, end)
-                total += len(ids) // 4 + 1
+                held.append(ids[begin:stop])
+                total += stop - begin
                 ends.append(total)
                 doc_ids.append(doc_id)
+                begin = stop
         close()
         for row in rows:
             yield pa.RecordBatch.from_pylist([dict(zip(("part", "file", "path", "n_docs", "n_tokens"), row))], schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
