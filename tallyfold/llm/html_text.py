@@ -1,32 +1,41 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides blocks: bad
-where they stand in boilerplate elements (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) or are mostly links, good where they are long
-and dense in stop words, bad where they are long without stop words; the rest,
-short or in between, is ambiguous.  In the second pass an ambiguous block takes
-the label of its nearest decided neighbours: good between two good ones, else
-that of the nearer one (the one before on a tie of distance is asked first, and
-good wins only if it is as near).
-
-A page that marks its article (``article`` or ``main``) decides more: blocks
-outside are bad, and blocks inside are good unless they are boilerplate or links,
-whatever their length or stop words.
+A page is cut into blocks at block-level tags in one pass, linear in its length.
+The first pass decides blocks: bad where they are mostly links or stand in
+boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments),
+good where they are long enough and dense in stop words, bad where they are long
+without stop words; the rest is ambiguous.  In the second pass an ambiguous block
+takes the label of the nearest decided block of its region, before or after it.
+
+A region is the whole page, or, on a page that marks its article (``article`` or
+``main``), the article: blocks outside are bad then, and inside blocks without stop
+words (tables, code) are ambiguous and not bad.  Boilerplate is cut out beforehand
+and nobody's neighbour.  Where a good and a bad block are equally near, a heading
+goes with the block after it and any other block is good if it holds a stop word;
+where the region has no decided block, everything in a marked article is good and
+everything elsewhere bad.  In a language without a list of stop words length and
+links decide.
+
+Class names mark boilerplate unless the element holds the article or, comments
+aside, more than half of the page's text.
 
 Text inside a block has its character references decoded and its white space
 turned into single blanks; kept blocks are joined by line feeds.
 
 Defined cases: null or empty html gives an empty text of 0 characters; unclosed
-tags close with their parents, a tag cut off at the end of the page is dropped; a
-page without any good block has the empty text; repeated rows are extracted one by
-one; an empty table gives an empty result; other columns are not read.
+tags close with their parents; a tag cut off at the end of the page is dropped;
+unclosed scripts, styles, titles and text areas reach to the end of the page, other
+silent elements without an end tag hold nothing; a page without any good block has
+the empty text; repeated rows are extracted one by one; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from bisect import bisect
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +52,14 @@ STOP_WORDS = {
 # Elements by their part in the layout.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template textarea title svg math iframe object select canvas audio video".split())
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SILENT_TAGS = frozenset("noscript template svg object select canvas audio video".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BOILERPLATE_TAGS = frozenset("nav footer aside header form menu button dialog".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login toolbar pagination pager".split())
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: A class like "has-sidebar" speaks of something else on the page.
+NOT_OF_ITSELF = frozenset("has with no without show hide".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 MAX_LINK_DENSITY = 0.33
@@ -55,11 +69,25 @@ STOP_LOW, STOP_HIGH = 0.20, 0.30
 
 _stop = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 _all_stop = frozenset().union(*_stop.values())
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z|<|[^<]+", re.S)
-_attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_until_value = re.compile(r"[^>=]*")
+_blank = re.compile(r"\s*")
+_attribute = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-_html_lang = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _word = re.compile(r"\w+")
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
+_silent_end = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SILENT_TAGS}
+
+
+@dataclass(slots=True)
+class Region:
+    """An element whose class or id says boilerplate, and what was found in it."""
+
+    parent: Region | None
+    comments: bool
+    chars: int = 0
+    holds_article: bool = False
+    bad: bool = False
 
 
 @dataclass(slots=True)
@@ -69,152 +97,258 @@ class Block:
     boilerplate: bool
     in_article: bool
     heading: bool
+    region: Region | None = None
+
+
+def tag_end(page: str, at: int) -> int:
+    """Position after the ``>`` of a tag that begins before ``at``; -1 if it is cut off."""
+    begin = at
+    while True:
+        at = _until_value.match(page, at).end()
+        if at == len(page):
+            return -1
+        if page[at] == ">":
+            return at + 1
+        at = _blank.match(page, at + 1).end()
+        if page[at : at + 1] in ('"', "'"):
+            end = page.find(page[at], at + 1)
+            if end < 0:  # a quote that never ends: the first bracket ends the tag
+                return page.find(">", begin) + 1 or -1
+            at = end + 1
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(text)} if "=" in text else {}
+
+
+def _says_boilerplate(names: str) -> set[str]:
+    """Boilerplate words in the values of class and id."""
+    out = set()
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        out.update(w for i, w in enumerate(words) if w in BOILERPLATE_WORDS and not (i and words[i - 1] in NOT_OF_ITSELF))
+    return out
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BOILERPLATE_TAGS:
-        return True
-    if not attributes:
-        return False
-    if tag in ("html", "body", "article", "main"):
-        return False
-    for m in _attribute.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "role" and value in BOILERPLATE_ROLES or name == "style" and _hidden.search(value) or name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "=", attributes)))
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # (tag, whether boilerplate begins here)
-    text: list[str] = []
-    state = {"bad": 0, "article": 0, "a": 0, "links": 0, "br": 0}
-
-    def end_block() -> None:
-        whole = " ".join(html.unescape("".join(text)).split())
+@dataclass(slots=True)
+class _Reader:
+    """State of the pass over one page."""
+
+    page: str
+    blocks: list[Block] = field(default_factory=list)
+    regions: list[Region] = field(default_factory=list)
+    lang: str | None = None
+    stack: list[tuple] = field(default_factory=list)  # (tag, flagged, region before it)
+    at_blocks: list[int] = field(default_factory=list)  # places of block elements in the stack
+    open: dict[str, int] = field(default_factory=dict)  # open elements by tag
+    flagged: list[tuple[str, bool]] = field(default_factory=list)  # (tag, in article) of boilerplate elements
+    silent: int = 0
+    region: Region | None = None
+    text: list[str] = field(default_factory=list)
+    link_chars: int = 0
+    breaks: int = 0
+    closings: dict[str, list[int]] = field(default_factory=dict)
+
+    def in_article(self) -> bool:
+        return bool(self.open.get("article") or self.open.get("main"))
+
+    def end_block(self) -> None:
+        whole = " ".join(html.unescape("".join(self.text)).split())
         if whole:
-            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack)
-            kinds = [t for t, flagged in stack if flagged]
+            heading = any(self.open.get(h) for h in HEADINGS)
             # the heading of an article may stand in the article's own header
-            own = state["article"] and heading and kinds == ["header"] and stack.index(("header", True)) > min(i for i, (t, _) in enumerate(stack) if t in ("article", "main"))
-            out.append(Block(whole, state["links"], state["bad"] > 0 and not own, state["article"] > 0, heading))
-        text.clear()
-        state["links"] = 0
-        state["br"] = 0
-
-    def pop_to(k: int) -> None:
-        while len(stack) > k:
-            tag, flagged = stack.pop()
-            state["bad"] -= flagged
-            state["article"] -= tag in ("article", "main")
-            state["a"] -= tag == "a"
-
-    at, silent = 0, re.compile("")
-    while m := _token.match(page, at):
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                text.append(piece)
-                if state["a"]:
-                    state["links"] += len("".join(piece.split()))
-                if not piece.isspace():
-                    state["br"] = 0
-            continue
-        tag, closing, attributes = tag.lower(), bool(m[1]), m[3] or ""
-        if tag == "br":
-            state["br"] += 1
-            text.append(" ")
-            if state["br"] == 2:
-                end_block()
-            continue
-        block = tag in BLOCK_TAGS
-        if block:
-            end_block()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-            continue
-        if tag in SILENT_TAGS and not attributes.rstrip().endswith("/"):
-            silent = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
-            found = silent.search(page, at)
-            at = found.end() if found else len(page)
-            continue
-        if tag in VOID_TAGS or attributes.rstrip().endswith("/"):
-            continue
-        if block and stack and stack[-1][0] == "p":
-            pop_to(len(stack) - 1)
-        elif block:
-            # an unclosed paragraph with inline elements open ends here as well
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] not in BLOCK_TAGS:
+            own = heading and self.flagged == [("header", True)]
+            self.blocks.append(Block(whole, self.link_chars, bool(self.flagged) and not own, self.in_article(), heading, self.region))
+            if self.region:
+                self.region.chars += len(whole)
+        self.text.clear()
+        self.link_chars = self.breaks = 0
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, flagged, region = self.stack.pop()
+            self.open[tag] -= 1
+            self.silent -= tag in SILENT_TAGS
+            self.region = region
+            if flagged:
+                self.flagged.pop()
+            if self.at_blocks and self.at_blocks[-1] == len(self.stack):
+                self.at_blocks.pop()
+
+    def close(self, tag: str) -> None:
+        if self.open.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
                 k -= 1
-            if k >= 0 and stack[k][0] == "p" or k >= 0 and tag == "li" and stack[k][0] == "li":
-                pop_to(k)
-        flagged = _is_boilerplate(tag, attributes, state["article"] > 0)
-        stack.append((tag, flagged))
-        state["bad"] += flagged
-        state["article"] += tag in ("article", "main")
-        state["a"] += tag == "a"
-    end_block()
-    return out
+            self.pop_to(k)
+
+    def push(self, tag: str, text: str) -> None:
+        values = _attributes(text)
+        if tag == "html":
+            self.lang = self.lang or values.get("lang")
+        flagged = tag in BOILERPLATE_TAGS or values.get("role") in BOILERPLATE_ROLES or values.get("aria-hidden") == "true"
+        flagged = flagged or bool(_hidden.search(values.get("style", "")))
+        flagged = flagged or "hidden" in text and "hidden" in _attribute.sub(" ", text).lower().split()
+        region = self.region
+        if tag in ("article", "main"):
+            if region:
+                region.holds_article = True
+        elif tag not in ("html", "body") and values and (words := _says_boilerplate(f"{values.get('class', '')} {values.get('id', '')}")):
+            self.region = Region(region, not words.isdisjoint(COMMENT_WORDS))
+            self.regions.append(self.region)
+        self.stack.append((tag, flagged, region))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.silent += tag in SILENT_TAGS
+        if flagged:
+            self.flagged.append((tag, self.in_article()))
+        if tag in BLOCK_TAGS:
+            self.at_blocks.append(len(self.stack) - 1)
+
+    def ends_later(self, tag: str, at: int) -> bool:
+        if tag not in self.closings:
+            self.closings[tag] = [m.start() for m in _silent_end[tag].finditer(self.page)]
+        return bisect(self.closings[tag], at) < len(self.closings[tag])
+
+    def start(self, tag: str, text: str, at: int) -> int:
+        """Handles a start tag that ends at ``at``; returns where to go on."""
+        if tag == "br":
+            self.breaks += 1
+            self.text.append(" ")
+            if self.breaks == 2:
+                self.end_block()
+            return at
+        empty = text.rstrip().endswith("/")
+        if tag in RAW_TAGS and not empty:
+            end = _raw_end[tag].search(self.page, at)
+            return end.start() if end else len(self.page)
+        if tag in BLOCK_TAGS:
+            self.end_block()
+            # an unclosed paragraph or list item ends here
+            last = self.stack[self.at_blocks[-1]][0] if self.at_blocks else None
+            if last == "p" or tag == last == "li":
+                self.pop_to(self.at_blocks[-1])
+        if not (tag in VOID_TAGS or empty or tag in SILENT_TAGS and not self.ends_later(tag, at)):
+            self.push(tag, text)
+        return at
+
+    def read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            mark = page.find("<", at)
+            mark = n if mark < 0 else mark
+            kind = page[mark + 1 : mark + 2]
+            stop = mark
+            if mark < n and not (kind.isascii() and kind.isalpha() or kind in ("/", "!", "?") and kind):
+                stop = mark + 1  # a bracket that begins no tag
+            if stop > at:
+                if not self.silent:
+                    piece = page[at:stop]
+                    self.text.append(piece)
+                    if self.open.get("a"):
+                        self.link_chars += len("".join(piece.split()))
+                    if self.breaks and not piece.isspace():
+                        self.breaks = 0
+                at = stop
+                continue
+            if page.startswith("<!--", mark):
+                end = page.find("-->", mark + 2)
+                at = n if end < 0 else end + 3
+                continue
+            name = _name.match(page, mark + (2 if kind == "/" else 1))
+            end = tag_end(page, name.end()) if name else page.find(">", mark) + 1 or -1
+            if end < 0:
+                break
+            at = end
+            if name:
+                tag = name[0].lower()
+                if kind == "/":
+                    if tag in BLOCK_TAGS:
+                        self.end_block()
+                    self.close(tag)
+                else:
+                    at = self.start(tag, page[name.end() : end - 1], end)
+        self.end_block()
+
+
+def blocks_of(page: str) -> tuple[list[Block], str | None]:
+    """(blocks with text in page order, language the page states)."""
+    reader = _Reader(page)
+    reader.read()
+    total = sum(len(b.text) for b in reader.blocks)
+    for region in reversed(reader.regions):
+        if region.parent:
+            region.parent.chars += region.chars
+            region.parent.holds_article |= region.holds_article
+    for region in reader.regions:
+        own = not region.holds_article and (region.comments or 2 * region.chars <= total)
+        region.bad = own or bool(region.parent and region.parent.bad)
+    for block in reader.blocks:
+        block.boilerplate |= bool(block.region and block.region.bad)
+    return reader.blocks, reader.lang
 
 
 GOOD, BAD, AMBIGUOUS = 1, 0, None
 
 
-def first_pass(block: Block, stop: frozenset, marked: bool) -> int | None:
-    """Label of a block by itself."""
+def first_pass(block: Block, stop: frozenset | None, marked: bool) -> tuple[int | None, bool]:
+    """(label of a block by itself, whether it holds a stop word)."""
     n = len(block.text)
-    if block.boilerplate or marked and not block.in_article:
-        return BAD
+    words = _word.findall(block.text.lower()) if stop else []
+    held = sum(w in stop for w in words)
+    density = held / len(words) if words else 0.0
     if block.link_chars > MAX_LINK_DENSITY * max(1, n - block.text.count(" ")):
-        return BAD
-    if marked:
-        return GOOD
-    words = _word.findall(block.text.lower())
-    density = sum(w in stop for w in words) / len(words) if words else 0.0
+        return BAD, held > 0
     if n < SHORT_CHARS:
-        return BAD if block.link_chars else AMBIGUOUS
+        return BAD if block.link_chars and not marked else AMBIGUOUS, held > 0
+    if stop is None:
+        return GOOD if n > LONG_CHARS else AMBIGUOUS, False
+    if marked:
+        return GOOD if density >= STOP_LOW else AMBIGUOUS, held > 0
     if density >= STOP_HIGH:
-        return GOOD if n > LONG_CHARS else AMBIGUOUS
-    if density >= STOP_LOW:
-        return AMBIGUOUS
-    return BAD
+        return GOOD if n > LONG_CHARS else AMBIGUOUS, held > 0
+    return AMBIGUOUS if density >= STOP_LOW else BAD, held > 0
+
 
+def second_pass(labels: list[int | None], leans: list[int | None], alone: int = BAD) -> list[int]:
+    """Ambiguous blocks inherit from the nearest decided block of their region.
 
-def second_pass(labels: list[int | None]) -> list[int]:
-    """Ambiguous blocks inherit from their nearest decided neighbours."""
+    ``leans``: the label of a block between a good and a bad one equally near; None
+    for the label of the one after it.  ``alone``: what they are where none is decided.
+    """
     n = len(labels)
-    before: list[tuple[int, int]] = []
-    last = (n + 1, BAD)
-    for label in labels:
-        last = (0, label) if label is not None else (last[0] + 1, last[1])
-        before.append(last)
-    out, last = [BAD] * n, (n + 1, BAD)
-    for i in range(n - 1, -1, -1):
-        last = (0, labels[i]) if labels[i] is not None else (last[0] + 1, last[1])
-        (a, left), (b, right) = before[i], last
-        out[i] = left if left == right or a < b else right
+    far = (n + 1, None)
+
+    def nearest(order) -> list[tuple]:
+        out, last = [far] * n, far
+        for i in order:
+            last = (0, labels[i]) if labels[i] is not None else (last[0] + 1, last[1])
+            out[i] = last
+        return out
+
+    out = []
+    for (a, before), (b, after), lean in zip(nearest(range(n)), nearest(range(n - 1, -1, -1)), leans):
+        if before is None and after is None:
+            out.append(alone)
+        elif before is None or after is None:
+            out.append(after if before is None else before)
+        elif before == after or a != b:
+            out.append(before if a <= b else after)
+        else:
+            out.append(after if lean is None else lean)
     return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    m = _html_lang.search(page)
-    stop = _stop.get(m[1].lower()[:2], _all_stop) if m else _all_stop
+    blocks, lang = blocks_of(page)
+    stop = _stop.get(lang[:2]) if lang else _all_stop
     marked = any(b.in_article and not b.boilerplate for b in blocks)
-    labels = second_pass([first_pass(b, stop, marked) for b in blocks])
-    return "\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
+    region = [b for b in blocks if not b.boilerplate and (b.in_article or not marked)]
+    first = [first_pass(b, stop, marked) for b in region]
+    leans = [None if b.heading else GOOD if held else BAD for b, (_, held) in zip(region, first)]
+    labels = second_pass([label for label, _ in first], leans, GOOD if marked else BAD)
+    return "\n".join(b.text for b, label in zip(region, labels) if label == GOOD)
 
 
 OUT = "page_id long, url string, text string, n_chars long"
