@@ -59,14 +59,35 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_custkey").alias("account_id"), name.alias("login"), F.col("o_orderdate").alias("observed_at"), F.col("o_orderkey").alias("tie"))
 
 
+def _field(digits: Column, size: int) -> Column:
+    """A length-prefixed field of ``size`` bytes as hexadecimal digits."""
+    return F.concat(F.lit(f"{size:08X}"), digits)
+
+
+def _named(text: str) -> Column:
+    return F.lit(f"{len(text):08X}{text.encode().hex()}")
+
+
 def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An authorized-key line per customer: some with comments, some cut, some shared."""
-    c = F.col("c_custkey")
-    seed = F.when(c % 13 == 0, c - 1).otherwise(c)
-    whole = F.concat(F.lit("0000000B"), F.hex(F.lit("ssh-ed25519")), F.lit("00000020"), F.sha2(F.concat(F.lit("k"), seed.cast("string")), 256))
-    cut = F.when(c % 11 == 0, F.substring(whole, 1, 94)).otherwise(whole)
-    line = F.concat(F.lit("ssh-ed25519 "), F.base64(F.unhex(cut)), F.when(c % 5 == 0, F.concat(F.lit(" user"), c)).otherwise(""))
-    return load(spark, sf_dir, "customer").select(c.alias("account_id"), line.alias("raw"), F.timestamp_seconds(c % 1000).alias("observed_at"))
+    """A key value per customer: twelve kinds, good and broken, some shared, some no key at all."""
+    c, seed, kind, own = F.col("c_custkey"), F.col("seed"), F.col("seed") % 12, F.col("own")
+    rows = load(spark, sf_dir, "customer").select("c_custkey", F.when(c % 13 == 0, c - 1).otherwise(c).alias("seed"))
+    digits = lambda letter: F.sha2(F.concat(F.lit(letter), seed.cast("string")), 256)
+    rows = rows.select("*", F.inline(F.array(F.struct(digits("k").alias("own"), digits("l").alias("more")))))
+    edwards = F.concat(_named("ssh-ed25519"), _field(own, 32))
+    rsa = F.concat(_named("ssh-rsa"), F.lit("00000003010001"), _field(F.concat(F.lit("00C5"), own, "more"), 66))
+    point = _field(F.concat(F.lit("04"), own, "more"), 65)
+    rest = "0" * 15 + "7" + "00000001" + "00000002" + b"id".hex() + "0" * 8 + "0" * 32 + "0" * 24 + "00000001AB" + "00000001CD"
+    signed = F.concat(_named("ssh-ed25519-cert-v01@openssh.com"), F.lit("000000016E"), _field(own, 32), F.lit(rest))
+    curve = lambda name: F.concat(_named("ecdsa-sha2-nistp256"), _named(name), point)
+    kinds = [edwards] * 4 + [rsa, rsa, curve("nistp256"), signed, curve("nistp384"), F.concat(_named("ssh-ed25519"), _named("abc")), F.substring(edwards, 1, 98), edwards]
+    blob = F.when(c % 55 == 0, F.concat(_named("ssh-foo"), _field(own, 32))).otherwise(F.get(F.array(*kinds), kind.cast("int")))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.regexp_replace(F.base64(F.unhex(blob)), "[\r\n]", "").alias("coded")))))
+    coded = F.when(c % 35 == 0, F.concat(F.lit("*"), "coded")).when(kind == 5, F.rtrim("coded", F.lit("="))).otherwise(F.col("coded"))
+    before = F.when(kind == 2, 'no-pty,command="a \\"b c\\" d" ').when(kind == 3, "# note\n\n").otherwise("")
+    line = F.concat(F.lit("key "), coded, F.when(c % 5 == 0, F.concat(F.lit(" user"), c)).otherwise(""), F.lit("\n"))
+    raw = F.concat(before, F.repeat(line, F.when(kind == 11, 2).otherwise(1)))
+    return rows.select(c.alias("account_id"), raw.alias("raw"), F.timestamp_seconds(c % 1000).alias("observed_at"))
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,25 @@ login_history AS (
     lower(l.login) = lower(any_value(b.latest)) AS present
   FROM logins l JOIN (SELECT account_id, max_by(login, (observed_at, tie)) AS latest FROM logins GROUP BY 1) b USING (account_id)
   GROUP BY 1, 2)"""
-LINES = """lines AS (
-  SELECT c_custkey AS account_id, c_custkey % 1000 AS observed_at, c_custkey % 11 <> 0 AS good,
-    '0000000B' || hex('ssh-ed25519') || '00000020' || sha256('k' || CASE WHEN c_custkey % 13 = 0 THEN c_custkey - 1 ELSE c_custkey END) AS hx
-  FROM customer),
+LINES = """seeds AS (
+  SELECT c_custkey AS account_id, c_custkey % 1000 AS observed_at, CASE WHEN c_custkey % 13 = 0 THEN c_custkey - 1 ELSE c_custkey END AS seed FROM customer),
+bodies AS (
+  SELECT *, seed % 12 AS kind, sha256('k' || seed) AS own, sha256('k' || seed) || sha256('l' || seed) AS longer,
+    '0000000B' || hex('ssh-ed25519') || '00000020' || sha256('k' || seed) AS edwards FROM seeds),
+lines AS (
+  SELECT account_id, observed_at,
+    CASE WHEN account_id % 55 = 0 OR kind < 4 THEN edwards
+      WHEN kind IN (4, 5) THEN '00000007' || hex('ssh-rsa') || '00000003010001' || '0000004200C5' || longer
+      WHEN kind = 6 THEN '00000013' || hex('ecdsa-sha2-nistp256') || '00000008' || hex('nistp256') || '0000004104' || longer
+      WHEN kind = 7 THEN '00000020' || hex('ssh-ed25519-cert-v01@openssh.com') || '000000016E' || '00000020' || own || '0000000000000007' || '00000001'
+        || '00000002' || hex('id') || '00000000' || repeat('0', 32) || repeat('00000000', 3) || '00000001AB' || '00000001CD' ELSE edwards END AS hx,
+    CASE kind WHEN 4 THEN 'ssh-rsa' WHEN 5 THEN 'ssh-rsa' WHEN 6 THEN 'ecdsa-sha2-nistp256' WHEN 7 THEN 'ssh-ed25519-cert-v01@openssh.com' ELSE 'ssh-ed25519' END AS type,
+    CASE WHEN account_id % 35 = 0 OR account_id % 55 = 0 AND kind = 5 THEN 'invalid base64' WHEN account_id % 55 = 0 THEN 'unknown type' WHEN kind IN (8, 9) THEN 'invalid key body'
+      WHEN kind = 10 THEN 'broken framing' WHEN kind = 11 THEN 'more than one key' END AS reason
+  FROM bodies),
+good_lines AS (SELECT * FROM lines WHERE reason IS NULL),
 keys AS (SELECT *, sha256(unhex(hx)) AS fingerprint, 'SHA256:' || rtrim(base64(unhex(sha256(unhex(hx)))), '=') AS text,
-  'ssh-ed25519 ' || base64(unhex(hx)) AS canonical FROM lines WHERE good)"""
+  type || ' ' || base64(unhex(hx)) AS canonical FROM good_lines)"""
 ATTEMPTS = """attempts AS (
   SELECT event_id AS job_id, user_id AS account_id, ts AS "at", (event_id % 7 + 1)::INT AS attempts,
     (['rate_limit', 'gateway', 'auth', 'timeout', 'shape'])[event_id % 5 + 1] AS kind,
@@ -115,11 +128,16 @@ ORACLE_SQL: dict[str, str] = {
     "s9_users_export": _with(HISTORY) + """SELECT o.account_id, o.login, 'https://example.org/' || o.login AS url, epoch(o.first_seen_at)::BIGINT AS first_seen_at,
       count(h.key) AS n_keys, sum(h.key)::BIGINT AS key_sum, count(*) FILTER (WHERE h.present) AS n_present
       FROM owners o LEFT JOIN history h USING (account_id) GROUP BY 1, 2, 3, 4""",
-    "p1_normalize_keys": _with(LINES) + "SELECT account_id, fingerprint, text, 'ssh-ed25519' AS type, canonical FROM keys",
-    "p2_key_rejects": _with(LINES) + "SELECT account_id, 'broken framing' AS reason FROM lines WHERE NOT good",
+    "p1_normalize_keys": _with(LINES) + "SELECT account_id, fingerprint, text, type, canonical FROM keys",
+    "p2_key_rejects": _with(LINES) + "SELECT account_id, reason FROM lines WHERE reason IS NOT NULL",
     "p3_normalize_fingerprints": _with(LINES) + "SELECT account_id, CASE WHEN account_id % 4 < 3 THEN text END AS normal FROM keys",
     "p4_validate_snapshots": _with(LINES) + """, g AS (
-      SELECT account_id // 3 AS batch, count(*) AS n, count(*) FILTER (WHERE NOT good) AS bad, count(DISTINCT CASE WHEN good THEN hx END) AS d FROM lines GROUP BY 1)
+      SELECT account_id // 3 AS batch, count(*) AS n, count(*) FILTER (WHERE reason IS NOT NULL) AS bad, count(DISTINCT CASE WHEN reason IS NULL THEN hx END) AS d, count(*) FILTER (WHERE account_id % 19 IN (0, 1)) AS wrong FROM lines GROUP BY 1)
+      SELECT batch, n, CASE WHEN bad > 0 THEN 'malformed key' WHEN wrong > 0 THEN 'fingerprint differs' WHEN d < n THEN 'duplicate key'
+        WHEN batch % 14 <> 0 AND batch % 7 = 0 THEN 'total differs on last page'
+        WHEN batch % 14 = 0 AND batch % 28 <> 0 THEN 'more pages without cursor or keys' END AS reason FROM g""",
+    "p5_normalize_rest_snapshots": _with(LINES) + """, g AS (
+      SELECT account_id // 3 AS batch, count(*) AS n, count(*) FILTER (WHERE reason IS NOT NULL) AS bad, count(DISTINCT CASE WHEN reason IS NULL THEN hx END) AS d FROM lines GROUP BY 1)
       SELECT batch, n, CASE WHEN bad > 0 THEN 'malformed key' WHEN d < n THEN 'duplicate key'
         WHEN batch % 14 <> 0 AND batch % 7 = 0 THEN 'total differs on last page'
         WHEN batch % 14 = 0 AND batch % 28 <> 0 THEN 'more pages without cursor or keys' END AS reason FROM g""",
