@@ -1,21 +1,26 @@
 """Quality classifier: interpolated modified Kneser-Ney over character n-grams.
 
-Training text is the trusted documents, all of them.  One pass over all documents
-counts the grams of trusted text and names the grams of all text; the count tables
-are aggregated and joined by (language, gram), so they are sharded over the
-cluster whatever their size: continuation counts, counts of counts, discounts and
-back-off weights for each order are aggregations of the table of the order above.
-Every gram that occurs gets its probability by joins against these tables, lower
-orders where it was not seen.  A second pass sums the probabilities of each
-document: with the table of needed grams in every task if its size allows, else by
-a join of document grams with the table.
-
-A document's perplexity per symbol is drawn towards its language's mean as if
-PRIOR symbols more had been seen, which keeps very short texts undecided, and is
-compared to a limit from quantiles of the trusted documents of its language.
+Trusted documents are dealt by a hash of their text: one in HELD_OUT is held out,
+the others teach the model, all of them.  One pass over all documents counts the
+grams of teaching text and names the grams of all text; the count tables are
+aggregated and joined by (language, gram), so they are sharded over the cluster
+whatever their size: continuation counts, counts of counts, discounts and back-off
+weights of each order are aggregations of the table of the order above.  Every gram
+that occurs gets its cost, minus the logarithm of its probability in units of
+1 / UNIT rounded to a whole number, by joins against these tables, lower orders
+where it was not seen.  A second pass sums the costs of each document: with the
+table of needed grams in every task if it has at most BROADCAST_GRAMS rows, else by
+a join of document grams with the table.  Sums of whole numbers don't depend on
+their order, so both ways and all reruns give the same result to the last digit.
+
+A document's cost per symbol is drawn towards its language's mean as if PRIOR
+symbols more had been seen, which keeps very short texts undecided, and rounded to
+1 / RATES of a nat.  The limit is the QUANTILE of the held-out documents of its
+language, read off a histogram of these rates, or their mean and DEVIATIONS standard
+deviations where that is higher, as in languages with few held-out documents.
 
 Defined cases: a null or empty text has no perplexity and is kept, as is a text in
-a language without trusted documents (nothing is known against it); a null
+a language without held-out documents (nothing is known against it); a null
 language is a language of its own; repeated rows are judged one by one; documents
 with a null doc_id are never trusted; empty tables give empty results.
 """
@@ -23,20 +28,20 @@ with a null doc_id are never trusted; empty tables give empty results.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, as_bytes, keep, slices, tidy_worker, words_of
-from .ngrams import BITS, ORDER, GramCounts, GramScores, gram_runs
+from .common import BROADCAST_IDS, as_bytes, keep, slices, tidy_worker
+from .ngrams import BITS, ORDER, GramCounts, gram_runs, text_costs
 
 #: Rows of the table of needed grams that each task may hold (12 bytes each).
 BROADCAST_GRAMS = 4_000_000
+HELD_OUT = 5
 PRIOR = 200
-QUANTILES = (0.5, 0.99)
-#: The limit is the median plus so many times the way from it to the upper quantile,
-#: and at least so many times the median.
-REACH = 5.0
-LEAST_RATIO = 1.75
+QUANTILE = 0.99
+DEVIATIONS = 3.0
+UNIT = 1 << 20
+RATES = 1000
 
 
 def _suffix(order: int) -> Column:
@@ -49,28 +54,26 @@ def _context() -> Column:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) from rows (lang, text, trusted); n is 0 for grams not in trusted text."""
+    """(lang, gram, n) from rows (lang, text, teaches); n is 0 for grams not in teaching text."""
 
     def count(batches):
         import pyarrow as pa
 
         tidy_worker()
-
-        names = ["lang", "gram", "n"]
         held = GramCounts()
 
         def out():
             for lang, grams, n in held.take():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(grams), np.int32))), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-        for batch in slices(batches):
-            for lang, text, trusted in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                held.add(lang, trusted, words_of(text))
+        for batch in slices(batches, 1024, 1 << 20):
+            held.add(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist())
             if held.full():
                 yield from out()
         yield from out()
+        tidy_worker()
 
-    rows = docs.select("lang", F.col("text").cast("string"), "trusted").mapInArrow(count, "lang string, gram long, n long")
+    rows = docs.select("lang", F.col("text").cast("string"), "teaches").mapInArrow(count, "lang string, gram long, n long")
     return keep(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
@@ -110,7 +113,8 @@ def train(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     model = []
     for order in range(1, ORDER + 1):
         rows = _on_lang(counts[order], _discounts(counts[order]))
-        contexts = rows.groupBy("lang", _context().alias("gram")).agg(F.sum("n").alias("total"), F.sum(_discount()).alias("held_back"))
+        many = [F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3) * F.first(f"d{k}") for k in (1, 2, 3)]
+        contexts = rows.groupBy("lang", _context().alias("gram")).agg(F.sum("n").alias("total"), (many[0] + many[1] + many[2]).alias("held_back"))
         contexts = keep(contexts.select("lang", "gram", "total", (F.col("held_back") / F.col("total")).alias("backoff")), "contexts")
         rows = _on_gram(rows, contexts, _context(), "inner")
         if order == 1:
@@ -142,29 +146,37 @@ def probabilities(needed: DataFrame, model: list, order: int = ORDER) -> DataFra
     return keep(known.unionByName(rest), "probabilities")
 
 
+def gram_costs(table: DataFrame) -> DataFrame:
+    """(lang, gram, cost) from (lang, gram, p)."""
+    return table.select("lang", "gram", F.round(-F.log("p") * UNIT).cast("long").alias("cost"))
+
+
+SCORES = "doc_id long, lang string, held boolean, cost long, n long"
+
+
 def _scores_in_tasks(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, lang, log_p, n) with the whole table in each task."""
+    """SCORES with the whole table in each task."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    rows = table.select("lang", "gram", F.log("p").cast("float").alias("log_p")).toArrow()
+    rows = table.toArrow()
     tables = {}
     for lang in pc.unique(rows["lang"]).to_pylist():
         own = rows.filter(pc.is_null(rows["lang"]) if lang is None else pc.equal(rows["lang"], lang))
-        grams, logs = own["gram"].to_numpy(), own["log_p"].to_numpy()
+        grams, costs = own["gram"].to_numpy(), own["cost"].to_numpy().astype(np.int32)
         order = np.argsort(grams)
-        tables[lang] = grams[order], logs[order]
+        tables[lang] = grams[order], costs[order]
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def score(batches):
         tidy_worker()
-        scores = GramScores(shared.value)
-        for batch in slices(batches):
-            got = [scores.score(lang, words) if (words := words_of(text)) else None for lang, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)))]
-            columns = [batch.column(0), batch.column(1), pa.array([g and g[0] for g in got], pa.float64()), pa.array([g and g[1] for g in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "log_p", "n"])
+        for batch in slices(batches, 1024, 1 << 20):
+            got = text_costs(shared.value, batch.column(1).to_pylist(), as_bytes(batch.column(3)))
+            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array([g and g[k] for g in got], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "held", "cost", "n"])
+        tidy_worker()
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(score, "doc_id long, lang string, log_p double, n long")
+    return docs.select("doc_id", "lang", "held", "text").mapInArrow(score, SCORES)
 
 
 def _scores_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -174,16 +186,16 @@ def _scores_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in slices(batches, 64, 1 << 20):
-            for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                grams, n = np.unique(gram_runs(words_of(text))[0], return_counts=True)
+            for a, b, lang, text in zip(*(batch.column(c).to_pylist() for c in range(3)), as_bytes(batch.column(3))):
+                grams, n = np.unique(gram_runs([text])[0], return_counts=True)
                 if len(grams):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(grams)), pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["key", "lang", "gram", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(grams)), pa.array([b] * len(grams)), pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["a", "b", "lang", "gram", "k"])
 
-    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("lang", "text").alias("key"))
-    distinct = keyed.select("key", "lang", "text").dropDuplicates(["key"])
-    grams = distinct.mapInArrow(count, "key long, lang string, gram long, k long")
-    sums = _on_gram(grams, table, F.col("gram"), "inner").groupBy("key").agg(F.sum(F.col("k") * F.log("p")).alias("log_p"), F.sum("k").alias("n"))
-    return keyed.select("doc_id", "lang", "key").join(sums, "key", "left").select("doc_id", "lang", "log_p", "n")
+    keyed = docs.withColumn("a", F.xxhash64("lang", "text")).withColumn("b", F.xxhash64(F.lit(1), "text", "lang"))
+    distinct = keyed.select("a", "b", "lang", "text").dropDuplicates(["a", "b"])
+    grams = distinct.mapInArrow(count, "a long, b long, lang string, gram long, k long")
+    sums = _on_gram(grams, table, F.col("gram"), "inner").groupBy("a", "b").agg(F.sum(F.col("k") * F.col("cost")).alias("cost"), F.sum("k").alias("n"))
+    return keyed.drop("text").join(sums, ["a", "b"], "left").select("doc_id", "lang", "held", "cost", "n")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -196,21 +208,30 @@ def classify(docs: DataFrame, trusted: DataFrame, broadcast_grams: int = BROADCA
     trusted = keep(trusted, "trusted")
     mark = trusted.withColumn("trusted", F.lit(True))
     mark = F.broadcast(mark) if trusted.count() <= BROADCAST_IDS else mark
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    grams = gram_counts(texts.join(mark, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    table = probabilities(grams, train(grams))
-    scores = keep((_scores_in_tasks if table.count() <= broadcast_grams else _scores_by_join)(texts, table), "scores")
-    return judge(scores, mark)
-
-
-def judge(scores: DataFrame, mark: DataFrame) -> DataFrame:
-    rows = scores.join(mark, "doc_id", "left")
-    good = rows.filter("trusted and n > 0")
-    means = good.groupBy(F.col("lang").alias("_lang")).agg((F.sum("log_p") / F.sum("n")).alias("mean"))
-    drawn = F.exp(-(F.col("log_p") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR))
-    rows = _on_lang(rows, means, "left").withColumn("perplexity", drawn)
-    cuts = rows.filter("trusted and n > 0").groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", list(QUANTILES), 10_000).alias("q"))
-    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    rows = _on_lang(rows, cuts, "left").withColumn("limit", F.greatest(low + REACH * (high - low), LEAST_RATIO * low))
-    kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
-    return rows.select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n_symbols"), F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), kept.alias("kept"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(mark, "doc_id", "left")
+    out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    known = F.coalesce("trusted", F.lit(False))
+    texts = texts.select("doc_id", "lang", "text", (known & out).alias("held"), (known & ~out).alias("teaches"))
+    grams = gram_counts(texts)
+    table = keep(gram_costs(probabilities(grams, train(grams))), "costs")
+    scores = keep((_scores_in_tasks if table.count() <= broadcast_grams else _scores_by_join)(texts.drop("teaches"), table), "scores")
+    return judge(scores)
+
+
+def judge(scores: DataFrame) -> DataFrame:
+    """Limits by language and the verdicts; all comparisons are of whole numbers."""
+    held = scores.filter("held and n > 0")
+    means = held.groupBy(F.col("lang").alias("_lang")).agg((F.sum("cost") / F.sum("n")).alias("mean"))
+    drawn = (F.col("cost") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR) / UNIT
+    rows = _on_lang(scores, means, "left").withColumn("rate", F.round(drawn * RATES).cast("long"))
+    bins = rows.filter("held and n > 0").groupBy(F.col("lang").alias("_lang"), "rate").agg(F.count(F.lit(1)).alias("k"))
+    per = Window.partitionBy("_lang")
+    upto, total = F.sum("k").over(per.orderBy("rate")), F.sum("k").over(per)
+    bins = bins.withColumn("reached", F.when(upto >= QUANTILE * total, F.col("rate")))
+    mean = F.sum(F.col("k") * F.col("rate")) / F.sum("k")
+    spread = F.sqrt(F.greatest(F.sum(F.col("k") * F.col("rate") * F.col("rate")) / F.sum("k") - mean * mean, F.lit(0.0)))
+    limits = bins.groupBy("_lang").agg(F.greatest(F.min("reached"), F.round(mean + DEVIATIONS * spread).cast("long")).alias("limit"))
+    rows = _on_lang(rows, limits, "left")
+    kept = F.coalesce(F.col("rate") <= F.col("limit"), F.lit(True))
+    perplexity = lambda rate: F.round(F.exp(F.col(rate) / RATES), 6)
+    return rows.select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n_symbols"), perplexity("rate").alias("perplexity"), perplexity("limit").alias("limit"), kept.alias("kept"))
