@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset
-    (single-machine tests) a folder under /tmp is set and used.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+    session gets a folder under /tmp; a cluster must name one that its executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/checkpoints/tallyfold"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -76,7 +78,7 @@ worker_memory: dict = {}
 
 
 def tidy_worker() -> None:
-    """Give back the memory a reused worker holds from tasks of other operators."""
+    """Give back the memory a reused worker holds from earlier tasks, before and after large ones."""
     import ctypes
     import gc
 
