@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -112,21 +112,41 @@ def likeness(a: str, b: str) -> float:
     return min(shared / max(len(x), len(y)), 1 - 1e-9)
 
 
+def _unmatched(ours: list[str], theirs: list[str]) -> tuple[list[int], list[int]]:
+    """Places of hashes in two lists that no equal hash of the other list is matched to, in order."""
+    places: dict[str, deque] = {}
+    for j, node in enumerate(theirs):
+        places.setdefault(node, deque()).append(j)
+    left, free, last = [], set(range(len(theirs))), -1
+    for i, node in enumerate(ours):
+        at = places.get(node, ())
+        while at and at[0] <= last:
+            at.popleft()
+        if at:
+            last = at.popleft()
+            free.discard(last)
+        else:
+            left.append(i)
+    return left, sorted(free)
+
+
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) of ``a`` that ``b`` doesn't hold at its place, found top-down."""
+    """(section, paragraph, leaf) of ``a`` that ``b`` lacks, found top-down.
+
+    Children are aligned by hash, not by place: sections without an equal one are
+    compared by their paragraphs, and paragraphs without an equal one by their leaves.
+    """
     if a[:69] == b[:69]:
         return []
     ours, theirs = _tree(a), _tree(b)
-    out = []
-    for i, (node, section) in enumerate(ours):
-        there, other = theirs[i] if i < len(theirs) else ("", [])
-        if node == there:
-            continue
-        for j, (para, leaves) in enumerate(section):
-            there, held = other[j] if j < len(other) else ("", "")
-            if para != there:
-                out += [(i, j, k // LEAF_CHARS) for k in range(0, len(leaves), LEAF_CHARS) if leaves[k : k + LEAF_CHARS] != held[k : k + LEAF_CHARS]]
-    return out
+    sections, others = _unmatched([n for n, _ in ours], [n for n, _ in theirs])
+    mine = [(i, j, *p) for i in sections for j, p in enumerate(ours[i][1])]
+    held = [p for i in others for p in theirs[i][1]]
+    paragraphs, rest = _unmatched([p[2] for p in mine], [n for n, _ in held])
+    cut = lambda leaves: [leaves[k : k + LEAF_CHARS] for k in range(0, len(leaves), LEAF_CHARS)]
+    own = [(mine[p][0], mine[p][1], k, leaf) for p in paragraphs for k, leaf in enumerate(cut(mine[p][3]))]
+    missing, _ = _unmatched([x[3] for x in own], [leaf for p in rest for leaf in cut(held[p][1])])
+    return [own[m][:3] for m in missing]
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
