@@ -21,6 +21,7 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,6 +33,8 @@ from .files import new_file, open_file
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
+#: Rows of (digest, page_id, url) that may be broadcast.
+BROADCAST_FIRSTS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -43,25 +46,27 @@ MANIFEST = "path string, n_records long, n_frames long, n_bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _uri(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _page_of(urn: str) -> int | None:
-    name = urn[len("<urn:x-page:") : -1]
-    return None if name == "null" else int(name)
+def make_record(record: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, first_url: str | None = None) -> bytes:
+    """One WARC/1.1 record around an HTTP response; a revisit keeps the header only.
 
-
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record around an HTTP response; a revisit keeps the header only."""
+    ``record``: a name no other record has.  Page ids stand in fields of their own.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, record)}>", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append(f"WARC-Target-URI: {_uri(url)}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+        if first_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(first_url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -80,7 +85,8 @@ def parse_record(raw: bytes) -> dict:
         raise ValueError("broken WARC record")
     if not revisit and (len(payload) != stated or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError("payload doesn't match its length or digest")
-    return {"page_id": _page_of(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": _page_of(fields["WARC-Refers-To"]) if revisit else None, "payload_bytes": stated, "payload_digest": digest, "payload": None if revisit else payload}
+    number = lambda name: int(fields[name]) if name in fields else None
+    return {"record_id": fields["WARC-Record-ID"], "page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page"), "payload_bytes": stated, "payload_digest": digest, "payload": None if revisit else payload}
 
 
 class BundleWriter:
@@ -164,15 +170,17 @@ class Bundle:
 def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages`` with payload, sha1 (hex) and refers_to.
 
-    The payloads are grouped by digest as (digest, page_id) only; what is joined
-    back is one row per payload that occurs more than once.
+    The payloads are grouped by digest as (digest, page_id, url) only; what is joined
+    back is one row per payload that occurs more than once.  Up to BROADCAST_FIRSTS
+    such rows are broadcast, so that no payload moves; more are joined by a shuffle.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(firsts, "sha1", "left")
+    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"), F.count(F.lit(1)).alias("n"))
+    firsts = keep(firsts.filter("n > 1").drop("n"), "warc-firsts")
+    rows = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_FIRSTS else firsts, "sha1", "left")
     again = (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", "payload", "sha1", F.when(again, F.col("first")).alias("refers_to"))
+    return rows.select("page_id", "url", "payload", "sha1", F.when(again, F.col("first")).alias("refers_to"), "first_url")
 
 
 def write_bundles(pages: DataFrame, least_bytes: int = 0, folder: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -183,14 +191,14 @@ def write_bundles(pages: DataFrame, least_bytes: int = 0, folder: str | None = N
         import pyarrow as pa
 
         part, number, rows = TaskContext.get().partitionId(), 0, []
-        records = ((p, u, b, base64.b32encode(bytes.fromhex(s)).decode(), r) for batch in slices(batches) for p, u, b, s, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+        records = ((p, u, b, base64.b32encode(bytes.fromhex(s)).decode(), r, f) for batch in slices(batches) for p, u, b, s, r, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), *(batch.column(c).to_pylist() for c in (3, 4, 5))))
         record = next(records, None)
         while record is not None:
             path = f"{folder}/part-{part:06d}-{number:04d}.warc.zst"
             with new_file(path) as out:
                 bundle = BundleWriter(out, frame_bytes)
                 while record is not None and (not bundle.total or bundle.total < bundle_bytes):
-                    bundle.add(record[0], make_record(*record))
+                    bundle.add(record[0], make_record(f"{path}#{len(bundle.index)}", *record))
                     record = next(records, None)
                 bundle.close()
             rows.append({"path": path, "n_records": len(bundle.index), "n_frames": len(bundle.sizes), "n_bytes": bundle.total})

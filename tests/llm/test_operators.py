@@ -195,10 +195,12 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, path string")
 
 
-def test_extract_and_warc(spark):
+def test_extract_and_warc(spark, monkeypatch):
     df = pages(spark)
     assert sorted((r["page_id"] or -1, r["text"][:9]) for r in html_text.extract(df).collect()) == [(-1, ""), (2, ""), (5, ""), (5, ""), (9, ""), (10, ""), (11, "")]
-    manifest = warc.write_bundles(df, frame_bytes=1000)
+    for limit in (0, warc.BROADCAST_FIRSTS):  # both ways of the join
+        monkeypatch.setattr(warc, "BROADCAST_FIRSTS", limit)
+        manifest = warc.write_bundles(df, frame_bytes=1000)
     got = sorted(((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_bundles(manifest).collect()), key=repr)
 
     def digest(text):
@@ -208,6 +210,8 @@ def test_extract_and_warc(spark):
     want = [(-1, 9, e, "revisit", 2), (2, 9, e, "response", None), (5, 9, e, "revisit", 2), (5, 9, e, "revisit", 2), (9, 0, digest(""), "response", None), (10, 0, digest(""), "revisit", 9), (11, 3_000_000, digest("y" * 3_000_000), "response", None)]
     assert got == sorted(want, key=repr)
     path = manifest.first()["path"]
+    records = [r for m in manifest.collect() for r in warc.Bundle(m["path"]).records()]
+    assert len({r["record_id"] for r in records}) == len(records) == 7
     bundle = warc.Bundle(path)
     some = int(bundle.index["page_id"][0])
     assert bundle.find(some)[0]["page_id"] == some and bundle.find(-5) == []
@@ -478,6 +482,44 @@ def test_merkle_tree_locates_edits():
     assert len({merkle.fingerprint(t) for t in ("", "\n", "a", "a\n", "a\n\n", "a\nb", "a\n\nb", "a b")}) == 8
 
 
+def brute_leaves(text: str) -> list[bytes]:
+    """Leaves by the definition: byte by byte, a cut after a blank whose three bytes before hash to 0."""
+    out = []
+    for line in text.encode().split(b"\n"):
+        start = 0
+        for at in range(3, len(line)):
+            if line[at] == 32 and len(line) >= 12:
+                mixed = (line[at - 1] * 0x9E37 + line[at - 2] * 0x79B9 + line[at - 3] * 0x3C6F) * 0x85EBCA6B % 2**32
+                if (mixed >> 16) % (3 if at < 96 else 8) == 0:
+                    out.append(line[start : at + 1])
+                    start = at + 1
+        out += [line[start:]] if start < len(line) or not line else []
+    return out
+
+
+def test_merkle_likeness_by_brute_force(plain):
+    texts = [t for _, t in plain if t.replace("\n", "")][:40]
+    for a, b in zip(texts, texts[1:] + texts[:1]):
+        for edited in (b, a[: len(a) // 2] + b):
+            x, y = ([leaf for leaf in brute_leaves(t)] for t in (a, edited))
+            blank = lambda t, leaves: [v for v in leaves if v] if any(leaves) else leaves[:1]
+            x, y = blank(a, x), blank(edited, y)
+            shared = sum(min(x.count(v), y.count(v)) for v in set(x))
+            got = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(edited))
+            if "\n\n" not in a + edited:
+                assert got == pytest.approx(shared / max(len(x), len(y)), abs=1e-6) or a == edited
+
+
+def test_merkle_inserted_paragraph():
+    lines = [f"the {i} first words of line {i} and then some more of them" for i in range(50)]
+    a = "\n".join(lines)
+    b = "\n".join([*lines[:10], "an inserted paragraph stands here", *lines[10:]])
+    x, y = merkle.fingerprint(a), merkle.fingerprint(b)
+    assert merkle.differing(x, y) == [] and {p for _, p, _ in merkle.differing(y, x)} == {10}
+    moved = merkle.fingerprint("\n\n".join(["another section", a, "end"]))
+    assert merkle.differing(x, moved) == []
+
+
 def test_merkle_unrelated_long_texts():
     """Leaves of unrelated texts of 120,000 words don't meet by chance; nodes are in the fingerprint."""
     long = lambda name: "\n".join(" ".join(f"{name}{i}x{k}" for k in range(40)) for i in range(3000))
