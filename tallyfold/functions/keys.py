@@ -13,6 +13,7 @@ lists of a certificate.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,11 +189,19 @@ def fingerprint_text(digest: Column) -> Column:
     return F.concat(F.lit("SHA256:"), F.rtrim(_base64(digest), F.lit("=")))
 
 
+@lru_cache(maxsize=2)
+def _parser(application: str) -> Column:
+    """The fields of the key in ``_value``; made once for an application, as it has many parts.
+
+    A generator, so that the value is parsed once and its fields are only read.
+    """
+    return F.inline(F.array(_key_of_value(F.col("_value"))))
+
+
 def parse_keys(df: DataFrame, raw: str) -> DataFrame:
     """``df`` with fingerprint, text, type, canonical and reason (null when valid); columns of these names are replaced."""
-    others = df.drop("fingerprint", "text", "type", "canonical", "reason")
-    # a generator, so that the parsed value is computed once and its fields only read
-    return df.select(*others.columns, F.inline(F.array(_key_of_value(F.col(raw)))))
+    others = df.withColumn("_value", F.col(raw)).drop("fingerprint", "text", "type", "canonical", "reason")
+    return others.select("*", _parser(df.sparkSession.sparkContext.applicationId)).drop("_value")
 
 
 def normalize_keys(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:

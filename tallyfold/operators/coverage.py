@@ -43,44 +43,37 @@ def coverage_by_day(success: DataFrame) -> DataFrame:
     return first.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("error", F.col("day").isNull())
 
 
-def day_partitions(spark: SparkSession, epoch: Column, cutoff: Column) -> DataFrame:
-    """Closed one-day ranges [start, end] of one-second resolution; the last ends at the cutoff."""
-    days = spark.range(1).select(epoch.cast("timestamp").alias("epoch"), cutoff.cast("timestamp").alias("cutoff"))
-    days = days.select("cutoff", F.explode(F.sequence("epoch", "cutoff", F.expr("interval 1 day"))).alias("start_at"))
+def day_partitions(bounds: DataFrame) -> DataFrame:
+    """Closed one-day ranges [start, end] of one-second resolution; the last ends at the cutoff.
+
+    ``bounds``: rows (epoch, cutoff), each of which is cut by itself.
+    """
+    days = bounds.select(F.col("cutoff").cast("timestamp").alias("cutoff"), F.explode(F.sequence(F.col("epoch").cast("timestamp"), F.col("cutoff").cast("timestamp"), F.expr("interval 1 day"))).alias("start_at"))
     return days.select("start_at", F.least(F.col("start_at") + F.expr("interval 86399 seconds"), F.col("cutoff")).alias("end_at"))
 
 
 def bisect_partitions(events: DataFrame, ts: str, start: int, end: int, cap: int) -> DataFrame:
     """Time ranges (seconds, closed) halved until each holds at most ``cap`` rows.
 
-    Events are counted per second, every second is counted into the ranges it falls
-    in at each depth of halving (1 + log2 of the whole range), and the leaves are the
-    halves of ranges over the cap that are not over it themselves.  A one-second
-    range over the cap is unresolved.  No loop: two aggregations and one join.
+    The range is taken as a power of two of seconds, so that the range of a second at
+    every depth is arithmetic; ranges end at ``end`` and those after it don't exist.
+    Events are counted per second, seconds into the ranges of each depth, and the
+    leaves are the halves of ranges over the cap that are not over it themselves.  A
+    one-second range over the cap is unresolved.  No loop: two aggregations and one
+    join, all combined before they are shuffled.
     """
-    rounds = max(end - start, 0).bit_length()
-    kind = "struct<depth: int, lo: long, hi: long>"
-    root = F.struct(F.lit(0).alias("depth"), F.lit(start).cast("long").alias("lo"), F.lit(end).cast("long").alias("hi")).cast(kind)
-
-    def halves(r: Column) -> tuple[Column, Column]:
-        mid = r["lo"] + F.floor((r["hi"] - r["lo"]) / 2).cast("long")
-        deeper = (r["depth"] + 1).alias("depth")
-        return F.struct(deeper, r["lo"].alias("lo"), mid.alias("hi")).cast(kind), F.struct(deeper, (mid + 1).alias("lo"), r["hi"].alias("hi")).cast(kind)
-
-    def deeper(path: Column, _: Column) -> Column:
-        r = F.element_at(path, -1)
-        left, right = halves(r)
-        return F.when(r["lo"] >= r["hi"], path).otherwise(F.concat(path, F.array(F.when(F.col("second") <= left["hi"], left).otherwise(right))))
-
+    depth = max(end - start, 0).bit_length()
+    low = lambda second, k: start + F.call_function("shiftleft", F.call_function("shiftright", second - start, k), k)
     seconds = events.groupBy(F.unix_timestamp(ts).alias("second")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("second").between(start, end))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(root), deeper) if rounds else F.array(root)
-    counts = seconds.select("n", F.explode(path).alias("r")).groupBy("r").agg(F.sum("n").alias("n"))
-    over = counts.filter((F.col("n") > cap) & (F.col("r.lo") < F.col("r.hi")))
-    children = over.select(F.explode(F.array(*halves(F.col("r")))).alias("r"))
-    whole = events.sparkSession.range(1).select(root.alias("r"))
-    leaves = children.union(whole).join(counts, "r", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    leaves = leaves.filter((F.col("n") <= cap) | (F.col("r.lo") >= F.col("r.hi")))
-    return leaves.select("r.lo", "r.hi", "n", (F.col("n") > cap).alias("unresolved"))
+    levels = seconds.select("second", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
+    counts = levels.groupBy("k", low(F.col("second"), F.col("k")).alias("lo")).agg(F.sum("n").alias("n"))
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k") - 1)
+    children = counts.filter((F.col("n") > cap) & (F.col("k") > 0)).select((F.col("k") - 1).alias("k"), F.explode(F.array("lo", F.col("lo") + half)).alias("lo"))
+    whole = events.sparkSession.range(1).select(F.lit(depth).alias("k"), F.lit(start).cast("long").alias("lo"))
+    leaves = children.filter(F.col("lo") <= end).union(whole).join(counts, ["k", "lo"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    leaves = leaves.filter((F.col("n") <= cap) | (F.col("k") == 0))
+    hi = F.least(F.col("lo") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k")) - 1, F.lit(end))
+    return leaves.select("lo", hi.alias("hi"), "n", (F.col("n") > cap).alias("unresolved"))
 
 
 def reconcile_counts(remote: DataFrame, local: DataFrame, cap: int = 1000, sample_per_cent: int = 1) -> DataFrame:
@@ -167,12 +160,29 @@ def expected_new(remaining: Column, observed_users: Column, observed_ids: Column
     return F.ceil(remaining * density)
 
 
+#: Equal parts of an id space inside which islands are found before they are joined up.
+ISLAND_PARTS = 256
+
+
 def id_coverage_islands(shards: DataFrame) -> DataFrame:
-    """Contiguous covered ranges of (lower_id, upper_id) rows, with the gap before each."""
-    w = Window.orderBy("lower_id", "upper_id")
-    before = F.max("upper_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = shards.withColumn("before", before)
-    rows = rows.withColumn("starts", F.coalesce(F.col("lower_id") > F.col("before") + 1, F.lit(True)).cast("int"))
-    rows = rows.withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Contiguous covered ranges of (lower_id, upper_id) rows, with the gap before each.
+
+    The id space is cut into equal parts; what earlier parts cover and how many islands
+    begin in them is one row per part, so only that small table has a global order.
+    """
+    ends = shards.agg(F.min("lower_id").alias("least"), F.max("lower_id").alias("most"))
+    place = F.floor((F.col("lower_id") - F.col("least")) / (F.col("most") - F.col("least") + 1) * ISLAND_PARTS)
+    rows = shards.select("lower_id", "upper_id").crossJoin(F.broadcast(ends)).withColumn("part", place).drop("least", "most")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.max("upper_id").alias("top")).withColumn("top", F.max("top").over(earlier))
+    w = Window.partitionBy("part").orderBy("lower_id", "upper_id")
+    rows = rows.join(F.broadcast(parts), "part")
+    before = F.greatest("top", F.max("upper_id").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("starts", F.coalesce(F.col("lower_id") > before + 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("own", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counts = rows.groupBy("part").agg(F.sum("starts").alias("begun")).withColumn("begun", F.coalesce(F.sum("begun").over(earlier), F.lit(0)))
+    rows = rows.join(F.broadcast(counts), "part").withColumn("island", F.col("own") + F.col("begun"))
     out = rows.groupBy("island").agg(F.min("lower_id").alias("lower_id"), F.max("upper_id").alias("upper_id"), F.count(F.lit(1)).alias("shards"))
-    return out.withColumn("gap_before", F.coalesce(F.col("lower_id") - F.lag("upper_id").over(Window.orderBy("island")) - 1, F.lit(0)))
+    last = out.select((F.col("island") + 1).alias("island"), F.col("upper_id").alias("end_before"))
+    out = out.join(last, "island", "left")
+    return out.select("island", "lower_id", "upper_id", "shards", F.coalesce(F.col("lower_id") - F.col("end_before") - 1, F.lit(0)).alias("gap_before"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .schedule import id_stagger, schedule_lookup
+
 
 def _by_account():
     return Window.partitionBy("account_id").orderBy("observed_at", "scan_id")
@@ -94,9 +96,8 @@ def refresh_ladder(scans: DataFrame, schedule: list[int]) -> DataFrame:
     rows = rows.withColumn("change", F.sum(F.col("changed").cast("int")).over(upto))
     runs = rows.groupBy("account_id", "change").agg(F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("last_changed_at"), F.max("observed_at").alias("last_scan_at"))
     last = runs.groupBy("account_id").agg(F.max_by(F.struct("n", "last_changed_at", "last_scan_at"), "change").alias("r")).select("account_id", "r.*")
-    stage = F.least(F.col("n") - 1, F.lit(len(schedule) - 1)).cast("int")
-    delay = F.get(F.array(*map(F.lit, schedule)), stage)
-    due = F.timestamp_seconds(F.unix_timestamp("last_scan_at") + delay + F.pmod("account_id", F.lit(900)))
+    stage = F.least(F.col("n") - 1, F.lit(max(len(schedule) - 1, 0))).cast("int")
+    due = F.timestamp_seconds(id_stagger(F.unix_timestamp("last_scan_at") + schedule_lookup(schedule, stage), F.col("account_id")))
     return last.select("account_id", stage.alias("stage"), "last_changed_at", "last_scan_at", due.alias("next_due_at"))
 
 

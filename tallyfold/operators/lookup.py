@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import normalize_fingerprints
+
 #: Queries up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_QUERIES = 1_000_000
 
@@ -24,23 +26,37 @@ def alias_list(aliases: DataFrame) -> DataFrame:
     return rows.select("account_id", F.transform("a", lambda x: F.struct(x["login"].alias("login"), x["present"].alias("present"))).alias("aliases"))
 
 
+def lookup_rows(queries: DataFrame, history: DataFrame, owners: DataFrame, aliases: DataFrame, base: str = "https://example.org/") -> DataFrame:
+    """Per query and match a row, with the query's number of matches; an unmatched query is one row.
+
+    ``queries``: (query_id, value), value being any spelling of a fingerprint or a
+    key line; ``history``: key is a canonical fingerprint text.  Owners and aliases
+    are reduced to the accounts that match before anything is gathered, and no list
+    of matches is made, so a key that very many accounts share is many rows.
+    """
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    queries = normalize_fingerprints(queries.select("query_id", "value"), "value").withColumnRenamed("normal", "key")
+    asked = F.broadcast(queries) if few else queries
+    hits = history.join(asked.select("query_id", "key"), "key")
+    found = hits.select("account_id").distinct()
+    names = owners.select("account_id", "login").join(found, "account_id", "left_semi")
+    also = alias_list(aliases.join(found, "account_id", "left_semi"))
+    rows = hits.join(names, "account_id").join(also, "account_id", "left")
+    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matches"))
+    none = F.array().cast("array<struct<login: string, present: boolean>>")
+    rows = rows.select("query_id", "account_id", "login", profile_url("login", base).alias("url"), "first_seen_at", "last_seen_at", "present", "removed_at", F.coalesce("aliases", none).alias("aliases"))
+    out = queries.join(counts, "query_id", "left").join(rows, "query_id", "left")
+    return out.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+
+
 def reverse_lookup(queries: DataFrame, history: DataFrame, owners: DataFrame, aliases: DataFrame, base: str = "https://example.org/") -> DataFrame:
-    """Per query: the accounts that hold or held its key, current ones first.
+    """The same with the matches of a query in one array, current ones first, then by login.
 
-    ``queries``: (query_id, key).  A key nobody published has count 0.
+    For keys whose holders fit in a row; ``lookup_rows`` has no such bound.
     """
-    queries = queries.select("query_id", "key")
-    asked = F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
-    hits = history.join(asked, "key").join(owners.select("account_id", "login"), "account_id").join(alias_list(aliases), "account_id", "left")
-    match = F.struct((~F.col("present")).alias("past"), F.lower("login").alias("low"), "account_id", "login", profile_url("login", base).alias("url"), "first_seen_at", "last_seen_at", "present", "removed_at", F.coalesce("aliases", F.array().cast("array<struct<login: string, present: boolean>>")).alias("aliases"))
-    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(match)).alias("matches"))
-    out = queries.join(found, "query_id", "left")
-    return out.select("query_id", "key", F.coalesce(F.size("matches"), F.lit(0)).alias("n_matches"), "matches")
-
-
-def lookup_rows(queries: DataFrame, history: DataFrame, owners: DataFrame) -> DataFrame:
-    """The same matches as rows, for keys that very many accounts share."""
-    return queries.join(history, "key", "left").join(owners.select("account_id", "login"), "account_id", "left").select("query_id", "key", "account_id", "login", "first_seen_at", "last_seen_at", "present", "removed_at")
+    rows = lookup_rows(queries, history, owners, aliases, base)
+    match = F.struct((~F.col("present")).alias("past"), F.lower("login").alias("low"), "account_id", "login", "url", "first_seen_at", "last_seen_at", "present", "removed_at", "aliases")
+    return rows.groupBy("query_id", "key", "n_matches").agg(F.array_sort(F.collect_list(F.when(F.col("account_id").isNotNull(), match))).alias("matches"))
 
 
 def shared_keys(history: DataFrame) -> DataFrame:

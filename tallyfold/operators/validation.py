@@ -86,9 +86,9 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).unionByName(b.subtract(a))
 
 
-def same_sets(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, whatever their order."""
-    return symmetric_difference(a, b).isEmpty()
+def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (same): whether two tables hold the same rows, whatever their order and repeats."""
+    return symmetric_difference(a, b).limit(1).agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
 def audit_page_continuity(pages: DataFrame) -> DataFrame:

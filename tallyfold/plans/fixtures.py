@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import fingerprint_text
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table with its timestamps in UTC."""
@@ -38,18 +40,37 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan per user and week; its keys are numbers of the event types."""
+    """A scan per user and week; its keys are numbers of the event types; some are inaccessible."""
     kind = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type"))
     rows = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("account_id"), F.date_trunc("week", "ts").alias("observed_at"))
     rows = rows.agg(F.array_sort(F.collect_set(kind)).alias("keys"), F.max("event_id").alias("scan_id"))
-    return rows.withColumn("status", F.lit("ok"))
+    return rows.withColumn("status", F.when(F.col("scan_id") % 7 == 3, "inaccessible").otherwise("ok"))
+
+
+def _blob(key: Column) -> Column:
+    """An ed25519 blob of a key number as hexadecimal digits."""
+    return F.concat(_named("ssh-ed25519"), _field(F.sha2(F.concat(F.lit("k"), key.cast("string")), 256), 32))
+
+
+def printed_history(history: DataFrame) -> DataFrame:
+    """A history whose keys are fingerprint texts instead of numbers."""
+    return history.withColumn("number", F.col("key")).withColumn("key", fingerprint_text(F.unhex(F.sha2(F.unhex(_blob(F.col("key"))), 256))))
+
+
+def key_queries(numbers: DataFrame) -> DataFrame:
+    """(query_id, value) for key numbers: fingerprints in several spellings, key lines, and some that are none."""
+    k = F.col("number")
+    bare = F.substring(fingerprint_text(F.unhex(F.sha2(F.unhex(_blob(k)), 256))), 8, 43)
+    line = F.concat(F.lit("ssh-ed25519 "), F.regexp_replace(F.base64(F.unhex(_blob(k))), "[\r\n]", ""), F.lit(" me"))
+    value = F.when(k % 23 == 0, F.concat(F.lit("x"), bare)).when(k % 4 == 0, F.concat(F.lit("sha256:"), bare)).when(k % 4 == 1, F.concat(F.lit(" SHA256:"), bare, F.lit("= "))).when(k % 4 == 2, bare).otherwise(line)
+    return numbers.select(k.alias("query_id"), value.alias("value"))
 
 
 def ladder_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signup: an empty tail scan, view: an empty onboarding scan, purchase: a key."""
-    rows = load(spark, sf_dir, "events").filter("event_type in ('signup', 'view', 'purchase') and ts < timestamp '2024-01-04 00:00:00'")
+    """signup: an empty tail scan, view: an empty onboarding scan; every 29th purchase shows a key."""
+    rows = load(spark, sf_dir, "events")
     source = F.when(F.col("event_type") == "signup", "tail").when(F.col("event_type") == "view", "onboarding").otherwise("global")
-    return rows.select(F.col("user_id").alias("account_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("scan_id"), source.alias("source"), (F.col("event_type") == "purchase").cast("int").alias("n_keys"))
+    return rows.select(F.col("user_id").alias("account_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("scan_id"), source.alias("source"), ((F.col("event_type") == "purchase") & (F.col("event_id") % 29 == 0)).cast("int").alias("n_keys"))
 
 
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,9 +96,10 @@ BITMAPS = (
   UNION ALL SELECT 'inaccessible', id FROM remote WHERE id NOT IN (SELECT id FROM local) AND id % 5 = 0)"""
 )
 WEEKS = """weeks AS (
-  SELECT user_id AS account_id, date_trunc('week', ts)::TIMESTAMP AS observed_at, list_sort(list(DISTINCT event_type)) AS keys FROM events GROUP BY 1, 2),
-marked AS (SELECT *, coalesce(lag(keys) OVER (PARTITION BY account_id ORDER BY observed_at) <> keys, true) AS changed FROM weeks),
-groups AS (SELECT *, sum(changed::INT) OVER (PARTITION BY account_id ORDER BY observed_at) AS g FROM marked),
+  SELECT user_id AS account_id, date_trunc('week', ts)::TIMESTAMP AS observed_at, max(event_id) % 7 <> 3 AS ok,
+    CASE WHEN max(event_id) % 7 = 3 THEN []::VARCHAR[] ELSE list_sort(list(DISTINCT event_type)) END AS keys FROM events GROUP BY 1, 2),
+marked AS (SELECT *, coalesce(lag(keys) OVER (PARTITION BY account_id ORDER BY observed_at), []::VARCHAR[]) <> keys AS changed FROM weeks),
+groups AS (SELECT *, sum(changed::INT) OVER (PARTITION BY account_id ORDER BY observed_at) AS g FROM marked WHERE ok),
 lasts AS (SELECT account_id, g, count(*) AS n, min(observed_at) AS last_changed_at, max(observed_at) AS last_scan_at FROM groups GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY g DESC) = 1),
 ladder AS (SELECT account_id, least(n - 1, 4)::INT AS stage, last_changed_at, last_scan_at,
@@ -111,6 +112,21 @@ PROGRESS = """progress AS (
   FROM lineitem GROUP BY 1)"""
 
 
+ASKED = """lh AS (SELECT account_id, login, min(observed_at) AS f FROM scans WHERE status = 'ok' GROUP BY 1, 2),
+al AS (SELECT account_id, string_agg(login, '+' ORDER BY f, lower(login), login) AS names FROM lh GROUP BY 1),
+numbers AS (SELECT DISTINCT key FROM history),
+q AS (SELECT key FROM numbers UNION ALL SELECT key + 1000000 FROM numbers WHERE key % 50 = 0)"""
+
+
+def _bisected(seconds: str, cap: int) -> str:
+    return f"""WITH RECURSIVE sec AS ({seconds}), b AS (SELECT min(second) AS a, max(second) AS z, sum(n)::BIGINT AS n FROM sec),
+      t AS (SELECT a AS lo, CASE WHEN z > a THEN floor(log2(z - a))::INT + 1 ELSE 0 END AS k, n FROM b
+        UNION ALL
+        SELECT h.lo, h.k, (SELECT coalesce(sum(n), 0) FROM sec WHERE second BETWEEN h.lo AND h.lo + (1::BIGINT << h.k) - 1)::BIGINT
+        FROM (SELECT lo + j * (1::BIGINT << (k - 1)) AS lo, k - 1 AS k FROM t, range(2) r(j) WHERE n > {cap} AND k > 0) h, b WHERE h.lo <= b.z)
+      SELECT t.lo, least(t.lo + (1::BIGINT << t.k) - 1, b.z) AS hi, t.n, t.n > {cap} AS unresolved FROM t, b WHERE t.n <= {cap} OR t.k = 0"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -158,6 +174,22 @@ ORACLE_SQL: dict[str, str] = {
     "h5_inaccessible_fold": _with(HISTORY) + """SELECT h.account_id, count(*) AS closed FROM history h JOIN scans s ON s.account_id = h.account_id AND s.observed_at = h.removed_at
       WHERE s.status = 'inaccessible' GROUP BY 1""",
     "h6_refresh_ladder": _with(WEEKS) + "SELECT account_id, stage, epoch(last_changed_at)::BIGINT AS last_changed_at, epoch(last_scan_at)::BIGINT AS last_scan_at, next_due_at FROM ladder",
+    "h7_zero_key_ladder": """WITH RECURSIVE e AS (
+        SELECT user_id AS account_id, floor(epoch(ts))::BIGINT AS t, CASE event_type WHEN 'signup' THEN 'tail' WHEN 'view' THEN 'onboarding' ELSE 'global' END AS source,
+          event_type = 'purchase' AND event_id % 29 = 0 AS has, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS r FROM events),
+      s(account_id, r, stage, first_at, last_at, due_at, owner) AS (
+        SELECT DISTINCT account_id, 0::BIGINT, NULL::INT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false FROM e
+        UNION ALL
+        SELECT e.account_id, e.r,
+          CASE WHEN owner OR has THEN NULL WHEN source = 'tail' THEN coalesce(stage, 0) WHEN source = 'onboarding' AND stage >= 3 THEN NULL WHEN source = 'onboarding' THEN stage + 1 ELSE stage END,
+          CASE WHEN owner OR has OR (source = 'onboarding' AND stage >= 3) THEN NULL WHEN source = 'tail' THEN coalesce(first_at, t) ELSE first_at END,
+          CASE WHEN owner OR has OR (source = 'onboarding' AND stage >= 3) THEN NULL WHEN source = 'tail' OR (source = 'onboarding' AND stage IS NOT NULL) THEN t ELSE last_at END,
+          CASE WHEN owner OR has OR (source = 'onboarding' AND stage >= 3) THEN NULL WHEN source = 'tail' THEN coalesce(due_at, t + 3600)
+            WHEN source = 'onboarding' AND stage IS NOT NULL THEN greatest(first_at + ([3600, 86400, 604800, 2419200])[stage + 2], t + 300) ELSE due_at END,
+          owner OR has
+        FROM s JOIN e ON e.account_id = s.account_id AND e.r = s.r + 1),
+      last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY r DESC) = 1)
+      SELECT account_id, stage, first_at, last_at, due_at FROM last WHERE stage IS NOT NULL""",
     "h8_rolling_rates": _with(TOTALS) + """, w AS (
       SELECT s.run_id, s.minute, s.processed, s.attempted, min_by(p.processed, p.minute) AS p0, min_by(p.attempted, p.minute) AS a0, (epoch(s.minute) - epoch(min(p.minute))) / 3600.0 AS h
       FROM samples s JOIN samples p ON p.run_id = s.run_id AND p.minute BETWEEN s.minute - INTERVAL 6 HOUR AND s.minute GROUP BY 1, 2, 3, 4)
@@ -189,11 +221,11 @@ ORACLE_SQL: dict[str, str] = {
       SELECT island::BIGINT AS island, lower_id, upper_id, shards, coalesce(lower_id - lag(upper_id) OVER (ORDER BY island) - 1, 0) AS gap_before FROM g""",
     "x1_symmetric_difference": """WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 2 = 0), b AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 2 = 1)
       (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)""",
-    "j1_reverse_lookup": _with(HISTORY) + """, lh AS (SELECT account_id, login, min(observed_at) AS f FROM scans WHERE status = 'ok' GROUP BY 1, 2),
-      al AS (SELECT account_id, string_agg(login, '+' ORDER BY f, lower(login), login) AS names FROM lh GROUP BY 1),
-      q AS (SELECT DISTINCT key FROM history WHERE key % 7 = 0 UNION ALL SELECT i + 100000 FROM range(5) t(i))
-      SELECT q.key AS query_id, count(h.account_id) AS n_matches, coalesce(string_agg(o.login || ':' || h.present || ':' || coalesce(names, ''), ',' ORDER BY NOT h.present, lower(o.login), h.account_id), '') AS matches
-      FROM q LEFT JOIN history h USING (key) LEFT JOIN owners o ON o.account_id = h.account_id LEFT JOIN al ON al.account_id = h.account_id GROUP BY 1""",
+    "j1_reverse_lookup": _with(HISTORY, ASKED) + """SELECT q.key AS query_id, count(h.account_id) OVER (PARTITION BY q.key) AS n_matches, h.account_id, o.login, h.present, epoch(h.first_seen_at)::BIGINT AS first_seen_at,
+      coalesce(names, CASE WHEN h.account_id IS NOT NULL THEN '' END) AS aliases
+      FROM q LEFT JOIN history h ON h.key = q.key AND q.key % 23 <> 0 LEFT JOIN owners o ON o.account_id = h.account_id LEFT JOIN al ON al.account_id = h.account_id""",
+    "j1_lookup_lists": _with(HISTORY, ASKED) + """SELECT q.key AS query_id, count(h.account_id) AS n_matches, coalesce(string_agg(o.login || ':' || h.present || ':' || coalesce(names, ''), ',' ORDER BY NOT h.present, lower(o.login), h.account_id), '') AS matches
+      FROM q LEFT JOIN history h ON h.key = q.key AND q.key % 23 <> 0 LEFT JOIN owners o ON o.account_id = h.account_id LEFT JOIN al ON al.account_id = h.account_id GROUP BY 1""",
     "j2_shared_keys": _with(HISTORY) + "SELECT key, count(*) AS accounts_ever, count(*) FILTER (WHERE present) AS accounts_now, epoch(min(first_seen_at))::BIGINT AS first_seen_at FROM history GROUP BY 1 HAVING count(*) > 1",
     "j3_alias_attach": _with(LOGINS) + "SELECT account_id, string_agg(login, ',' ORDER BY first_seen_at, lower(login), login) AS aliases FROM login_history GROUP BY 1",
     "j4_select_owner_results": _with(HISTORY) + """SELECT account_id, account_id || '-' || strftime(observed_at, '%Y%m%d') AS scan_id, CASE WHEN status = 'ok' THEN len(keys) ELSE 0 END AS n_keys FROM scans
@@ -208,6 +240,8 @@ ORACLE_SQL: dict[str, str] = {
       bool_and(id IN (SELECT id FROM local)) AS resolved FROM remote GROUP BY 1""",
     "j9_run_generation": "SELECT year(o_orderdate) AS run_id, (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 ELSE year(o_orderdate) * 10 END)::BIGINT AS generation_id, count(*) AS n FROM orders GROUP BY 1, 2",
     "a1_coverage_bitmap": _with(BITMAPS) + "SELECT mark, count(DISTINCT id) AS n FROM marks GROUP BY 1",
+    "a1_merge_bitmaps": _with(REMOTE) + "SELECT 'discovered' AS mark, count(DISTINCT id) AS n FROM remote",
+    "a2_missing_ids": _with(REMOTE) + "SELECT DISTINCT id FROM remote WHERE id NOT IN (SELECT id FROM local) AND id % 5 <> 0",
     "a2_coverage_summary": _with(BITMAPS) + """, c AS (SELECT count(DISTINCT id) FILTER (WHERE mark = 'discovered') AS discovered, count(DISTINCT id) FILTER (WHERE mark = 'successful') AS successful,
       count(DISTINCT id) FILTER (WHERE mark = 'inaccessible') AS inaccessible FROM marks) SELECT *, greatest(discovered - successful - inaccessible, 0) AS missing FROM c""",
     "a3_coverage_by_day": _with(REMOTE) + "SELECT strftime(day, '%Y-%m-%d') AS day, count(DISTINCT id) AS n, false AS error FROM local GROUP BY 1",
@@ -243,16 +277,15 @@ ORACLE_SQL: dict[str, str] = {
     "a16_class_depth": _with(ATTEMPTS) + "SELECT CASE WHEN source IN ('tail', 'onboarding') THEN 'live' WHEN source = 'priority' THEN 'owner' ELSE 'global' END AS class, count(*) AS depth FROM attempts GROUP BY 1",
     "t1_day_partitions": """WITH b AS (SELECT min(o_orderdate) AS a, max(o_orderdate) + INTERVAL 6 HOUR AS c FROM orders), d AS (SELECT unnest(generate_series(a, c, INTERVAL 1 DAY)) AS s, c FROM b)
       SELECT epoch(s)::BIGINT AS start_at, epoch(least(s + INTERVAL 86399 SECOND, c))::BIGINT AS end_at FROM d""",
-    "t2_bisect_partitions": """WITH RECURSIVE sec AS (SELECT floor(epoch(ts))::BIGINT AS second, count(*) AS n FROM events GROUP BY 1),
-      t AS (SELECT 1704067200::BIGINT AS lo, (1704067200 + 4194303)::BIGINT AS hi, (SELECT sum(n) FROM sec WHERE second BETWEEN 1704067200 AND 1704067200 + 4194303)::BIGINT AS n
-        UNION ALL
-        SELECT h.lo, h.hi, (SELECT coalesce(sum(n), 0) FROM sec WHERE second BETWEEN h.lo AND h.hi)::BIGINT FROM (
-          SELECT CASE WHEN k = 0 THEN lo ELSE lo + (hi - lo) // 2 + 1 END AS lo, CASE WHEN k = 0 THEN lo + (hi - lo) // 2 ELSE hi END AS hi FROM t, range(2) r(k) WHERE n > 100 AND lo < hi) h)
-      SELECT lo, hi, n, n > 100 AS unresolved FROM t WHERE n <= 100 OR lo >= hi""",
+    "t2_bisect_partitions": _bisected("SELECT floor(epoch(ts))::BIGINT AS second, count(*) AS n FROM events GROUP BY 1", 100),
+    "t2_bisect_unresolved": _bisected("SELECT epoch(o_orderdate)::BIGINT AS second, count(*) AS n FROM orders GROUP BY 1", 5),
     "t3_reconcile_counts": _with(REMOTE) + """SELECT strftime(day, '%Y-%m-%d') AS day, remote_count, local_count, state,
       state = 'consistent' AND ('0x' || substr(md5(strftime(day, '%Y-%m-%d')), 1, 8))::BIGINT % 100 < 1 AS sampled FROM parts""",
-    "t4_id_ranges": "SELECT i AS range, 1 + (1000003 * i) // 64 AS lower_id, (1000003 * (i + 1)) // 64 AS upper_id, (SELECT count(*) FROM orders) AS orders FROM range(64) t(i)",
-    "t5_range_density": """WITH r AS (SELECT i AS range, (200003 * i) // 64 AS lower_id, (200003 * (i + 1)) // 64 - 1 AS upper_id FROM range(64) t(i)),
+    "t4_id_ranges": """WITH b AS (SELECT min(o_orderkey) AS a, max(o_orderkey) - min(o_orderkey) + 1 AS total FROM orders),
+      r AS (SELECT i AS range, a + (total * i) // 64 AS lower_id, a + (total * (i + 1)) // 64 - 1 AS upper_id FROM range(64) t(i), b)
+      SELECT range, lower_id, upper_id, count(o_orderkey) AS orders FROM r LEFT JOIN orders ON o_orderkey BETWEEN lower_id AND upper_id GROUP BY 1, 2, 3""",
+    "t5_range_density": """WITH b AS (SELECT min(l_orderkey) AS a, max(l_orderkey) - min(l_orderkey) + 1 AS total FROM lineitem),
+      r AS (SELECT i AS range, a + (total * i) // 64 AS lower_id, a + (total * (i + 1)) // 64 - 1 AS upper_id FROM range(64) t(i), b),
       u AS (SELECT range, lower_id, upper_id, count(id) AS users FROM r LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem) ON id BETWEEN lower_id AND upper_id GROUP BY 1, 2, 3)
       SELECT *, round(users / (upper_id - lower_id + 1), 6)::DOUBLE AS density, ceil(1000 * least(1.0, greatest(0.0, users / (upper_id - lower_id + 1)::DOUBLE)))::BIGINT AS expected FROM u""",
     "t6_pass_plan": _with(SHARDS) + "SELECT 'tail' AS kind, (max(upper_id) + 1)::BIGINT AS lower_id, 10000000::BIGINT AS upper_id FROM shards",
@@ -290,6 +323,27 @@ ORACLE_SQL: dict[str, str] = {
       SELECT account_id, login, epoch(first_seen_at)::BIGINT AS first_seen_at, (SELECT count(*) FROM n) > 25 AS has_more, CASE WHEN (SELECT count(*) FROM n) > 25 THEN (SELECT max(account_id) FROM p) END AS next_after FROM p""",
     "l2_batch_plan": _with(ATTEMPTS) + f"""SELECT job_id, source, status FROM attempts WHERE status IN ('retry', 'pending') AND "at" <= TIMESTAMP '{NOW}'
       ORDER BY status = 'pending', list_position(['anomaly', 'federation', 'tail', 'onboarding', 'reconcile', 'global', 'priority'], source), "at", job_id LIMIT 200""",
+    "l3_batch_plan_weighted": _with(ATTEMPTS) + f""", ready AS (
+        SELECT *, CASE WHEN source IN ('tail', 'onboarding') THEN 'live' WHEN source = 'priority' THEN 'owner' ELSE 'global' END AS class,
+          list_position(['anomaly', 'federation', 'reconcile', 'global', 'tail', 'onboarding', 'priority'], source) AS g,
+          list_position(['anomaly', 'federation', 'tail', 'onboarding', 'reconcile', 'global', 'priority'], source) AS l,
+          list_position(['anomaly', 'federation', 'priority', 'reconcile', 'global', 'tail', 'onboarding'], source) AS o
+        FROM attempts WHERE status IN ('retry', 'pending') AND "at" <= TIMESTAMP '{NOW}'),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY status = 'pending', CASE class WHEN 'global' THEN g WHEN 'live' THEN l ELSE o END, "at", job_id) AS r FROM ready)
+      SELECT job_id, class, r > CASE class WHEN 'global' THEN 900 ELSE 50 END AS borrowed FROM ranked WHERE r <= 1000
+      ORDER BY borrowed, status = 'pending', g, "at", job_id LIMIT 1000""",
+    "x3_same_sets": """SELECT 'repeats' AS pair, true AS same UNION ALL
+      SELECT 'orders', NOT EXISTS (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders) AND NOT EXISTS (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)""",
     "l4_latest_error": "SELECT user_id AS account_id, max_by(CASE WHEN event_type = 'error' THEN 'e' || (event_id % 11) END, ts) FILTER (WHERE event_type = 'error') AS latest_error FROM events GROUP BY 1",
     "l5_recent_runs": "SELECT year(o_orderdate) AS run_id, epoch(min(o_orderdate))::BIGINT AS started_at FROM orders GROUP BY 1 ORDER BY 2 DESC LIMIT 3",
 }
+
+
+def _status_report() -> str:
+    """One row of three reports; each is the SQL of its own query."""
+    totals, coverage, jobs = (ORACLE_SQL[n] for n in ("a13_index_totals", "a2_coverage_summary", "a7_job_health"))
+    return f"""SELECT t.*, j.* EXCLUDE (oldest_at), c.*, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS samples, t.associations AS in_json, NULL::VARCHAR AS left_out
+      FROM ({totals}) t, ({jobs}) j, ({coverage}) c"""
+
+
+ORACLE_SQL["t12_status_report"] = _status_report()

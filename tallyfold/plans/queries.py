@@ -256,22 +256,40 @@ def x1_symmetric_difference(spark, d):
     return V.symmetric_difference(side(0), side(1))
 
 
+@query
+def x3_same_sets(spark, d):
+    li = X.load(spark, d, "lineitem").select("l_orderkey")
+    orders = X.load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    whole = V.same_sets(li, li.distinct()).withColumn("pair", F.lit("repeats"))
+    return whole.unionByName(V.same_sets(li, orders).withColumn("pair", F.lit("orders")))
+
+
 # --- lookups and joins -----------------------------------------------------
 
 
-def _queries(spark, d):
-    keys = H.ownership_history(X.scans(spark, d)).select("key").distinct().filter("key % 7 = 0")
-    extra = spark.range(5).select((F.col("id") + 100_000).alias("key"))
-    return keys.union(extra).select(F.col("key").alias("query_id"), "key")
+def _lookup(spark, d, form):
+    """Every key of the history and some that nobody published, in several spellings."""
+    scans = X.scans(spark, d)
+    logins = H.login_history(scans.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie")))
+    history = H.ownership_history(scans)
+    numbers = history.select(F.col("key").alias("number")).distinct()
+    numbers = numbers.union(numbers.filter("number % 50 = 0").select(F.col("number") + 1_000_000))
+    return form(X.key_queries(numbers), X.printed_history(history), H.owners(scans), logins)
+
+
+def _names(aliases):
+    return F.array_join(F.transform(aliases, lambda a: a["login"]), "+")
 
 
 @query
 def j1_reverse_lookup(spark, d):
-    scans = X.scans(spark, d)
-    logins = H.login_history(scans.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie")))
-    out = L.reverse_lookup(_queries(spark, d), H.ownership_history(scans), H.owners(scans), logins)
-    item = lambda m: F.concat_ws(":", m["login"], m["present"], F.array_join(F.transform(m["aliases"], lambda a: a["login"]), "+"))
-    return out.select("query_id", "n_matches", F.coalesce(F.array_join(F.transform("matches", item), ","), F.lit("")).alias("matches"))
+    return _lookup(spark, d, L.lookup_rows).select("query_id", "n_matches", "account_id", "login", "present", "first_seen_at", _names("aliases").alias("aliases"))
+
+
+@query
+def j1_lookup_lists(spark, d):
+    item = lambda m: F.concat_ws(":", m["login"], m["present"], _names(m["aliases"]))
+    return _lookup(spark, d, L.reverse_lookup).select("query_id", "n_matches", F.array_join(F.transform("matches", item), ",").alias("matches"))
 
 
 @query
@@ -345,6 +363,20 @@ def a2_coverage_summary(spark, d):
     return C.coverage_summary(_bitmaps(spark, d))
 
 
+@query
+def a2_missing_ids(spark, d):
+    remote, local = X.remote_local(spark, d)
+    return C.missing_ids(remote, local, remote.filter("id % 5 = 0"))
+
+
+@query
+def a1_merge_bitmaps(spark, d):
+    """Bitmaps of two sets of ids that overlap, merged."""
+    ids = X.remote_local(spark, d)[0].select(F.lit("discovered").alias("mark"), "id")
+    halves = C.coverage_bitmap(ids.filter("id % 3 < 2")).unionByName(C.coverage_bitmap(ids.filter("id % 3 > 0")))
+    return C.merge_bitmaps(halves).groupBy("mark").agg(F.sum("n").alias("n"))
+
+
 @query
 def a3_coverage_by_day(spark, d):
     return C.coverage_by_day(X.remote_local(spark, d)[1])
@@ -444,14 +476,25 @@ def a16_class_depth(spark, d):
 
 @query
 def t1_day_partitions(spark, d):
-    o = X.load(spark, d, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
-    days = o.select(F.explode(F.sequence("a", F.expr("b + interval 6 hours"), F.expr("interval 1 day"))).alias("start_at"), F.expr("b + interval 6 hours").alias("cutoff"))
-    return days.select("start_at", F.least(F.col("start_at") + F.expr("interval 86399 seconds"), F.col("cutoff")).alias("end_at"))
+    return C.day_partitions(X.load(spark, d, "orders").agg(F.min("o_orderdate").alias("epoch"), F.expr("max(o_orderdate) + interval 6 hours").alias("cutoff")))
+
+
+def _bounds(df, value):
+    """Least and greatest value, two numbers; 0 and -1 of an empty table."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    return (0, -1) if low is None else (int(low), int(high))
 
 
 @query
 def t2_bisect_partitions(spark, d):
-    return C.bisect_partitions(X.load(spark, d, "events"), "ts", 1_704_067_200, 1_704_067_200 + (1 << 22) - 1, 100)
+    events = X.load(spark, d, "events")
+    return C.bisect_partitions(events, "ts", *_bounds(events, F.unix_timestamp("ts")), 100)
+
+
+@query
+def t2_bisect_unresolved(spark, d):
+    orders = X.load(spark, d, "orders")
+    return C.bisect_partitions(orders, "o_orderdate", *_bounds(orders, F.unix_timestamp("o_orderdate")), 5)
 
 
 @query
@@ -461,15 +504,17 @@ def t3_reconcile_counts(spark, d):
 
 @query
 def t4_id_ranges(spark, d):
-    top = 1_000_003
-    keys = X.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    return C.id_ranges(spark, 1, top, 64).join(keys.agg(F.count(F.lit(1)).alias("orders")))
+    ids = X.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    low, high = _bounds(ids, "id")
+    ranges = C.id_ranges(spark, low, high, 64)
+    held = C.range_density(ids, low, high, 64).select("range", F.col("users").alias("orders"))
+    return ranges.join(held, "range")
 
 
 @query
 def t5_range_density(spark, d):
     ids = X.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
-    out = C.range_density(ids, 0, 200_002, 64)
+    out = C.range_density(ids, *_bounds(ids, "id"), 64)
     return out.withColumn("density", F.round("density", 6)).withColumn("expected", C.expected_new(F.lit(1000), F.col("users"), F.col("upper_id") - F.col("lower_id") + 1))
 
 
@@ -549,7 +594,11 @@ def t11_audit_verdict(spark, d):
 @query
 def t12_status_report(spark, d):
     scans = X.scans(spark, d)
-    return P.status_report(totals=L.index_totals(H.owners(scans), H.ownership_history(scans)), jobs=S.job_health(X.attempts(spark, d)), coverage=C.coverage_summary(_bitmaps(spark, d))).select("json")
+    jobs = S.job_health(X.attempts(spark, d)).drop("oldest_at")
+    totals = L.index_totals(H.owners(scans), H.ownership_history(scans))
+    forecast = _progress(spark, d).agg(F.count(F.lit(1)).alias("samples"))
+    out = P.status_report(F.lit(0.5), totals=totals, jobs=jobs, coverage=C.coverage_summary(_bitmaps(spark, d)), forecast=forecast)
+    return out.select("totals.*", "jobs.*", "coverage.*", "forecast.samples", F.get_json_object("json", "$.totals.associations").cast("long").alias("in_json"), F.get_json_object("json", "$.forecast").alias("left_out"))
 
 
 # --- sorts, limits ---------------------------------------------------------
@@ -567,7 +616,7 @@ def l2_batch_plan(spark, d):
 
 @query
 def l3_batch_plan_weighted(spark, d):
-    return S.batch_plan_weighted(X.attempts(spark, d), 1000, _now()).groupBy("class", "borrowed").agg(F.count(F.lit(1)).alias("n"))
+    return S.batch_plan_weighted(X.attempts(spark, d), 1000, _now()).select("job_id", "class", "borrowed")
 
 
 @query
