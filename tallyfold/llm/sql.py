@@ -7,7 +7,9 @@ from .quality_rules import CLASS_LIMIT, CLASS_MIN_CHARS, COMMON_LIMIT, COMMON_MI
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP8 = f"""
-WITH sizes AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix-1:' || doc_id) AS h FROM documents),
+WITH sizes AS (
+  SELECT doc_id, source, size, length(bin(size)) AS pref, md5('mix-1:' || key) AS h, key
+  FROM (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS key FROM documents)),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sizes GROUP BY source),
 caps AS (SELECT *, ([5.0, 2.0, 1.0])[rank % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM per),
 levels AS (
@@ -16,12 +18,19 @@ levels AS (
       / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
 chosen AS (SELECT *, (SELECT arg_min(level, (ratio, rank)) FROM levels WHERE level <= ratio) AS l FROM levels),
 targets AS (SELECT source, source_size, coalesce(least(cap, weight * l), cap) AS target FROM chosen),
-copies AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS c FROM targets),
-plan AS (SELECT source, source_size, target, floor(c)::INT AS certain, c - floor(c) AS rest, target - floor(c) * source_size AS wanted FROM copies),
+classes AS (
+  SELECT t.*, pref, n, 2.0::DOUBLE / pref AS ratio, 2.0::DOUBLE * n AS cap, pref::DOUBLE * n AS weight
+  FROM (SELECT source AS s, pref, sum(size)::BIGINT AS n FROM sizes GROUP BY ALL) JOIN targets t ON s IS NOT DISTINCT FROM t.source),
+steps AS (
+  SELECT *, (target - coalesce(sum(cap) OVER (PARTITION BY source ORDER BY ratio, pref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / nullif(sum(weight) OVER (PARTITION BY source ORDER BY ratio, pref ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM classes),
+solved AS (SELECT *, arg_min(level, (ratio, pref)) FILTER (WHERE level <= ratio) OVER (PARTITION BY source) AS l FROM steps),
+copies AS (SELECT *, CASE WHEN source_size > 0 THEN coalesce(least(2.0::DOUBLE, l * pref), 2.0::DOUBLE) ELSE 0 END AS c FROM solved),
+plan AS (SELECT source, pref, source_size, target, floor(c)::INT AS certain, c - floor(c) AS rest, target - sum(floor(c) * n) OVER (PARTITION BY source) AS wanted FROM copies),
 odds AS (SELECT *, (('0x' || substr(h, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM sizes),
-ranked AS (SELECT o.doc_id, o.size, p.source, p.source_size, p.target, p.certain, p.rest, p.wanted, (u / (1 - u)) / (rest / (1 - rest)) AS q
-  FROM odds o JOIN plan p ON o.source IS NOT DISTINCT FROM p.source),
-summed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)
+ranked AS (SELECT o.doc_id, o.key, o.size, p.source, p.source_size, p.target, p.certain, p.rest, p.wanted, CASE WHEN rest > 0 THEN (u / (1 - u)) / (rest / (1 - rest)) END AS q
+  FROM odds o JOIN plan p ON o.source IS NOT DISTINCT FROM p.source AND o.pref = p.pref),
+summed AS (SELECT *, coalesce(sum(CASE WHEN rest > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q / (1 + q) NULLS LAST, key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)
 SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN rest > 0 AND before + size / 2.0 <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken FROM summed
 """
 
