@@ -40,3 +40,66 @@ def read_ledger(spark: SparkSession, root: str, name: str, schema: str | None =
         return None
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(f"{root}/{name}/v={version}")
+
+
+def remove_versions(spark: SparkSession, root: str, name: str, keep: int = 2) -> list[int]:
+    """Delete all but the newest ``keep`` published versions; returns those deleted."""
+    newest = current_version(spark, root, name)
+    if newest is None:
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    found = sorted(v for v in (int(n[2:]) for n in names if n.startswith("v=")) if v <= newest)
+    gone = found[:-keep] if keep else found
+    for version in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/v={version}"), True)
+    return gone
+
+
+# --- tables in buckets, each with the version it was last written in ---------
+
+MANIFEST = "name string, bucket int, version int"
+
+
+def write_buckets(df: DataFrame, root: str, name: str, version: int) -> None:
+    """Write rows with a column ``bucket`` as a version that holds just these buckets."""
+    df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}/v={version}")
+
+
+def write_manifest(spark: SparkSession, root: str, versions: dict[tuple[str, int], int], version: int) -> None:
+    """Publish which version of each bucket is the newest: a row per table and bucket."""
+    rows = spark.createDataFrame([(name, b, v) for (name, b), v in sorted(versions.items())], MANIFEST)
+    write_ledger(rows.coalesce(1), root, "manifest", version)
+
+
+def read_manifest(spark: SparkSession, root: str, before: int | None = None) -> dict[tuple[str, int], int]:
+    """The newest manifest, or the newest of a version less than ``before``."""
+    version = current_version(spark, root, "manifest")
+    if version is not None and before is not None:
+        version = min(version, before - 1)
+    if not version:
+        return {}
+    return {(r["name"], r["bucket"]): r["version"] for r in spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v={version}").collect()}
+
+
+def read_buckets(spark: SparkSession, root: str, name: str, manifest: dict[tuple[str, int], int], buckets: list[int] | None, schema) -> DataFrame:
+    """Rows of the newest version of some buckets (None: all)."""
+    paths = [f"{root}/{name}/v={v}/bucket={b}" for (n, b), v in manifest.items() if n == name and (buckets is None or b in buckets)]
+    paths = [p for p in paths if _exists(spark, p)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_log(spark: SparkSession, root: str, manifest: dict[tuple[str, int], int], buckets: list[int], schema, only: int | None = None) -> DataFrame:
+    """Rows of a log in buckets: all versions up to the manifest's, or one; other buckets are not read."""
+    last = max((v for (n, _), v in manifest.items() if n == "log"), default=0)
+    paths = [f"{root}/log/v={v}" for v in ([only] if only else range(1, last + 1))]
+    paths = [p for p in paths if _exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/log").parquet(*paths).filter(F.col("bucket").isin(buckets)).drop("v")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import ownership_history
+from ..operators.history import login_history, owners, ownership_history, refresh_ladder
 from ..sources import ledger
 
+OWNERS = "account_id long, first_seen_at timestamp, last_seen_at timestamp, login string, node_id string, inaccessible boolean"
+LOGINS = "account_id long, login string, first_seen_at timestamp, last_seen_at timestamp, present boolean"
+LADDER = "account_id long, stage int, last_changed_at timestamp, last_scan_at timestamp, next_due_at timestamp"
 PAIRS = "account_id long, key long, first_seen_at timestamp, last_seen_at timestamp, present boolean, removed_at timestamp"
 
 
@@ -22,7 +25,7 @@ def history_state(scans: DataFrame) -> DataFrame:
     return ownership_history(scans).select("account_id", "key", "first_seen_at", "last_seen_at", "present", "removed_at")
 
 
-def fold_history(state: DataFrame, last: DataFrame, batch: DataFrame) -> DataFrame:
+def fold_history(state: DataFrame, batch: DataFrame) -> DataFrame:
     """State after a batch whose scans are all later than each account's last one.
 
     Pairs the batch doesn't show and that were present are removed at the account's
@@ -44,46 +47,75 @@ def fold_history(state: DataFrame, last: DataFrame, batch: DataFrame) -> DataFra
     )
 
 
-def stream_history(scans: DataFrame, root: str, checkpoint: str):
-    """Fold a stream of scans into a versioned ledger; returns the started query.
+#: Buckets of accounts; a batch rewrites those it touches.
+BUCKETS = 16
+TABLES = ("pairs", "owners", "logins", "ladder")
 
-    The scan log is kept beside the pairs.  A scan delivered again is dropped by its
-    scan_id; an account with a scan not later than its last is folded again from the
-    log; a batch that runs again writes the version it wrote before.
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
+
+
+def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[int]):
+    """Fold a stream of scans into bucketed tables; returns the started query.
+
+    Tables: key pairs, owners, logins and refresh ladder (TABLES), by buckets of
+    accounts.  A batch adds its new scans to the log, folds the accounts it holds and
+    writes the buckets they are in; the newest version of each bucket is in a manifest
+    that is published last.  A scan delivered again is dropped by its scan_id; pairs of
+    an account with a scan not later than its last are folded again from the log; a
+    batch that runs again writes the versions it wrote before.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        before = ledger.current_version(spark, root, "log")
-        log = None if not before else _read(spark, root, "log", min(before, batch_id), batch.schema)
-        fresh = batch.dropDuplicates(["account_id", "scan_id"])
-        if log is not None:
-            fresh = fresh.join(log.select("account_id", "scan_id"), ["account_id", "scan_id"], "left_anti")
-        whole = fresh if log is None else log.unionByName(fresh)
-        if log is None:
-            pairs = history_state(fresh)
-        else:
-            last = log.groupBy("account_id").agg(F.max("observed_at").alias("_last"))
-            late = fresh.join(last, "account_id").filter(F.col("observed_at") <= F.col("_last")).select("account_id").distinct()
-            state = _read(spark, root, "pairs", min(before, batch_id), PAIRS).join(late, "account_id", "left_anti")
-            pairs = fold_history(state, last, fresh.join(late, "account_id", "left_anti"))
-            pairs = pairs.unionByName(history_state(whole.join(late, "account_id", "left_semi")))
-        ledger.write_ledger(pairs, root, "pairs", version)
-        ledger.write_ledger(whole, root, "log", version)
+        spark, version = batch.sparkSession, batch_id + 1
+        manifest = ledger.read_manifest(spark, root, before=version)
+        fresh = batch.withColumn("bucket", _bucket()).dropDuplicates(["account_id", "scan_id"])
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        log = ledger.read_log(spark, root, manifest, touched, fresh.schema)
+        fresh = fresh.join(log.select("account_id", "scan_id"), ["account_id", "scan_id"], "left_anti").select(*fresh.columns)
+        ledger.write_buckets(fresh, root, "log", version)
+        fresh = ledger.read_log(spark, root, {("log", b): version for b in touched}, touched, fresh.schema, only=version)
+        fresh.persist()
+        accounts = fresh.select("account_id").distinct().persist()
+        known = log.join(accounts, "account_id", "left_semi").persist()
+        whole = known.unionByName(fresh)
+        first = fresh.groupBy("account_id").agg(F.min("observed_at").alias("_first"))
+        late = known.groupBy("account_id").agg(F.max("observed_at").alias("_last")).join(first, "account_id").filter("_first <= _last").select("account_id")
+
+        def others(name: str, schema: str) -> DataFrame:
+            """Rows of the touched buckets' accounts that the batch doesn't hold."""
+            return ledger.read_buckets(spark, root, name, manifest, touched, schema)
+
+        state = others("pairs", PAIRS)
+        same = fold_history(state.join(late, "account_id", "left_anti"), fresh.join(late, "account_id", "left_anti"))
+        pairs = same.unionByName(history_state(whole.join(late, "account_id", "left_semi")))
+        logins = whole.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie"))
+        new = {"owners": (owners(whole), OWNERS), "logins": (login_history(logins), LOGINS), "ladder": (refresh_ladder(whole, schedule), LADDER)}
+        tables = {"pairs": pairs}
+        for name, (rows, schema) in new.items():
+            tables[name] = others(name, schema).join(accounts, "account_id", "left_anti").unionByName(rows)
+        for name, rows in tables.items():
+            ledger.write_buckets(rows.withColumn("bucket", _bucket()), root, name, version)
+        changed = {(name, b): version for name in (*TABLES, "log") for b in touched}
+        ledger.write_manifest(spark, root, manifest | changed, version)
+        for rows in (fresh, accounts, known):
+            rows.unpersist()
 
     return scans.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _read(spark: SparkSession, root: str, name: str, version: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/{name}/v={version}")
-
-
 def stream_rates(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Per-minute totals; data later than the watermark is dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("minute"), "n")
 
 
+def recent(rates: DataFrame, days: int = 7) -> DataFrame:
+    """The newest ``days`` of a table of rates by minute; older ones are not kept."""
+    last = rates.agg(F.max("minute").alias("_last"))
+    return rates.join(F.broadcast(last), F.col("minute") > F.col("_last") - F.make_dt_interval(F.lit(days))).drop("_last")
+
+
 def stream_highwater(events: DataFrame, key: str, value: str) -> DataFrame:
     """Highest value seen per key; run in complete or update mode."""
     return events.groupBy(key).agg(F.max(value).alias(value))
@@ -98,20 +130,32 @@ def quota_violations(log: DataFrame, limit: int = 120, seconds: int = 60) -> Dat
     """Requests above the limit of windows that open at a client's first request.
 
     ``log``: (client, ts, request_id).  A window ends ``seconds`` after it opened and
-    the next request opens another one, so windows are each client's own.
+    the next request opens another one, so windows are each client's own.  A pause of
+    ``seconds`` ends any window, so a client's log is cut at its pauses and the parts
+    are dealt over the tasks, where sorted rows are walked with two numbers in memory.
     """
-    item = F.struct(F.unix_micros("ts").alias("t"), "request_id")
-    runs = log.groupBy("client").agg(F.array_sort(F.collect_list(item)).alias("log"))
-    kind = "struct<start: long, n: int, over: array<bigint>>"
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("over")).cast(kind)
-
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["start"].isNull() | (e["t"] - s["start"] >= seconds * 1_000_000)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        over = F.when(n > limit, F.concat(s["over"], F.array(e["request_id"]))).otherwise(s["over"])
-        return F.struct(F.when(fresh, e["t"]).otherwise(s["start"]).alias("start"), n.alias("n"), over.alias("over")).cast(kind)
-
-    return runs.select("client", F.explode(F.aggregate("log", zero, step)["over"]).alias("request_id"))
+    by_client = Window.partitionBy("client").orderBy("ts", "request_id")
+    rows = log.select("client", "request_id", F.unix_micros("ts").alias("t"), F.unix_micros(F.lag("ts").over(by_client)).alias("before"))
+    rows = rows.withColumn("pause", F.coalesce(F.col("t") - F.col("before") >= seconds * 1_000_000, F.lit(True)).cast("long"))
+    ordered = Window.partitionBy("client").orderBy("t", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("part", F.sum("pause").over(ordered)).select("client", "part", "t", "request_id")
+
+    def walk(batches):
+        import pyarrow as pa
+
+        at, start, n = None, 0, 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("client", "part", "t")]
+            over = []
+            for client, part, t in zip(*columns):
+                if at != (client, part) or t - start >= seconds * 1_000_000:
+                    at, start, n = (client, part), t, 0
+                n += 1
+                over.append(n > limit)
+            yield batch.select(["client", "request_id"]).filter(pa.array(over, pa.bool_()))
+
+    keys = ["client", "part"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "request_id").mapInArrow(walk, "client long, request_id long")
 
 
 def stream_quota(log: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
@@ -135,15 +179,23 @@ def stream_quota(log: DataFrame, limit: int = 120, seconds: int = 60) -> DataFra
     return log.groupBy("client").applyInPandasWithState(check, "client long, request_id long", "start long, n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_refresh_state(scans: DataFrame, schedule: list[int]) -> DataFrame:
+#: State of an account without scans is dropped after so many times the longest step.
+EXPIRE_AFTER = 4
+
+
+def stream_refresh_state(scans: DataFrame, schedule: list[int], late: str = "1 day") -> DataFrame:
     """Per account: stage and next due time after each batch of scans in order of time.
 
-    State: the last shown key set, whether the account is an owner, and its stage.
+    State: the last shown key set, whether the account is an owner, and its stage; it
+    expires by event time, long after the last step of the ladder.
     """
 
     def advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         shown, owner, stage, last = state.get if state.exists else ("", False, -1, 0)
         rows = pd.concat(list(frames)).sort_values(["observed_at", "scan_id"])
         for at, status, keys in zip(rows["observed_at"].astype("datetime64[s]").astype("int64"), rows["status"], rows["keys"]):
@@ -154,7 +206,51 @@ def stream_refresh_state(scans: DataFrame, schedule: list[int]) -> DataFrame:
                 last = int(at)
             shown = now
         state.update((shown, bool(owner), int(stage), int(last)))
+        _expire(state, int(at), max(schedule))
         if stage >= 0:
             yield pd.DataFrame({"account_id": [key[0]], "stage": [stage], "next_due_s": [last + schedule[stage] + key[0] % 900]})
 
-    return scans.groupBy("account_id").applyInPandasWithState(advance, "account_id long, stage int, next_due_s long", "shown string, owner boolean, stage int, last long", "update", GroupStateTimeout.NoTimeout)
+    rows = scans.withWatermark("observed_at", late).groupBy("account_id")
+    return rows.applyInPandasWithState(advance, "account_id long, stage int, next_due_s long", "shown string, owner boolean, stage int, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _expire(state: GroupState, at: int, step: int) -> None:
+    """Let a state end some time after the event time ``at`` (seconds)."""
+    state.setTimeoutTimestamp(max(1000 * (at + EXPIRE_AFTER * step), state.getCurrentWatermarkMs() + 1))
+
+
+def stream_zero_keys(scans: DataFrame, ages: list[int], late: str = "1 day") -> DataFrame:
+    """The zero-key ladder on a stream whose batches come in order of time.
+
+    A row per account and batch: its stage and times in seconds, or a null stage where
+    it has left the ladder.  An account with a key stays known, so that it stays out,
+    until its state expires.
+    """
+
+    def advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stage, first, last, due, owner = state.get if state.exists else (-1, 0, 0, 0, False)
+        rows = pd.concat(list(frames)).sort_values(["observed_at", "scan_id"])
+        for at, source, n in zip(rows["observed_at"].astype("datetime64[s]").astype("int64").tolist(), rows["source"], rows["n_keys"]):
+            if owner or n > 0:
+                owner, stage = True, -1
+            elif source == "tail":
+                stage, first, due = (0, at, at + ages[0]) if stage < 0 else (stage, first, due)
+                last = at
+            elif source == "onboarding" and stage >= len(ages) - 1:
+                stage = -1
+            elif source == "onboarding" and stage >= 0:
+                stage, last = stage + 1, at
+                due = max(first + ages[stage], at + 300)
+        state.update((int(stage), int(first), int(last), int(due), bool(owner)))
+        _expire(state, int(at), max(ages))
+        there = stage >= 0
+        yield pd.DataFrame({"account_id": [key[0]], "stage": pd.array([stage if there else None], "Int32"), "first_at": [first], "last_at": [last], "due_at": [due]})
+
+    rows = scans.withWatermark("observed_at", late).groupBy("account_id")
+    out = "account_id long, stage int, first_at long, last_at long, due_at long"
+    return rows.applyInPandasWithState(advance, out, "stage int, first_at long, last_at long, due_at long, owner boolean", "update", GroupStateTimeout.EventTimeTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from ..plans import fixtures as X
 from ..sources import ledger
 from . import folds
 
+AGES = [3_600, 86_400, 7 * 86_400, 28 * 86_400]
+#: Window of the quota queries: long, as a user of the tables is seen a few times a day.
+QUOTA_SECONDS = 86_400
 REFRESH = [86_400, 3 * 86_400, 7 * 86_400, 14 * 86_400, 28 * 86_400]
 
 
@@ -25,68 +29,99 @@ def _folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def _replay(spark: SparkSession, df: DataFrame, tag: str, files: int, order: str) -> DataFrame:
-    """Land ``df`` as one file per slice of time, oldest first, and read one per batch."""
-    path = _folder(spark, tag)
-    low, high = df.agg(F.min(F.unix_timestamp(order)), F.max(F.unix_timestamp(order))).first()
-    place = F.floor((F.unix_timestamp(order) - (low or 0)) * files / ((high or 0) - (low or 0) + 1))
-    for i in range(files):
-        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Replay:
+    """A table as a stream: slices of time, oldest first, each landed when the stream has read those before."""
 
+    def __init__(self, spark: SparkSession, df: DataFrame, tag: str, slices: int, order: str):
+        self.spark, self.schema, self.slices = spark, df.schema, slices
+        self.staged, self.path = _folder(spark, f"{tag}-staged"), _folder(spark, tag)
+        low, high = df.agg(F.min(F.unix_timestamp(order)), F.max(F.unix_timestamp(order))).first()
+        place = F.floor((F.unix_timestamp(order) - (low or 0)) * slices / ((high or 0) - (low or 0) + 1))
+        salt = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))
+        df.withColumn("_slice", place).repartition("_slice", salt).write.partitionBy("_slice").parquet(self.staged)
+        spark.createDataFrame([], df.schema).write.parquet(self.path)
 
-def _run(spark: SparkSession, stream: DataFrame, tag: str, mode: str) -> DataFrame:
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def land(self):
+        """Lands one slice after the other; the caller lets the stream run in between."""
+        rows = self.spark.read.parquet(self.staged)
+        for i in range(self.slices):
+            rows.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(self.path)
+            yield i
+
+
+def _run(spark: SparkSession, replay: Replay, transform: Callable[[DataFrame], DataFrame], tag: str, mode: str) -> DataFrame:
     """Run a stream to its end; each batch is written once, the newest row wins where rows are updated."""
-    out = _folder(spark, f"{tag}-out")
+    out, state = _folder(spark, f"{tag}-out"), _folder(spark, f"{tag}-state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", _folder(spark, f"{tag}-state")).trigger(availableNow=True).start().awaitTermination()
+    for _ in replay.land():
+        transform(replay.stream()).writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/*")
 
 
+def _stream_history(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    replay = Replay(spark, X.scans(spark, sf_dir), "scans", 4, "observed_at")
+    root, state = _folder(spark, "ledger"), _folder(spark, "ledger-state")
+    for _ in replay.land():
+        folds.stream_history(replay.stream(), root, state, REFRESH).awaitTermination()
+    return X.seconds(ledger.read_buckets(spark, root, name, ledger.read_manifest(spark, root), None, schema))
+
+
 def r1_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _replay(spark, X.scans(spark, sf_dir), "scans", 6, "observed_at")
-    root = _folder(spark, "ledger")
-    folds.stream_history(scans, root, _folder(spark, "ledger-state")).awaitTermination()
-    return X.seconds(ledger.read_ledger(spark, root, "pairs", folds.PAIRS))
+    return _stream_history(spark, sf_dir, "pairs", folds.PAIRS)
+
+
+def r1_stream_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_history(spark, sf_dir, "owners", folds.OWNERS)
 
 
 def r2_stream_refresh_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _replay(spark, X.weekly_scans(spark, sf_dir), "weeks", 3, "observed_at")
-    rows = _run(spark, folds.stream_refresh_state(scans, REFRESH), "refresh", "update")
+    scans = Replay(spark, X.weekly_scans(spark, sf_dir), "weeks", 3, "observed_at")
+    rows = _run(spark, scans, lambda s: folds.stream_refresh_state(s, REFRESH), "refresh", "update")
     return rows.groupBy("account_id").agg(F.max_by(F.struct("stage", "next_due_s"), "_batch").alias("r")).select("account_id", "r.stage", "r.next_due_s")
 
 
+def r2_stream_zero_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = Replay(spark, X.ladder_scans(spark, sf_dir), "ladder", 3, "observed_at")
+    rows = _run(spark, scans, lambda s: folds.stream_zero_keys(s, AGES), "zero-keys", "update")
+    last = F.max_by(F.struct("stage", "first_at", "last_at", "due_at"), "_batch").alias("r")
+    return rows.groupBy("account_id").agg(last).select("account_id", "r.*").filter("stage is not null")
+
+
 def r3_stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.load(spark, sf_dir, "events").select("ts", "event_id")
-    rows = _run(spark, folds.stream_rates(_replay(spark, events, "rates", 4, "ts")), "rates", "update")
-    return X.seconds(rows.groupBy("minute").agg(F.max_by("n", "_batch").alias("n")))
+    rows = _run(spark, Replay(spark, events, "rates", 3, "ts"), folds.stream_rates, "rates", "update")
+    return X.seconds(folds.recent(rows.groupBy("minute").agg(F.max_by("n", "_batch").alias("n"))))
 
 
 def r4_stream_highwater(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.load(spark, sf_dir, "events").select("ts", "event_type", "event_id")
-    rows = _run(spark, folds.stream_highwater(_replay(spark, events, "marks", 4, "ts"), "event_type", "event_id"), "marks", "update")
+    rows = _run(spark, Replay(spark, events, "marks", 3, "ts"), lambda s: folds.stream_highwater(s, "event_type", "event_id"), "marks", "update")
     return rows.groupBy("event_type").agg(F.max("event_id").alias("event_id"))
 
 
 def r5_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.load(spark, sf_dir, "events").select("ts", "user_id", "event_type")
-    return _run(spark, folds.stream_dedupe(_replay(spark, events, "dedupe", 4, "ts"), ["user_id", "event_type"]), "dedupe", "append").select("user_id", "event_type")
+    return _run(spark, Replay(spark, events, "dedupe", 3, "ts"), lambda s: folds.stream_dedupe(s, ["user_id", "event_type"]), "dedupe", "append").select("user_id", "event_type")
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.load(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 8).alias("client"), "ts", F.col("event_id").alias("request_id"))
+    return e.select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("request_id"))
 
 
 def r6_quota_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.quota_violations(_access(spark, sf_dir), 3, 3600)
+    return folds.quota_violations(_access(spark, sf_dir), 3, QUOTA_SECONDS)
 
 
 def r6_stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, folds.stream_quota(_replay(spark, _access(spark, sf_dir), "quota", 4, "ts"), 3, 3600), "quota", "append").select("client", "request_id")
+    replay = Replay(spark, _access(spark, sf_dir), "quota", 3, "ts")
+    return _run(spark, replay, lambda s: folds.stream_quota(s, 3, QUOTA_SECONDS), "quota", "append").select("client", "request_id")
 
 
 def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,23 +133,26 @@ def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.seconds(ledger.read_ledger(spark, root, "history", folds.PAIRS))
 
 
-QUERIES = {f.__name__: f for f in (r1_stream_history, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
+QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
 
 
 def _oracles() -> dict[str, str]:
-    from ..plans.oracles import HISTORY, WEEKS
+    from ..plans.oracles import HISTORY, ORACLE_SQL, WEEKS
 
     pairs = "SELECT account_id, key, epoch(first_seen_at)::BIGINT AS first_seen_at, epoch(last_seen_at)::BIGINT AS last_seen_at, present, epoch(removed_at)::BIGINT AS removed_at FROM history"
-    quota = """WITH RECURSIVE e AS (SELECT user_id % 8 AS client, ts, event_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS r FROM events),
+    quota = """WITH RECURSIVE e AS (SELECT user_id AS client, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
       w AS (SELECT client, r, event_id, ts AS start, 1 AS n FROM e WHERE r = 1
-        UNION ALL SELECT e.client, e.r, e.event_id, CASE WHEN e.ts - w.start >= INTERVAL 1 HOUR THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start >= INTERVAL 1 HOUR THEN 1 ELSE w.n + 1 END
+        UNION ALL SELECT e.client, e.r, e.event_id, CASE WHEN e.ts - w.start >= INTERVAL 1 DAY THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start >= INTERVAL 1 DAY THEN 1 ELSE w.n + 1 END
         FROM w JOIN e ON e.client = w.client AND e.r = w.r + 1)
       SELECT client, event_id AS request_id FROM w WHERE n > 3"""
     return {
         "r1_stream_history": "WITH " + HISTORY + "\n" + pairs,
         "s8_write_ledger": "WITH " + HISTORY + "\n" + pairs,
         "r2_stream_refresh_state": "WITH " + WEEKS + "\nSELECT account_id, stage, next_due_at AS next_due_s FROM ladder",
-        "r3_stream_rates": "SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*) AS n FROM events GROUP BY 1",
+        "r1_stream_owners": ORACLE_SQL["h2_owners"],
+        "r2_stream_zero_keys": ORACLE_SQL["h7_zero_key_ladder"],
+        "r3_stream_rates": """SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*) AS n FROM events
+          WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM events) - INTERVAL 7 DAY GROUP BY 1""",
         "r4_stream_highwater": "SELECT event_type, max(event_id) AS event_id FROM events GROUP BY 1",
         "r5_stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
         "r6_quota_violations": quota,
