@@ -61,11 +61,13 @@ def without(docs: DataFrame, verdicts: DataFrame, by: str = "kept") -> DataFrame
     """``docs`` less the documents whose verdict (doc_id, ``by``) is false.
 
     Of rows that share a doc_id (null included) all go or stay: they stay if one does.
+    Columns of any name pass unchanged.
     """
     per = verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(by).alias("_stay"))
     out = keep(per.filter("not _stay").select("_id"), "rejected")
     out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"))
+    return rows.join(out, F.col("_doc").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -9,9 +9,8 @@ The table has a fixed number of slots (at most MOST_SLOTS, checked), so it may b
 broadcast whatever the input; placing a document is one lookup.  The main path
 is DataFrame functions only.
 
-Defined cases: a null doc_id is placed like the text "null"; equal doc_ids share
-a shard; an empty table gives an empty result; shards must have distinct names
-and positive whole weights.
+Defined cases: null doc_ids share a shard, as equal doc_ids do; an empty table gives
+an empty result; shards must have distinct names and positive whole weights.
 """
 
 from __future__ import annotations
@@ -61,7 +60,7 @@ def table_frame(spark: SparkSession, table: list[int]) -> DataFrame:
 
 
 def slot_of(slots: int = SLOTS, doc_id: str = "doc_id") -> Column:
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % slots
 
 

@@ -6,6 +6,19 @@ from .quality_rules import CLASS_LIMIT, CLASS_MIN_CHARS, COMMON_LIMIT, COMMON_MI
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# Fixed value: the base32 alphabet.
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first,
+  array_to_string(list_transform(string_split(sha1(h), ''), lambda x: bin(16 + ('0x' || x)::INT)[2:]), '') AS bits FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1]), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d
+"""
+
 OP8 = f"""
 WITH sizes AS (
   SELECT doc_id, source, size, length(bin(size)) AS pref, md5('mix-1:' || key) AS h, key
@@ -87,4 +100,4 @@ FROM judged j LEFT JOIN js a ON a.doc_id = j.doc_id AND a.kind = 'class' LEFT JO
 """
 
 
-ORACLE_SQL = {"op5_quality_divergence": _op5(), "op8_pareto_mixing": OP8, "op9_setsketch_dedup": OP9}
+ORACLE_SQL = {"op4_warc_bundles": OP4, "op5_quality_divergence": _op5(), "op8_pareto_mixing": OP8, "op9_setsketch_dedup": OP9}

@@ -16,6 +16,8 @@ from tallyfold.llm import html_text, kneser_ney, merkle, mixing, near_dedup, ngr
 from tallyfold.llm.queries import tokenizer_path
 from tallyfold.llm.tokens import TokenIds
 
+from .brute import kneser_ney as brute_kneser_ney
+
 WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 
 
@@ -243,6 +245,46 @@ def test_divergence_finds_junk(spark):
     assert n[0, False] >= 0.4 * (n[0, False] + n.get((0, True), 0))
 
 
+def test_sharding_odd_rows(spark, empty, tmp_path):
+    names, weights = ["a", "b", "c"], [1, 5, 2]
+    table = sharding.fill_table(names, 101, weights)
+    turns = [s for s, w in enumerate(weights) for _ in range(w)]
+    order = {s: [(sharding._number(n, "offset") + j * (sharding._number(n, "skip") % 100 + 1)) % 101 for j in range(101)] for s, n in enumerate(names)}
+    taken = [-1] * 101
+    while -1 in taken:
+        for s in turns:
+            free = next((x for x in order[s] if taken[x] < 0), None)
+            if free is not None:
+                taken[free] = s
+    assert table == taken
+    assert sharding.place(empty, names, 101).count() == 0
+    rows = spark.createDataFrame([(None, "x"), ("null", "y"), ("7", "z"), ("7", "z")], "doc_id string, shard string")
+    got = sharding.place(rows, names, 101, weights).collect()
+    assert len(got) == 4 and sharding.place(rows, names, 101).columns == ["doc_id", "slot", "shard"]
+    slots = {r["doc_id"]: r["slot"] for r in sharding.place(rows, names).collect()}
+    assert slots[None] != slots["null"]
+    sharding.write_shards(rows, str(tmp_path / "out"), names, 101)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select("doc_id", "slot", "shard").collect()), key=repr) == sorted(map(tuple, sharding.place(rows, names, 101).collect()), key=repr)
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.fill_table(bad, 101)
+
+
+def test_rows_without_doc_id(spark):
+    """Near duplicates, fingerprints and classifier keep every row that has no doc_id."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, text, "en"), (None, text, None), (4, text, "en"), (2, text, "en"), (9, None, "en")], "doc_id long, text string, lang string")
+    got = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 36, None, True)] * 2 + [(4, 36, 2, False), (2, 36, 2, True), (9, 0, 9, True)], key=repr)
+    prints = merkle.fingerprint_documents(df, ranges=2).collect()
+    assert sorted((r["doc_id"] is None, r["n_chars"]) for r in prints) == [(False, 0), (False, len(text)), (False, len(text)), (True, len(text)), (True, len(text))]
+    assert len({r["fingerprint"] for r in prints if r["n_chars"]}) == 1
+    verdicts = kneser_ney.classify(df, df.select("doc_id").filter("doc_id is not null")).collect()
+    assert len(verdicts) == 5 and all(r["kept"] for r in verdicts)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_sharding(docs, spark):
     names = [f"n{i}" for i in range(7)]
     table = sharding.fill_table(names, 101)
@@ -266,37 +308,6 @@ def test_sharding(docs, spark):
         sharding.fill_table(names, 100)
 
 
-def brute_kneser_ney(taught: list[str]):
-    """-> p(gram), by the definition: recursion over plain counters."""
-    counts = {4: Counter()}
-    for text in taught:
-        x = "   " + " ".join(text.split()) + " "
-        counts[4].update(x[i - 3 : i + 1] for i in range(3, len(x)))
-    for k in (3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    discounts = {}
-    for k, c in counts.items():
-        n = [0, *(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))]
-        discounts[k] = []
-        for i in (1, 2, 3):
-            d = i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i] if n[i] and n[1] else -1
-            discounts[k].append(d if 0 < d < i else 0.75 * i if i < 3 else 1.5)
-
-    def p(gram: str) -> float:
-        k = len(gram)
-        if not k:
-            return 1 / (len(counts[1]) + 1)
-        follow = {g: v for g, v in counts[k].items() if g[:-1] == gram[:-1]}
-        if not follow:
-            return p(gram[1:])
-        cut = lambda v: discounts[k][min(v, 3) - 1]
-        total = sum(follow.values())
-        own = follow.get(gram, 0)
-        return max(own - cut(own), 0) / total * (own > 0) + sum(map(cut, follow.values())) / total * p(gram[1:])
-
-    return p
-
-
 def test_kneser_ney_by_brute_force(spark):
     taught = ["banana band ban and an a bandana", "a band and a banana\n an and"]
     rows = [("en", t, True) for t in taught] + [("en", "zebra band 👍 x", False), (None, "ab", True), ("en", None, False)]
