@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import fingerprint_text
+from ..session import shared_folder
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +112,14 @@ def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(c.alias("account_id"), raw.alias("raw"), F.timestamp_seconds(c % 1000).alias("observed_at"))
 
 
+def landed_json(spark: SparkSession, df: DataFrame, tag: str) -> str:
+    """Rows as files of JSON lines, and one line that is cut off; returns the folder."""
+    path = shared_folder(spark, tag)
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    lines.union(spark.range(1).select(F.lit('{"page": 1, "batch": 1, "partition": 1, "node": {"id": ').alias("value"))).write.text(path)
+    return path
+
+
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as listing pages of a hundred ids; nation 0 are no users."""
     c = load(spark, sf_dir, "customer")

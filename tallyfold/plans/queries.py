@@ -38,7 +38,7 @@ def _now(text: str = NOW):
 
 @query
 def s1_accounts_from_listing(spark, d):
-    return landed.accounts_from_listing(X.listing_pages(spark, d))
+    return landed.accounts_from_listing(landed.read_listing(spark, X.landed_json(spark, X.listing_pages(spark, d), "listing")))
 
 
 @query
@@ -46,13 +46,14 @@ def s2_scans_from_responses(spark, d):
     lines = X.key_lines(spark, d)
     node = F.struct(F.lit("User").alias("__typename"), F.concat(F.lit("U_"), "account_id").alias("id"), F.col("account_id").alias("databaseId"), F.concat(F.lit("login"), "account_id").alias("login"), F.col("observed_at").alias("createdAt"), F.struct(F.lit(1).alias("totalCount"), F.struct(F.lit(False).alias("hasNextPage"), F.lit(None).cast("string").alias("endCursor")).alias("pageInfo"), F.array(F.struct(F.col("raw").alias("key"), F.lit(None).cast("string").alias("fingerprint"))).alias("nodes")).alias("publicKeys"))
     resp = lines.select((F.col("account_id") % 50).alias("batch"), F.floor(F.col("account_id") / 50).alias("position"), F.col("account_id").alias("requested_id"), F.when(F.col("account_id") % 17 != 0, node).alias("node"))
+    resp = landed.read_responses(spark, X.landed_json(spark, resp, "responses"))
     return landed.scans_from_responses(resp).select("batch", "position", "requested_id", "status", "account_id", "login", "total", F.coalesce(F.size("keys"), F.lit(-1)).alias("n_keys"))
 
 
 @query
 def s3_accounts_from_search(spark, d):
     pages = X.listing_pages(spark, d).select(F.col("page").alias("partition"), "page", F.col("objects").alias("items"))
-    good, bad = landed.accounts_from_search(pages)
+    good, bad = landed.accounts_from_search(landed.read_search(spark, X.landed_json(spark, pages, "search")))
     return good.select("partition", "account_id", F.lit(False).alias("rejected")).unionByName(bad.select("partition", F.col("id").alias("account_id"), F.lit(True).alias("rejected")))
 
 

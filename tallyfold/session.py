@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,17 @@ def local_session(cores: int | str = 8, app: str = "tallyfold", **conf: str) ->
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
+
+    Only a local session may leave the setting out.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints/tallyfold"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -9,8 +9,19 @@ from ..schemas import LISTING_PAGES, RESPONSES, SEARCH_PAGES
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of an explicit schema; what can't be parsed stays in _corrupt_record."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Rows of an explicit schema, one a line; what can't be parsed stays in _corrupt_record."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", schema, options).alias("r")).select("r.*")
+
+
+def whole_lines(df: DataFrame) -> DataFrame:
+    """Rows of lines that could be parsed."""
+    return df.filter("_corrupt_record is null").drop("_corrupt_record") if "_corrupt_record" in df.columns else df
+
+
+def corrupt_lines(df: DataFrame) -> DataFrame:
+    """(line) of what could not be parsed."""
+    return df.filter("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +38,14 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def accounts_from_listing(pages: DataFrame) -> DataFrame:
     """One row per user of listing pages: type "User" with a node id, the last page wins."""
-    rows = pages.select("page", F.inline("objects")).filter("type = 'User' and coalesce(node_id, '') <> ''")
+    rows = whole_lines(pages).select("page", F.inline("objects")).filter("type = 'User' and coalesce(node_id, '') <> ''")
     last = rows.groupBy(F.col("id").alias("account_id")).agg(F.max_by(F.struct("node_id", "login"), F.struct("page", "node_id", "login")).alias("a"))
     return last.select("account_id", "a.node_id", "a.login")
 
 
 def accounts_from_search(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(identities, rejects): items of search pages; rejects lack a user type, id, node or login."""
-    rows = pages.select("partition", "page", F.inline("items"))
+    rows = whole_lines(pages).select("partition", "page", F.inline("items"))
     whole = (F.coalesce("type", F.lit("")) == "User") & (F.coalesce("id", F.lit(0)) > 0) & (F.coalesce("node_id", F.lit("")) != "") & (F.coalesce("login", F.lit("")) != "")
     return rows.filter(whole).select("partition", F.col("id").alias("account_id"), "node_id", "login"), rows.filter(~whole)
 
@@ -42,7 +53,7 @@ def accounts_from_search(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def scans_from_responses(responses: DataFrame) -> DataFrame:
     """One row per requested account; a null node is a "missing" scan without keys."""
     node = F.col("node")
-    return responses.select(
+    return whole_lines(responses).select(
         "batch",
         "position",
         "requested_id",

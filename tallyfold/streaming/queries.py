@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import fixtures as X
+from ..session import shared_folder
 from ..sources import ledger
 from . import folds
 
@@ -18,23 +18,12 @@ QUOTA_SECONDS = 86_400
 REFRESH = [86_400, 3 * 86_400, 7 * 86_400, 14 * 86_400, 28 * 86_400]
 
 
-def _folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; only a local session may do without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/checkpoints/tallyfold"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 class Replay:
     """A table as a stream: slices of time, oldest first, each landed when the stream has read those before."""
 
     def __init__(self, spark: SparkSession, df: DataFrame, tag: str, slices: int, order: str):
         self.spark, self.schema, self.slices = spark, df.schema, slices
-        self.staged, self.path = _folder(spark, f"{tag}-staged"), _folder(spark, tag)
+        self.staged, self.path = shared_folder(spark, f"{tag}-staged"), shared_folder(spark, tag)
         low, high = df.agg(F.min(F.unix_timestamp(order)), F.max(F.unix_timestamp(order))).first()
         place = F.floor((F.unix_timestamp(order) - (low or 0)) * slices / ((high or 0) - (low or 0) + 1))
         salt = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))
@@ -54,7 +43,7 @@ class Replay:
 
 def _run(spark: SparkSession, replay: Replay, transform: Callable[[DataFrame], DataFrame], tag: str, mode: str) -> DataFrame:
     """Run a stream to its end; each batch is written once, the newest row wins where rows are updated."""
-    out, state = _folder(spark, f"{tag}-out"), _folder(spark, f"{tag}-state")
+    out, state = shared_folder(spark, f"{tag}-out"), shared_folder(spark, f"{tag}-state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
@@ -66,7 +55,7 @@ def _run(spark: SparkSession, replay: Replay, transform: Callable[[DataFrame], D
 
 def _stream_history(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
     replay = Replay(spark, X.scans(spark, sf_dir), "scans", 4, "observed_at")
-    root, state = _folder(spark, "ledger"), _folder(spark, "ledger-state")
+    root, state = shared_folder(spark, "ledger"), shared_folder(spark, "ledger-state")
     for _ in replay.land():
         folds.stream_history(replay.stream(), root, state, REFRESH).awaitTermination()
     return X.seconds(ledger.read_buckets(spark, root, name, ledger.read_manifest(spark, root), None, schema))
@@ -126,7 +115,7 @@ def r6_stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publish the owner-key history twice and read the current version."""
-    root = _folder(spark, "published")
+    root = shared_folder(spark, "published")
     history = folds.history_state(X.scans(spark, sf_dir))
     for version in (1, 2):
         ledger.write_ledger(history.filter(F.lit(version == 2) | F.col("present")), root, "history", version)

@@ -113,3 +113,33 @@ def test_forecast_cases(spark):
     assert 52_000_000 <= big["future_low"] <= 52_200_000
     assert 65 <= big["scan_hours_low"] <= 75 and big["scan_hours_low"] < big["scan_hours_high"] <= 95
     assert big["hours_low"] >= big["scan_hours_low"] and 700_000 <= big["users_per_hour"] <= 900_000
+
+
+def test_weighted_batches(spark):
+    """Shares of 90, 5 and 5 per cent, and a class's unused share lent to the others."""
+    from tallyfold.operators import schedule as S
+
+    def jobs(n_global, n_live, n_owner):
+        kinds = [("global", n_global), ("tail", n_live), ("priority", n_owner)]
+        rows = [(f"{s}{i:05d}", s, "pending", datetime(2024, 1, 1)) for s, n in kinds for i in range(n)]
+        return spark.createDataFrame(rows, "job_id string, source string, status string, due_at timestamp")
+
+    now = F.lit("2024-02-01").cast("timestamp")
+    count = lambda df: {r["class"]: r["count"] for r in S.batch_plan_weighted(df, 1000, now).groupBy("class").count().collect()}
+    assert count(jobs(1500, 1500, 1500)) == {"global": 900, "live": 50, "owner": 50}
+    assert count(jobs(1500, 20, 0)) == {"global": 980, "live": 20}
+    assert count(jobs(100, 400, 30)) == {"global": 100, "live": 400, "owner": 30}
+
+
+def test_quota_windows_equal_replay(spark):
+    draw = random.Random(2)
+    rows = sorted((draw.randrange(3), datetime(2024, 1, 1) + timedelta(seconds=draw.randrange(4000)), i) for i in range(900))
+    want, start, n, at = [], None, 0, None
+    for client, ts, request in sorted(rows):
+        if client != at or (ts - start).total_seconds() >= 60:
+            at, start, n = client, ts, 0
+        n += 1
+        if n > 5:
+            want.append((client, request))
+    got = folds.quota_violations(spark.createDataFrame(rows, "client long, ts timestamp, request_id long"), 5, 60)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
