@@ -146,6 +146,7 @@ def forecast(progress: DataFrame) -> DataFrame:
     """
     c = F.col
     rows = progress.filter((c("rest_per_hour") > 0) & (c("key_per_hour") > 0))
+    # Least, greatest and default of each rate.
     rates = {
         "users_per_list": _bounded("list_users_per_request", 1, 100, 90),
         "ids_per_list": _bounded("list_ids_per_request", 1, 1000, 100),

@@ -200,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
     "h10_page_continuity": """WITH p AS (SELECT o_orderkey // 100 AS page, min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS n FROM orders GROUP BY 1),
       q AS (SELECT *, page * 100 - 1 AS since, CASE WHEN page % 13 = 5 THEN page * 100 + 60 ELSE 1099511627776 END AS upper, page % 17 = 3 AS rev,
         CASE WHEN page % 50 = 7 THEN page * 100 - 5 WHEN page % 50 <> 9 THEN page * 100 + 99 END AS next_since, CASE WHEN page % 17 = 3 THEN lo ELSE hi END AS last_id FROM p)
-      SELECT page % 8 AS shard, page, last_id, CASE WHEN rev AND n > 1 THEN 'ids do not increase' WHEN last_id >= upper THEN 'complete' WHEN next_since IS NULL THEN 'next cursor missing'
+      SELECT page // 20 AS shard, page, last_id, coalesce(lag(next_since) OVER (PARTITION BY page // 20 ORDER BY page) = since, true) AS follows, CASE WHEN rev AND n > 1 THEN 'ids do not increase' WHEN last_id >= upper THEN 'complete' WHEN next_since IS NULL THEN 'next cursor missing'
         WHEN next_since <= since OR next_since < last_id THEN 'cursor does not move on' WHEN next_since >= upper THEN 'complete' ELSE 'ok' END AS verdict FROM q""",
     "h11_search_stability": _with(REMOTE) + """, n AS (SELECT day, count(*) AS total FROM remote GROUP BY 1), l AS (SELECT day, count(*) AS c FROM local GROUP BY 1),
       p AS (SELECT r.day, min(total + (id % 301 = 0)::INT) AS low, max(total + (id % 301 = 0)::INT) AS high, count(*) FILTER (WHERE id % 401 = 0) AS inc, count(DISTINCT id) AS ids, count(id) AS items
@@ -289,6 +289,8 @@ ORACLE_SQL: dict[str, str] = {
       u AS (SELECT range, lower_id, upper_id, count(id) AS users FROM r LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem) ON id BETWEEN lower_id AND upper_id GROUP BY 1, 2, 3)
       SELECT *, round(users / (upper_id - lower_id + 1), 6)::DOUBLE AS density, ceil(1000 * least(1.0, greatest(0.0, users / (upper_id - lower_id + 1)::DOUBLE)))::BIGINT AS expected FROM u""",
     "t6_pass_plan": _with(SHARDS) + "SELECT 'tail' AS kind, (max(upper_id) + 1)::BIGINT AS lower_id, 10000000::BIGINT AS upper_id FROM shards",
+    "t6_run_kind": _with(RUNS) + f"""SELECT run_id, CASE WHEN enumeration_complete THEN 'global' ELSE 'initial' END AS kind, CASE WHEN enumeration_complete THEN processed END AS cutoff_id,
+      CASE WHEN enumeration_complete THEN epoch(TIMESTAMP '{NOW}')::BIGINT - 172800 END AS settled_cutoff FROM runs""",
     "t7_forecast": _with(PROGRESS) + """, b AS (SELECT *, CASE WHEN complete THEN 'exact' WHEN repair_ids > 0 THEN 'replay' WHEN remaining_ids > 0 THEN 'density' ELSE 'envelope' END AS basis,
         greatest(0, enumerated - processed) AS backlog, CASE WHEN sample % 3 = 0 THEN 100.0 ELSE 1000.0 END AS per_list,
         CASE WHEN sample % 4 = 0 THEN least(9400 * 0.8::DOUBLE * 100, items * 20000.0) ELSE 9400 * 0.8::DOUBLE * 100 END AS cap FROM progress WHERE sample % 11 <> 0),

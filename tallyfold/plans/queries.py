@@ -227,8 +227,8 @@ def h9_rate_samples(spark, d):
 def h10_page_continuity(spark, d):
     ids = X.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     pages = ids.groupBy(F.floor(F.col("id") / 100).alias("page")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pages = pages.select((F.col("page") % 8).alias("shard"), "page", (F.col("page") * 100 - 1).alias("since"), F.when(F.col("page") % 13 == 5, F.col("page") * 100 + 60).otherwise(F.lit(1 << 40)).alias("upper"), F.when(F.col("page") % 50 == 7, F.col("page") * 100 - 5).when(F.col("page") % 50 != 9, F.col("page") * 100 + 99).alias("next_since"), F.when(F.col("page") % 17 == 3, F.reverse("ids")).otherwise(F.col("ids")).alias("ids"))
-    return V.audit_page_continuity(pages).select("shard", "page", "last_id", "verdict")
+    pages = pages.select(F.floor(F.col("page") / 20).alias("shard"), "page", (F.col("page") * 100 - 1).alias("since"), F.when(F.col("page") % 13 == 5, F.col("page") * 100 + 60).otherwise(F.lit(1 << 40)).alias("upper"), F.when(F.col("page") % 50 == 7, F.col("page") * 100 - 5).when(F.col("page") % 50 != 9, F.col("page") * 100 + 99).alias("next_since"), F.when(F.col("page") % 17 == 3, F.reverse("ids")).otherwise(F.col("ids")).alias("ids"))
+    return V.audit_page_continuity(pages).select("shard", "page", "last_id", "verdict", "follows")
 
 
 @query
@@ -526,6 +526,11 @@ def t6_pass_plan(spark, d):
     return P.pass_plan(sweeps, 10_000_000, _now(), 7 * 86_400)
 
 
+@query
+def t6_run_kind(spark, d):
+    return X.runs(spark, d).select("run_id", *P.run_kind(F.col("enumeration_complete"), F.col("processed"), _now()))
+
+
 def _progress(spark, d):
     li = X.load(spark, d, "lineitem")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
