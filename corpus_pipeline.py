@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
 columns of ``documents``.
+
+Defined cases, in every stage: an empty table gives an empty table; other columns,
+whatever their names, pass unchanged; rows that share a doc_id (null included) stay
+together if one of them is kept; a null text counts as empty, so it fails the base
+rules of the first stage; a null language or source is one of its own; repeated rows
+are kept or dropped together and packed one by one.
 """
 
 from __future__ import annotations
