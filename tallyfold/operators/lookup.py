@@ -31,7 +31,8 @@ def lookup_rows(queries: DataFrame, history: DataFrame, owners: DataFrame, alias
 
     ``queries``: (query_id, value), value being any spelling of a fingerprint or a
     key line; ``history``: key is a canonical fingerprint text.  Owners and aliases
-    are reduced to the accounts that match before anything is gathered, and no list
+    are reduced to the accounts that match before anything is gathered, a match whose
+    account is no owner (yet) has no login, and no list
     of matches is made, so a key that very many accounts share is many rows.
     """
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
@@ -41,8 +42,8 @@ def lookup_rows(queries: DataFrame, history: DataFrame, owners: DataFrame, alias
     found = hits.select("account_id").distinct()
     names = owners.select("account_id", "login").join(found, "account_id", "left_semi")
     also = alias_list(aliases.join(found, "account_id", "left_semi"))
-    rows = hits.join(names, "account_id").join(also, "account_id", "left")
-    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matches"))
+    rows = hits.join(names, "account_id", "left").join(also, "account_id", "left")
+    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matches"))
     none = F.array().cast("array<struct<login: string, present: boolean>>")
     rows = rows.select("query_id", "account_id", "login", profile_url("login", base).alias("url"), "first_seen_at", "last_seen_at", "present", "removed_at", F.coalesce("aliases", none).alias("aliases"))
     out = queries.join(counts, "query_id", "left").join(rows, "query_id", "left")

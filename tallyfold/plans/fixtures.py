@@ -24,7 +24,7 @@ def seconds(df: DataFrame) -> DataFrame:
     return df.withColumns(change) if change else df
 
 
-def _key() -> Column:
+def key_number() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("long")
 
 
@@ -33,7 +33,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_trunc("day", "ts")
     out = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("account_id"), day.alias("observed_at")).agg(
         F.when(F.count_if(F.col("event_type") == "error") > 1, "inaccessible").otherwise("ok").alias("status"),
-        F.array_sort(F.collect_set(_key())).alias("keys"),
+        F.array_sort(F.collect_set(key_number())).alias("keys"),
     )
     out = out.withColumn("scan_id", F.concat_ws("-", "account_id", F.date_format("observed_at", "yyyyMMdd")))
     login = F.concat(F.lit("user"), F.col("account_id"), F.when(F.dayofmonth("observed_at") >= 20, "b").otherwise(""))

@@ -114,7 +114,7 @@ PROGRESS = """progress AS (
 
 ASKED = """lh AS (SELECT account_id, login, min(observed_at) AS f FROM scans WHERE status = 'ok' GROUP BY 1, 2),
 al AS (SELECT account_id, string_agg(login, '+' ORDER BY f, lower(login), login) AS names FROM lh GROUP BY 1),
-numbers AS (SELECT DISTINCT key FROM history),
+numbers AS (SELECT DISTINCT regexp_extract(props, '[0-9]+')::BIGINT AS key FROM events),
 q AS (SELECT key FROM numbers UNION ALL SELECT key + 1000000 FROM numbers WHERE key % 50 = 0)"""
 
 

@@ -269,11 +269,11 @@ def x3_same_sets(spark, d):
 
 
 def _lookup(spark, d, form):
-    """Every key of the history and some that nobody published, in several spellings."""
+    """Every key any event names and some that nobody published, in several spellings."""
     scans = X.scans(spark, d)
     logins = H.login_history(scans.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie")))
     history = H.ownership_history(scans)
-    numbers = history.select(F.col("key").alias("number")).distinct()
+    numbers = X.load(spark, d, "events").select(X.key_number().alias("number")).distinct()
     numbers = numbers.union(numbers.filter("number % 50 = 0").select(F.col("number") + 1_000_000))
     return form(X.key_queries(numbers), X.printed_history(history), H.owners(scans), logins)
 

@@ -56,10 +56,10 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
 
 
-def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[int]):
+def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[int], tables: tuple[str, ...] = TABLES):
     """Fold a stream of scans into bucketed tables; returns the started query.
 
-    Tables: key pairs, owners, logins and refresh ladder (TABLES), by buckets of
+    Tables: key pairs, owners, logins and refresh ladder, or some of them, by buckets of
     accounts.  A batch adds its new scans to the log, folds the accounts it holds and
     writes the buckets they are in; the newest version of each bucket is in a manifest
     that is published last.  A scan delivered again is dropped by its scan_id; pairs of
@@ -87,17 +87,23 @@ def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[
             """Rows of the touched buckets' accounts that the batch doesn't hold."""
             return ledger.read_buckets(spark, root, name, manifest, touched, schema)
 
-        state = others("pairs", PAIRS)
-        same = fold_history(state.join(late, "account_id", "left_anti"), fresh.join(late, "account_id", "left_anti"))
-        pairs = same.unionByName(history_state(whole.join(late, "account_id", "left_semi")))
+        def pairs() -> DataFrame:
+            same = fold_history(others("pairs", PAIRS).join(late, "account_id", "left_anti"), fresh.join(late, "account_id", "left_anti"))
+            return same.unionByName(history_state(whole.join(late, "account_id", "left_semi")))
+
+        def again(name: str, schema: str, rows: DataFrame) -> DataFrame:
+            return others(name, schema).join(accounts, "account_id", "left_anti").unionByName(rows)
+
         logins = whole.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie"))
-        new = {"owners": (owners(whole), OWNERS), "logins": (login_history(logins), LOGINS), "ladder": (refresh_ladder(whole, schedule), LADDER)}
-        tables = {"pairs": pairs}
-        for name, (rows, schema) in new.items():
-            tables[name] = others(name, schema).join(accounts, "account_id", "left_anti").unionByName(rows)
-        for name, rows in tables.items():
-            ledger.write_buckets(rows.withColumn("bucket", _bucket()), root, name, version)
-        changed = {(name, b): version for name in (*TABLES, "log") for b in touched}
+        new = {
+            "pairs": pairs,
+            "owners": lambda: again("owners", OWNERS, owners(whole)),
+            "logins": lambda: again("logins", LOGINS, login_history(logins)),
+            "ladder": lambda: again("ladder", LADDER, refresh_ladder(whole, schedule)),
+        }
+        for name in tables:
+            ledger.write_buckets(new[name]().withColumn("bucket", _bucket()), root, name, version)
+        changed = {(name, b): version for name in (*tables, "log") for b in touched}
         ledger.write_manifest(spark, root, manifest | changed, version)
         for rows in (fresh, accounts, known):
             rows.unpersist()

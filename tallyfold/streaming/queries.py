@@ -53,20 +53,20 @@ def _run(spark: SparkSession, replay: Replay, transform: Callable[[DataFrame], D
     return spark.read.parquet(f"{out}/*")
 
 
-def _stream_history(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    replay = Replay(spark, X.scans(spark, sf_dir), "scans", 4, "observed_at")
+def _stream_history(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], name: str, schema: str) -> DataFrame:
+    replay = Replay(spark, X.scans(spark, sf_dir), "scans", 3, "observed_at")
     root, state = shared_folder(spark, "ledger"), shared_folder(spark, "ledger-state")
     for _ in replay.land():
-        folds.stream_history(replay.stream(), root, state, REFRESH).awaitTermination()
+        folds.stream_history(replay.stream(), root, state, REFRESH, tables).awaitTermination()
     return X.seconds(ledger.read_buckets(spark, root, name, ledger.read_manifest(spark, root), None, schema))
 
 
 def r1_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_history(spark, sf_dir, "pairs", folds.PAIRS)
+    return _stream_history(spark, sf_dir, ("pairs",), "pairs", folds.PAIRS)
 
 
 def r1_stream_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_history(spark, sf_dir, "owners", folds.OWNERS)
+    return _stream_history(spark, sf_dir, folds.TABLES, "owners", folds.OWNERS)
 
 
 def r2_stream_refresh_state(spark: SparkSession, sf_dir: str) -> DataFrame:
