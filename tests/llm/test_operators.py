@@ -436,19 +436,20 @@ def test_near_duplicates(docs, empty, plain):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_a_family(spark, monkeypatch):
-    """Pairs at 0.762 among 1,600 texts that are 0.70 to each other and to the pairs."""
+@pytest.mark.parametrize("family, sizes", [(1600, [(4096, 500_000), (200, 50_000)]), (5000, [(4096, 500_000)])])
+def test_near_duplicates_in_a_family(spark, monkeypatch, family, sizes):
+    """Pairs at 0.762 among ``family`` texts that are 0.70 to each other and to the pairs."""
     own = lambda i, n: [f"o{i}x{k}" for k in range(n)]
     common = [f"c{k}" for k in range(284)]
-    texts = [common + own(i, 60) for i in range(1600)]
+    texts = [common + own(i, 60) for i in range(family)]
     for i in range(100):
         shared = [f"p{i}x{k}" for k in range(14)]
-        texts += [common + shared + own(2000 + 2 * i + side, 46) for side in (0, 1)]
+        texts += [common + shared + own(10 * family + 2 * i + side, 46) for side in (0, 1)]
     at = list(range(len(texts)))
     np.random.default_rng(3).shuffle(at)
     docs = spark.createDataFrame([(at[i], " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    want = {d: d for d in at} | {max(at[k : k + 2]): min(at[k : k + 2]) for k in range(1600, 1800, 2)}
-    for part, block in ((4096, 500_000), (200, 50_000)):
+    want = {d: d for d in at} | {max(at[k : k + 2]): min(at[k : k + 2]) for k in range(family, family + 200, 2)}
+    for part, block in sizes:
         monkeypatch.setattr(near_dedup, "PART_ROWS", part, raising=False)
         monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block, raising=False)
         got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
