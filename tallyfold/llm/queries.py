@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, kneser_ney, merkle, mixing, near_dedup, packing, quality_rules, sharding, warc, wavelet
+from . import fill_in_middle, html_text, kneser_ney, manifest, merkle, mixing, near_dedup, packing, quality_rules, sharding, toxicity, warc, wavelet
 from .common import table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -58,6 +59,21 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"), "evidence")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifest.verify(manifest.manifest(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_block_extraction": op2_block_extraction,
@@ -69,6 +85,9 @@ QUERIES = {
     "op8_pareto_mixing": op8_pareto_mixing,
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
+    "op11_toxic_segments": op11_toxic_segments,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,4 +100,58 @@ FROM judged j LEFT JOIN js a ON a.doc_id = j.doc_id AND a.kind = 'class' LEFT JO
 """
 
 
-ORACLE_SQL = {"op4_warc_bundles": OP4, "op5_quality_divergence": _op5(), "op8_pareto_mixing": OP8, "op9_setsketch_dedup": OP9}
+OP12 = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, unnest([text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END]) AS t, unnest([0, 1]) AS edited, lang, n_chars
+  FROM (SELECT *, {crc} AS crc FROM documents)),
+h AS (SELECT doc_id, source, edited, sha256(concat({fields})) AS h FROM f),
+leaves AS (
+  SELECT a.doc_id, a.source, a.h AS leaf, b.h AS tampered, dense_rank() OVER (ORDER BY a.source NULLS FIRST) - 1 AS s,
+    row_number() OVER (PARTITION BY a.source ORDER BY a.doc_id) - 1 AS pos, count(*) OVER (PARTITION BY a.source) AS n
+  FROM h a JOIN h b ON a.doc_id = b.doc_id WHERE a.edited = 0 AND b.edited = 1),
+nodes AS (
+  SELECT s, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT s, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY s, lvl, pos // 3, n),
+subroots AS (SELECT s, lvl AS height, h FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, s AS pos, count(*) OVER () AS n, h FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 3, n),
+path AS (
+  SELECT doc_id, l.s, lvl AS k, (l.pos // (3::BIGINT ** lvl)::BIGINT) AS spot FROM leaves l JOIN (SELECT DISTINCT s, lvl FROM nodes WHERE n > 1) x ON x.s = l.s
+  UNION ALL SELECT doc_id, NULL, 1000 + lvl, (l.s // (3::BIGINT ** lvl)::BIGINT) FROM leaves l, (SELECT DISTINCT lvl FROM tops WHERE n > 1)),
+every AS (SELECT s, lvl AS k, pos, h FROM nodes UNION ALL SELECT NULL, 1000 + lvl, pos, h FROM tops),
+steps AS (
+  SELECT doc_id, p.k, row_number() OVER (PARTITION BY doc_id ORDER BY p.k) AS i,
+    coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < spot), '') AS lefts, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > spot), '') AS rights
+  FROM path p JOIN every e ON e.k = p.k AND e.s IS NOT DISTINCT FROM p.s AND e.pos // 3 = p.spot // 3 GROUP BY doc_id, p.k, spot),
+folded AS (
+  SELECT doc_id, 0::BIGINT AS i, tampered AS h FROM leaves
+  UNION ALL SELECT f.doc_id, f.i + 1, sha256(lefts || h || rights) FROM folded f JOIN steps t ON t.doc_id = f.doc_id AND t.i = f.i + 1),
+last AS (SELECT doc_id, arg_max(h, i) AS folded_root FROM folded GROUP BY doc_id),
+proofs AS (SELECT doc_id, string_agg(lefts || rights, '' ORDER BY i) AS proof FROM steps GROUP BY doc_id)
+SELECT l.doc_id, leaf, b.h AS subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM leaves l JOIN subroots b ON b.s = l.s JOIN (SELECT h FROM tops WHERE n = 1) r ON true JOIN last USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
+
+# CRC-32 in SQL: eight steps of the polynomial for each digit of a doc_id.
+_DIGIT = "list_reduce(list_prepend(xor(c, ascii(d)::UBIGINT), list_transform(range(8), lambda i: i::UBIGINT)), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::UBIGINT)), lambda c, d: " + _DIGIT.replace("ascii(d)::UBIGINT", "d") + "), 4294967295::UBIGINT)"
+OP12 = OP12.format(crc=_CRC, fields=", ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "t")))
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, len(units) AS n, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT for i in range(4)] AS hs FROM d),
+y AS (
+  SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS p, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS q,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, array_to_string(units[1:p], '') AS a, array_to_string(units[p + 1:q], '') AS b, array_to_string(units[q + 1:], '') AS c FROM y),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END AS output FROM z),
+back AS (SELECT *, string_split(output, '<M>') AS m FROM o),
+parts AS (SELECT *, m[1][4:] AS head, string_split(m[1][4:], CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) AS hs2 FROM back)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+  sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN hs2[1] || m[2] || hs2[2] ELSE hs2[2] || m[2] || hs2[1] END) AS restored_sha256
+FROM parts
+"""
+
+
+ORACLE_SQL = {"op4_warc_bundles": OP4, "op5_quality_divergence": _op5(), "op8_pareto_mixing": OP8, "op9_setsketch_dedup": OP9, "op12_merkle_manifest": OP12, "op13_fill_in_middle": OP13}
