@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Labelled rows are split by a hash of the doc_id: rows held out for a test are never
-used, one in CALIBRATE of the others calibrates, the rest teach.  Four jobs:
+used, one in CALIBRATE of the others calibrates, the rest teach.  Four steps:
 
 1. Counts: in how many documents each token occurs, among toxic and clean teaching rows
    and among all documents of the table; the last give the Dirichlet prior, PRIOR
@@ -10,6 +10,7 @@ used, one in CALIBRATE of the others calibrates, the rest teach.  Four jobs:
    over their standard deviation, tell which tokens and stems count.  A token's log-odds are
    the greatest among itself and its stems; all others are one token "rest", whose own
    log-odds are below zero.
+   The tokens of toxic rows are named first, so that only they are counted elsewhere.
 2. Scan: every document's tokens carry these log-odds as whole numbers; as the counts
    are of documents, a token that comes again scores as the rest.  All maximal
    scoring segments are found in one pass, linear in the tokens.
@@ -42,6 +43,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,8 @@ UNIT = 1000
 SIGNIFICANT = 0.01
 #: Distinct tokens that a counting task holds before it hands them on.
 HELD_TOKENS = 300_000
+#: Tokens and stems that every counting task may hold.
+WANTED = 500_000
 #: Tokens whose score a scanning task remembers.
 KNOWN_TOKENS = 500_000
 #: Evidence is binned for the logistic fit by this much, up to MOST.
@@ -99,29 +103,29 @@ def stems(token: str) -> list[str]:
     return [token[:k] + "*" for k in STEMS if k < len(token)]
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, toxic, clean, everywhere): documents with the token, for stems summed over their tokens.
+COUNTS = "token string, toxic long, clean long, everywhere long"
 
-    Rows (role, text).  The row of token null sums all tokens; tokens and stems with fewer
-    than LEAST_DOCS toxic documents are in these sums only.
-    """
+
+def _counted(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """COUNTS summed by token over rows (role, text), of the wanted tokens and stems or of all."""
 
     def count(batches):
         import pyarrow as pa
 
         counters = toxic, clean, everywhere = Counter(), Counter(), Counter()
+        wants = wanted.value.__contains__ if wanted else None
 
         def out():
-            totals = [sum(of.values()) for of in counters]
-            for of in counters:
-                for token, n in list(of.items()):
-                    for stem in stems(token):
-                        of[stem] += n
-            tokens = list(everywhere)
-            columns = [pa.array([*(of[t] for t in tokens), total], pa.int64()) for of, total in zip(counters, totals)]
+            sums = {None: [sum(of.values()) for of in counters]}
+            for token, n in everywhere.items():
+                row = toxic.get(token, 0), clean.get(token, 0), n
+                for feature in filter(wants, (token, *stems(token))) if wants else (token, *stems(token)):
+                    held = sums.setdefault(feature, [0, 0, 0])
+                    for k in range(3):
+                        held[k] += row[k]
             for of in counters:
                 of.clear()
-            return pa.RecordBatch.from_arrays([pa.array([*tokens, None], pa.string()), *columns], ["token", "toxic", "clean", "everywhere"])
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(list(c), pa.int64()) for c in zip(*sums.values()))], ["token", "toxic", "clean", "everywhere"])
 
         for batch in slices(batches):
             for role, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
@@ -135,9 +139,24 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    rows = docs.select("role", "text").mapInArrow(count, "token string, toxic long, clean long, everywhere long")
-    sums = rows.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "everywhere")))
-    return keep(sums.filter(F.col("token").isNull() | (F.col("toxic") >= LEAST_DOCS)), "token-counts")
+    rows = docs.select("role", "text").mapInArrow(count, COUNTS)
+    return rows.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "everywhere")))
+
+
+def token_counts(docs: DataFrame, most_wanted: int = WANTED) -> DataFrame:
+    """COUNTS: documents with the token, for stems summed over their tokens.
+
+    Rows (role, text).  The row of token null sums all tokens; tokens and stems with fewer
+    than LEAST_DOCS toxic documents are in these sums only.  A first job over toxic rows
+    names the others; if they are at most ``most_wanted``, the tasks of the second job
+    count just them, else all tokens are shuffled; the counts are the same.
+    """
+    enough = F.col("token").isNull() | (F.col("toxic") >= LEAST_DOCS)
+    some = keep(_counted(docs.filter(F.col("role") == TEACH_TOXIC)).filter(enough).select("token"), "toxic-tokens")
+    wanted = None
+    if some.count() <= most_wanted:
+        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["token"] for r in some.collect()))
+    return keep(_counted(docs, wanted).filter(enough), "token-counts")
 
 
 class KnownScores(dict):

@@ -92,10 +92,12 @@ def test_labels_and_ids_are_no_inputs(made, spark):
     assert all(again[i] == again[i + 5000000] for i in range(50))
 
 
-def test_counts(made):
+@pytest.mark.parametrize("most", [0, tox.WANTED])
+def test_counts(made, most):
+    """Both ways count alike."""
     docs, labels = made
     rows = docs.join(tox.roles(labels), "doc_id", "left")
-    got = {r["token"]: tuple(r)[1:] for r in tox.token_counts(rows).collect()}
+    got = {r["token"]: tuple(r)[1:] for r in tox.token_counts(rows, most).collect()}
     toxic, clean, everywhere = Counter(), Counter(), Counter()
     for r in rows.collect():
         tokens = set(r["text"].lower().split())
