@@ -3,8 +3,8 @@
 Batches of texts are cut into pre-tokens with array operations on their bytes,
 each distinct pre-token of a batch is looked up once, and the library's model
 encodes those a worker doesn't remember.  Texts in which array operations can't
-tell the cuts (special tokens, characters that change under normalisation) go to
-the library whole.  The ids are those of ``Tokenizer.encode``.
+tell the cuts (special tokens, characters that change under normalisation, code points
+that Python's Unicode tables don't know) go to the library whole.  The ids are those of ``Tokenizer.encode``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import tidy_worker, worker_memory
 
-OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
 # White space of Unicode; endings that are pre-tokens of their own after an apostrophe.
 WHITE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SHORT_ENDINGS = b"stmd"
@@ -27,12 +27,14 @@ _classes: list[np.ndarray] = []
 
 
 def _class_table() -> np.ndarray:
-    """Class of every code point; made once per worker."""
+    """Class of every code point; made once per worker.
+
+    Code points that this Python's Unicode tables don't know may be letters in the library's.
+    """
     if not _classes:
-        letter, number = str(LETTER), str(NUMBER)
-        kinds = "".join(map(unicodedata.category, map(chr, range(0x110000))))[::2]
-        table = np.frombuffer(kinds.translate({ord("L"): letter, ord("N"): number}).encode(), np.uint8)
-        table = np.where(table == ord(letter), LETTER, np.where(table == ord(number), NUMBER, OTHER)).astype(np.uint8)
+        kinds = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8).reshape(-1, 2)
+        table = np.where(kinds[:, 0] == ord("L"), LETTER, np.where(kinds[:, 0] == ord("N"), NUMBER, OTHER)).astype(np.uint8)
+        table[(kinds == (ord("C"), ord("n"))).all(1)] = UNKNOWN
         table[WHITE] = SPACE
         _classes.append(table)
     return _classes[0]
@@ -62,16 +64,15 @@ def byte_classes(buffer: np.ndarray) -> np.ndarray:
     return classes
 
 
-def cut(buffer: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+def cut(buffer: np.ndarray, kind: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """(starts of the pre-tokens in ``buffer``, class of each).
 
-    ``first``: one longer than the buffer, true where a text begins and at the end.
+    ``kind``: the class of each byte.  ``first``: one longer than the buffer, true where a text begins and at the end.
     ``spaced``: a blank belongs to the pre-token after it, other white space stands
     alone and digits stay together; otherwise each digit stands alone and white
     space is a pre-token to be dropped.
     """
     n = len(buffer)
-    kind = byte_classes(buffer)
     bound = np.ones(n + 1, bool)
     np.not_equal(kind[1:], kind[:-1], out=bound[1:n])
     if spaced:
@@ -170,13 +171,21 @@ class TokenIds:
             if part is None:
                 odd[i] = self._by_library(text)
             parts.append(part or b"")
-        buffer = np.frombuffer(b"".join(parts), np.uint8)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = np.cumsum(sizes) - sizes
+
+        def joined():
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            buffer = np.frombuffer(b"".join(parts), np.uint8)
+            return buffer, np.cumsum(sizes) - sizes, byte_classes(buffer)
+
+        buffer, begin, classes = joined()
+        if (unknown := np.flatnonzero(classes == UNKNOWN)).size:
+            for i in np.unique(np.searchsorted(begin, unknown, "right") - 1).tolist():
+                odd[i], parts[i] = self._by_library(texts[i]), b""
+            buffer, begin, classes = joined()
         if len(buffer):
             first = np.zeros(len(buffer) + 1, bool)
             first[begin] = first[-1] = True
-            starts, kind = cut(buffer, first, self.spaced)
+            starts, kind = cut(buffer, classes, first, self.spaced)
             offsets = np.append(starts, len(buffer)).astype(np.int32)
             units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]).dictionary_encode()
             codes, distinct = units.indices.to_numpy(), units.dictionary.to_pylist()

@@ -44,6 +44,19 @@ def test_tokens_are_the_librarys(path, as_text, plain):
     assert ids.encode([None])[1].tolist() == [0] and ids.encode([])[1].tolist() == []
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_tokens_of_every_code_point(path):
+    """All code points, also those that the library knows and Python doesn't, alone and before an ending."""
+    ids, library = TokenIds(path, path == BYTE), Tokenizer.from_file(path)
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    for form in ("{}", "a{}'s"):
+        texts = [" ".join(map(form.format, points[at : at + 32])) for at in range(0, len(points), 32)]
+        got, counts = ids.encode([t.encode() for t in texts])
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want))
+        assert got.tolist() == [i for w in want for i in w]
+
+
 def test_packing(docs, empty, plain):
     got = packing.pack_documents(docs, WORD, capacity=256).collect()
     want = []
