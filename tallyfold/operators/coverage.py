@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Time ranges up to this many are sent to every task.
+BROADCAST_RANGES = 1_000_000
+
+
 def coverage_bitmap(ids: DataFrame, mark: str = "mark") -> DataFrame:
     """Bitmaps of positive ids per (mark, bucket) with their exact counts.
 
@@ -108,6 +112,36 @@ def stage_partition(remote: DataFrame, successful: DataFrame) -> DataFrame:
     return remote.join(known, "id", "left").withColumn("resolved", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
+def place_in_ranges(rows: DataFrame, at: str, ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Each row with every closed range of seconds that holds its time ``at``; ranges of any length.
+
+    A range shorter than 2**k seconds and not shorter than half of that meets at most two
+    bins of 2**k seconds; a row looks into one bin of each k that occurs.  So the join is
+    on equal (k, bin), and only ranges of about the same length are ever compared.  Ranges
+    are sent to the rows if they are few, else both sides are shuffled by bin.
+    """
+    span = F.greatest(F.col(hi) - F.col(lo) + 1, F.lit(1))
+    sized = ranges.withColumn("_k", F.ceil(F.log2(span)).cast("int"))
+    # log2 may miss a power of two by a digit: one more is still right
+    sized = sized.withColumn("_k", F.when(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_k")) < span, F.col("_k") + 1).otherwise(F.col("_k")))
+    steps = sorted(r[0] for r in sized.select("_k").distinct().collect())
+    bin_of = lambda second, k: F.call_function("shiftright", second, k)
+    binned = sized.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col(lo), F.col("_k")), bin_of(F.col(hi), F.col("_k"))))))
+    binned = F.broadcast(binned) if binned.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES else binned
+    probes = rows.withColumn("_k", F.explode(F.array(*map(F.lit, steps)).cast("array<int>"))).withColumn("_bin", bin_of(F.col(at).cast("long"), F.col("_k")))
+    return probes.join(binned, ["_k", "_bin"]).filter(F.col(at).between(F.col(lo), F.col(hi))).drop("_k", "_bin")
+
+
+def stage_time_partitions(remote: DataFrame, successful: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Identities with the range of their creation time and whether the success set holds them.
+
+    ``remote``: (id, second); ``ranges``: (lo, hi) as ``bisect_partitions`` gives them, of any
+    length.  A range that was split is repaired by the identities of its own bounds; an
+    identity outside every range has none and isn't returned.
+    """
+    return stage_partition(place_in_ranges(remote, "second", ranges.select("lo", "hi")), successful).select("lo", "hi", "id", "resolved")
+
+
 def partition_resolution(staged: DataFrame, key: str = "day") -> DataFrame:
     """A partition is resolved when none of its identities is unresolved."""
     return staged.groupBy(key).agg(F.count(F.lit(1)).alias("ids"), F.count_if(~F.col("resolved")).alias("unresolved"), F.bool_and("resolved").alias("resolved"))

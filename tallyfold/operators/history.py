@@ -101,6 +101,63 @@ def refresh_ladder(scans: DataFrame, schedule: list[int]) -> DataFrame:
     return last.select("account_id", stage.alias("stage"), "last_changed_at", "last_scan_at", due.alias("next_due_at"))
 
 
+#: An account is looked at again after so many seconds at least.
+AT_LEAST = 300
+
+
+def _ladder_functions(batches, ages: list[int]):
+    """Per account of a slice of sorted rows: where each state that may come in leads.
+
+    States: 0 off the ladder, 1 and on its stages, last an owner.  Out: (account_id, begin,
+    scan_id of the first row, moves), a move being (state, first, last, due, step, at); null
+    registers keep what came in, and a step stands for the later of first + its age and
+    ``at`` plus AT_LEAST where the first scan is the one that came in.
+    """
+    import pyarrow as pa
+
+    top, owner = len(ages), len(ages) + 1
+    names = ("state", "first_at", "last_at", "due_at", "step", "step_at")
+    kind = pa.list_(pa.struct([(n, pa.int32() if n in ("state", "step") else pa.int64()) for n in names]))
+    key, moves, begin, out, scan_kind = None, [], (), [], None
+
+    def flush():
+        if begin:
+            out.append((key, *begin, [dict(zip(names, m)) for m in moves]))
+
+    def taken():
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), scan_kind, kind))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["account_id", "begin", "scan_id", "moves"])
+
+    for batch in batches:
+        scan_kind = batch.schema.field("scan_id").type
+        for account, at, scan, source, has in zip(*(batch.column(c).to_pylist() for c in ("account_id", "at", "scan_id", "source", "has"))):
+            if not begin or key != account:
+                flush()
+                key, begin = account, (at, scan)
+                moves = [[s, None, None, None, None, None] for s in range(owner + 1)]
+            if has:
+                moves = [[owner, None, None, None, None, None] for _ in moves]
+            elif source == "tail":
+                for m in moves:
+                    if m[0] == 0:
+                        m[:] = 1, at, at, at + ages[0], None, None
+                    elif m[0] != owner:
+                        m[2] = at
+            elif source == "onboarding":
+                for m in moves:
+                    if m[0] == top:
+                        m[:] = 0, None, None, None, None, None
+                    elif 0 < m[0] < top:
+                        m[0], m[2] = m[0] + 1, at
+                        m[3:] = (None, m[0] - 1, at) if m[1] is None else (max(m[1] + ages[m[0] - 1], at + AT_LEAST), None, None)
+        if out:
+            yield taken()
+    flush()
+    if out:
+        yield taken()
+
+
 def zero_key_ladder(scans: DataFrame, ages: list[int]) -> DataFrame:
     """Accounts without keys that are looked at again at growing ages (seconds).
 
@@ -108,31 +165,28 @@ def zero_key_ladder(scans: DataFrame, ages: list[int]) -> DataFrame:
     scan from "tail" starts stage 0; an empty "onboarding" scan goes one stage up,
     due at ``first + age``, but not within five minutes; past the last stage, or with
     any key, the account leaves, and an account that ever had a key stays out.
+
+    A segmented scan: rows are range-partitioned by account and time, so an account with
+    most rows is cut in as many slices as they need; each slice becomes a function from
+    the state that comes in to the one that goes out, and an account's functions, at most
+    one a task, are applied in order.
     """
-    event = F.struct(F.unix_timestamp("observed_at").alias("at"), "scan_id", "source", (F.col("n_keys") > 0).alias("has"))
-    log = scans.groupBy("account_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    state = "struct<stage: int, first_at: long, last_at: long, due_at: long, owner: boolean>"
+    rows = scans.select(F.col("account_id").cast("long").alias("account_id"), F.unix_timestamp("observed_at").alias("at"), "scan_id", "source", (F.col("n_keys") > 0).alias("has"))
+    rows = rows.filter("has or source in ('tail', 'onboarding')")
+    tasks = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["account_id", "at", "scan_id"]
+    move = "struct<state: int, first_at: long, last_at: long, due_at: long, step: int, step_at: long>"
+    parts = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _ladder_functions(b, ages), f"account_id long, begin long, scan_id {dict(scans.dtypes)['scan_id']}, moves array<{move}>")
+    log = parts.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("begin", "scan_id", "moves"))).alias("log"))
     delays = F.array(*[F.lit(a).cast("long") for a in ages])
+    state = "struct<state: int, first_at: long, last_at: long, due_at: long>"
+    off = F.struct(F.lit(0).alias("state"), *[F.lit(None).cast("long").alias(c) for c in ("first_at", "last_at", "due_at")]).cast(state)
+
+    def step(s: Column, part: Column) -> Column:
+        m = F.get(part["moves"], s["state"])
+        first = F.coalesce(m["first_at"], s["first_at"])
+        late = F.when(m["step"].isNotNull(), F.greatest(first + F.get(delays, m["step"]), m["step_at"] + AT_LEAST))
+        return F.struct(m["state"].alias("state"), first.alias("first_at"), F.coalesce(m["last_at"], s["last_at"]).alias("last_at"), F.coalesce(m["due_at"], late, s["due_at"]).alias("due_at")).cast(state)
 
-    def none(owner: bool) -> Column:
-        return F.struct(F.lit(None).cast("int").alias("stage"), *[F.lit(None).cast("long").alias(c) for c in ("first_at", "last_at", "due_at")], F.lit(owner).alias("owner")).cast(state)
-
-    def to(stage, first, last, due) -> Column:
-        return F.struct(stage.alias("stage"), first.alias("first_at"), last.alias("last_at"), due.alias("due_at"), F.lit(False).alias("owner")).cast(state)
-
-    def step(s: Column, e: Column) -> Column:
-        on, up = s["stage"].isNotNull(), (s["stage"] + 1).cast("int")
-        start = to(F.lit(0), e["at"], e["at"], e["at"] + ages[0])
-        touch = to(s["stage"], s["first_at"], e["at"], s["due_at"])
-        later = to(up, s["first_at"], e["at"], F.greatest(s["first_at"] + F.get(delays, up), e["at"] + 300))
-        return (
-            F.when(s["owner"] | e["has"], none(True))
-            .when((e["source"] == "tail") & on, touch)
-            .when(e["source"] == "tail", start)
-            .when((e["source"] == "onboarding") & on & (s["stage"] >= len(ages) - 1), none(False))
-            .when((e["source"] == "onboarding") & on, later)
-            .otherwise(s)
-        )
-
-    out = log.select("account_id", F.aggregate("log", none(False), step).alias("s")).filter("s.stage is not null")
-    return out.select("account_id", "s.stage", *[F.timestamp_seconds(f"s.{c}").alias(c) for c in ("first_at", "last_at", "due_at")])
+    out = log.select("account_id", F.aggregate("log", off, step).alias("s")).filter(F.col("s.state").between(1, len(ages)))
+    return out.select("account_id", (F.col("s.state") - 1).alias("stage"), *[F.timestamp_seconds(f"s.{c}").alias(c) for c in ("first_at", "last_at", "due_at")])

@@ -127,6 +127,9 @@ def _bisected(seconds: str, cap: int) -> str:
       SELECT t.lo, least(t.lo + (1::BIGINT << t.k) - 1, b.z) AS hi, t.n, t.n > {cap} AS unresolved FROM t, b WHERE t.n <= {cap} OR t.k = 0"""
 
 
+_ORDER_SECONDS = "SELECT epoch(o_orderdate)::BIGINT AS second, count(*) AS n FROM orders GROUP BY 1"
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -238,6 +241,10 @@ ORACLE_SQL: dict[str, str] = {
     "j7_stage_partition": _with(REMOTE) + "SELECT strftime(day, '%Y-%m-%d') AS day, id FROM remote WHERE id NOT IN (SELECT id FROM local)",
     "j8_partition_resolution": _with(REMOTE) + """SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS ids, count(*) FILTER (WHERE id NOT IN (SELECT id FROM local)) AS unresolved,
       bool_and(id IN (SELECT id FROM local)) AS resolved FROM remote GROUP BY 1""",
+    "j7_time_partitions": f"""WITH leaves AS ({_bisected(_ORDER_SECONDS, 40)}) SELECT lo, hi, o_orderkey + 1 AS id
+      FROM orders JOIN leaves ON epoch(o_orderdate)::BIGINT BETWEEN lo AND hi WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
+    "j8_time_resolution": f"""WITH leaves AS ({_bisected(_ORDER_SECONDS, 40)}), r AS (SELECT lo, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS good
+      FROM orders JOIN leaves ON epoch(o_orderdate)::BIGINT BETWEEN lo AND hi) SELECT lo, count(*) AS ids, count(*) FILTER (WHERE NOT good) AS unresolved, bool_and(good) AS resolved FROM r GROUP BY lo""",
     "j9_run_generation": "SELECT year(o_orderdate) AS run_id, (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 ELSE year(o_orderdate) * 10 END)::BIGINT AS generation_id, count(*) AS n FROM orders GROUP BY 1, 2",
     "a1_coverage_bitmap": _with(BITMAPS) + "SELECT mark, count(DISTINCT id) AS n FROM marks GROUP BY 1",
     "a1_merge_bitmaps": _with(REMOTE) + "SELECT 'discovered' AS mark, count(DISTINCT id) AS n FROM remote",

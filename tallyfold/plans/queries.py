@@ -337,6 +337,24 @@ def j8_partition_resolution(spark, d):
     return C.partition_resolution(C.stage_partition(remote.select("day", "id"), local))
 
 
+def _time_staged(spark, d):
+    """Orders in the bisected ranges of their dates; those with a line item are done."""
+    orders = X.load(spark, d, "orders")
+    leaves = C.bisect_partitions(orders, "o_orderdate", *_bounds(orders, F.unix_timestamp("o_orderdate")), 40)
+    remote, local = X.remote_local(spark, d)
+    return C.stage_time_partitions(remote.select("id", F.unix_timestamp("created_at").alias("second")), local, leaves)
+
+
+@query
+def j7_time_partitions(spark, d):
+    return _time_staged(spark, d).filter("not resolved").select("lo", "hi", "id")
+
+
+@query
+def j8_time_resolution(spark, d):
+    return C.partition_resolution(_time_staged(spark, d), "lo")
+
+
 @query
 def j9_run_generation(spark, d):
     jobs = X.load(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("run_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 5).alias("generation_id"))

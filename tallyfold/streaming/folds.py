@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import login_history, owners, ownership_history, refresh_ladder
+from ..operators.history import login_history, ownership_history, shown_keys
+from ..operators.schedule import id_stagger, schedule_lookup
 from ..sources import ledger
 
-OWNERS = "account_id long, first_seen_at timestamp, last_seen_at timestamp, login string, node_id string, inaccessible boolean"
-LOGINS = "account_id long, login string, first_seen_at timestamp, last_seen_at timestamp, present boolean"
-LADDER = "account_id long, stage int, last_changed_at timestamp, last_scan_at timestamp, next_due_at timestamp"
 PAIRS = "account_id long, key long, first_seen_at timestamp, last_seen_at timestamp, present boolean, removed_at timestamp"
+LOGINS = "account_id long, login string, first_seen_at timestamp, last_seen_at timestamp, present boolean"
+#: What is known of an account: its last scan, its row among the owners, its step of the ladder.
+ACCOUNTS = """account_id long, last_at timestamp, last_scan string, shown array<long>, first_seen_at timestamp, last_seen_at timestamp,
+  login string, node_id string, inaccessible boolean, stage int, last_changed_at timestamp, last_scan_at timestamp"""
+KEYS = {"pairs": (PAIRS, ["account_id", "key"]), "logins": (LOGINS, ["account_id", "login"]), "accounts": (ACCOUNTS, ["account_id"])}
+TABLES = ("pairs", "logins")
 
 
 def history_state(scans: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def history_state(scans: DataFrame) -> DataFrame:
 
 
 def fold_history(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after a batch whose scans are all later than each account's last one.
+    """Pairs after a batch whose scans are all later than each account's last one.
 
     Pairs the batch doesn't show and that were present are removed at the account's
     first scan of the batch; pairs it shows take their end from the batch, their
@@ -47,70 +51,147 @@ def fold_history(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-#: Buckets of accounts; a batch rewrites those it touches.
-BUCKETS = 16
-TABLES = ("pairs", "owners", "logins", "ladder")
+def fold_logins(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Logins after a batch of later good scans of the accounts in ``state``."""
+    new = login_history(batch.select("account_id", "login", "observed_at", F.col("scan_id").alias("tie")))
+    latest = new.filter("present").groupBy("account_id").agg(F.first(F.lower("login"), ignorenulls=True).alias("_latest"), F.lit(True).alias("_seen"))
+    new = new.select("account_id", "login", F.col("first_seen_at").alias("_first"), F.col("last_seen_at").alias("_last"))
+    same = (F.col("s.account_id") == F.col("n.account_id")) & F.col("s.login").eqNullSafe(F.col("n.login"))
+    rows = state.alias("s").join(new.alias("n"), same, "full_outer")
+    rows = rows.select(F.coalesce("s.account_id", "n.account_id").alias("account_id"), F.coalesce("s.login", "n.login").alias("login"), F.least("first_seen_at", "_first").alias("first_seen_at"), F.greatest("last_seen_at", "_last").alias("last_seen_at"), "present")
+    rows = rows.join(latest, "account_id", "left")
+    return rows.withColumn("present", F.when(F.col("_seen"), F.lower("login") == F.col("_latest")).otherwise(F.col("present"))).drop("_latest", "_seen")
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
+def fold_accounts(state: DataFrame, batch: DataFrame, schedule: list[int]) -> DataFrame:
+    """ACCOUNTS of the batch's accounts after a batch of later scans; ``state``: theirs before.
+
+    The state's last scan stands before the batch's: a scan is compared with it, and the
+    runs of good scans between changes go on from its stage.
+    """
+    empty, top = F.array().cast("array<long>"), max(len(schedule) - 1, 0)
+    now = batch.select("account_id", "observed_at", "scan_id", F.lit(False).alias("old"), (F.col("status") == "ok").alias("ok"), F.array_sort(F.array_distinct(shown_keys())).alias("shown"), "login", "node_id")
+    before = state.select("account_id", F.col("last_at").alias("observed_at"), F.col("last_scan").alias("scan_id"), F.lit(True).alias("old"), F.lit(False).alias("ok"), "shown", F.col("first_seen_at").isNotNull().alias("was_owner"))
+    rows = now.unionByName(before, allowMissingColumns=True)
+    by_account = Window.partitionBy("account_id").orderBy("observed_at", "scan_id")
+    upto = by_account.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("before", F.lag("shown").over(by_account)).withColumn("owner", F.max((F.size("shown") > 0) | F.coalesce("was_owner", F.lit(False))).over(upto))
+    steps = F.col("ok") & F.col("owner")
+    changed = steps & ~F.coalesce("before", empty).eqNullSafe(F.col("shown"))
+    rows = rows.withColumn("change", F.sum(changed.cast("int")).over(upto)).withColumn("steps", steps)
+    order, fresh = F.struct("observed_at", "scan_id"), ~F.col("old")
+    runs = rows.groupBy("account_id", "change").agg(
+        F.max_by(F.struct("observed_at", "scan_id", "shown", "ok"), order).alias("newest"),
+        F.min(F.when(fresh & (F.size("shown") > 0), F.col("observed_at"))).alias("shows"),
+        F.max(F.when(F.col("ok"), F.struct("observed_at", "scan_id", "login", "node_id"))).alias("good"),
+        F.count_if("steps").alias("n"),
+        F.min(F.when(F.col("steps"), F.col("observed_at"))).alias("from_at"),
+        F.max(F.when(F.col("steps"), F.col("observed_at"))).alias("to_at"),
+    )
+    per = runs.groupBy("account_id").agg(F.max("newest").alias("newest"), F.min("shows").alias("shows"), F.max("good").alias("good"), F.max_by(F.struct("change", "n", "from_at", "to_at"), "change").alias("run"))
+    kept = state.select("account_id", *[F.col(c).alias(f"s_{c}") for c in ("first_seen_at", "last_seen_at", "login", "node_id", "stage", "last_changed_at", "last_scan_at")])
+    out = per.join(kept, "account_id", "left")
+    goes_on, moved = F.col("run.change") == 0, F.col("run.n") > 0
+    stage = F.when(goes_on, F.col("s_stage") + F.col("run.n")).otherwise(F.col("run.n") - 1)
+    return out.select(
+        "account_id",
+        F.col("newest.observed_at").alias("last_at"),
+        F.col("newest.scan_id").alias("last_scan"),
+        F.col("newest.shown").alias("shown"),
+        F.coalesce("s_first_seen_at", "shows").alias("first_seen_at"),
+        F.coalesce("good.observed_at", "s_last_seen_at").alias("last_seen_at"),
+        F.when(F.col("good").isNotNull(), F.col("good.login")).otherwise(F.col("s_login")).alias("login"),
+        F.when(F.col("good").isNotNull(), F.col("good.node_id")).otherwise(F.col("s_node_id")).alias("node_id"),
+        (~F.col("newest.ok")).alias("inaccessible"),
+        F.least(stage, F.lit(top)).cast("int").alias("stage"),
+        F.when(goes_on, F.col("s_last_changed_at")).otherwise(F.col("run.from_at")).alias("last_changed_at"),
+        F.when(moved, F.col("run.to_at")).otherwise(F.col("s_last_scan_at")).alias("last_scan_at"),
+    )
 
 
-def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[int], tables: tuple[str, ...] = TABLES):
-    """Fold a stream of scans into bucketed tables; returns the started query.
+def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[int], tables: tuple[str, ...] = TABLES, writer: str = "history"):
+    """Fold a stream of scans into log-structured tables; returns the started query.
 
-    Tables: key pairs, owners, logins and refresh ladder, or some of them, by buckets of
-    accounts.  A batch adds its new scans to the log, folds the accounts it holds and
-    writes the buckets they are in; the newest version of each bucket is in a manifest
-    that is published last.  A scan delivered again is dropped by its scan_id; pairs of
-    an account with a scan not later than its last are folded again from the log; a
-    batch that runs again writes the versions it wrote before.
+    Tables: ``accounts`` (owners and refresh ladder), and of ``tables`` key pairs and logins.
+    A batch reads the rows of its accounts, folds its scans into them and adds a run of
+    the rows that changed to each table, and its scans to the log; one commit publishes
+    all of it.  What a batch reads and writes follows the accounts it holds.
+
+    The log is read only for accounts with a scan not later than their last one: scans
+    delivered again are dropped by their scan_id, and if late ones are left, the account is
+    folded again from its log.  A batch that runs again finds itself committed and does nothing.
     """
+    log_schema = scans.schema
+    log_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log_schema.fields)
+    log_keys = ["account_id", "scan_id"]
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark, version = batch.sparkSession, batch_id + 1
-        manifest = ledger.read_manifest(spark, root, before=version)
-        fresh = batch.withColumn("bucket", _bucket()).dropDuplicates(["account_id", "scan_id"])
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
-        log = ledger.read_log(spark, root, manifest, touched, fresh.schema)
-        fresh = fresh.join(log.select("account_id", "scan_id"), ["account_id", "scan_id"], "left_anti").select(*fresh.columns)
-        ledger.write_buckets(fresh, root, "log", version)
-        fresh = ledger.read_log(spark, root, {("log", b): version for b in touched}, touched, fresh.schema, only=version)
-        fresh.persist()
-        accounts = fresh.select("account_id").distinct().persist()
-        known = log.join(accounts, "account_id", "left_semi").persist()
-        whole = known.unionByName(fresh)
-        first = fresh.groupBy("account_id").agg(F.min("observed_at").alias("_first"))
-        late = known.groupBy("account_id").agg(F.max("observed_at").alias("_last")).join(first, "account_id").filter("_first <= _last").select("account_id")
-
-        def others(name: str, schema: str) -> DataFrame:
-            """Rows of the touched buckets' accounts that the batch doesn't hold."""
-            return ledger.read_buckets(spark, root, name, manifest, touched, schema)
+        spark = batch.sparkSession
+        version, content = ledger.read_commit(spark, root)
+        if content.get("batches", {}).get(writer, -1) >= batch_id:
+            return
+        fresh = batch.select(*log_schema.names).dropDuplicates(log_keys).persist()
+        some = [r[0] for r in fresh.select("account_id").distinct().limit(ledger.FEW_KEYS + 1).collect()]
+        held = some if len(some) <= ledger.FEW_KEYS else fresh.select("account_id").distinct()
+
+        def state(name: str, only) -> DataFrame:
+            return ledger.read_runs(spark, root, content, name, *KEYS[name], only)
+
+        accounts = state("accounts", held).persist()
+        first = fresh.groupBy("account_id").agg(F.min(F.struct("observed_at", "scan_id")).alias("_first"))
+        late = first.join(accounts.select("account_id", F.struct(F.col("last_at").alias("observed_at"), F.col("last_scan").alias("scan_id")).alias("_last")), "account_id").filter("_first <= _last").select("account_id").persist()
+        on_time, old_accounts, again = fresh, accounts, None
+        if not late.isEmpty():
+            few = [r[0] for r in late.limit(ledger.FEW_KEYS + 1).collect()]
+            log = ledger.read_runs(spark, root, content, "log", log_fields, log_keys, few if len(few) <= ledger.FEW_KEYS else late)
+            new = fresh.join(late, "account_id", "left_semi").join(log.select(*log_keys), log_keys, "left_anti").select(*fresh.columns)
+            on_time, old_accounts = fresh.join(late, "account_id", "left_anti"), accounts.join(late, "account_id", "left_anti")
+            again = log.join(new.select("account_id").distinct(), "account_id", "left_semi").unionByName(new).persist()
+            fresh_log = on_time.unionByName(new)
+        else:
+            fresh_log = fresh
+        none = spark.createDataFrame([], ACCOUNTS)
 
         def pairs() -> DataFrame:
-            same = fold_history(others("pairs", PAIRS).join(late, "account_id", "left_anti"), fresh.join(late, "account_id", "left_anti"))
-            return same.unionByName(history_state(whole.join(late, "account_id", "left_semi")))
-
-        def again(name: str, schema: str, rows: DataFrame) -> DataFrame:
-            return others(name, schema).join(accounts, "account_id", "left_anti").unionByName(rows)
-
-        logins = whole.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie"))
-        new = {
-            "pairs": pairs,
-            "owners": lambda: again("owners", OWNERS, owners(whole)),
-            "logins": lambda: again("logins", LOGINS, login_history(logins)),
-            "ladder": lambda: again("ladder", LADDER, refresh_ladder(whole, schedule)),
-        }
-        for name in tables:
-            ledger.write_buckets(new[name]().withColumn("bucket", _bucket()), root, name, version)
-        changed = {(name, b): version for name in (*tables, "log") for b in touched}
-        ledger.write_manifest(spark, root, manifest | changed, version)
-        for rows in (fresh, accounts, known):
-            rows.unpersist()
+            before = state("pairs", held)
+            before = before if again is None else before.join(late, "account_id", "left_anti")
+            rows = fold_history(before, on_time)
+            return rows.exceptAll(before) if again is None else rows.exceptAll(before).unionByName(history_state(again))
+
+        def logins() -> DataFrame:
+            good = on_time.filter("status = 'ok'")
+            before = state("logins", held)
+            before = before if again is None else before.join(late, "account_id", "left_anti")
+            rows = fold_logins(before, good).exceptAll(before)
+            return rows if again is None else rows.unionByName(login_history(again.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie"))))
+
+        known = fold_accounts(old_accounts, on_time, schedule)
+        new_rows = {"log": fresh_log, "accounts": known if again is None else known.unionByName(fold_accounts(none, again, schedule))}
+        new_rows |= {name: {"pairs": pairs, "logins": logins}[name]() for name in tables}
+        after = content | {"batches": content.get("batches", {}) | {writer: batch_id}}
+        for name, rows in new_rows.items():
+            after = ledger.add_run(after, name, ledger.write_run(rows, root, name, version + 1, "account_id"))
+        ledger.commit(spark, root, version + 1, after)
+        for rows in (fresh, accounts, late, again):
+            if rows is not None:
+                rows.unpersist()
+        ledger.compact(spark, root, {"log": (log_fields, log_keys), "accounts": KEYS["accounts"]} | {name: KEYS[name] for name in tables})
 
     return scans.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_history(spark: SparkSession, root: str, table: str, schedule: list[int] | None = None, version: int | None = None, only: list | None = None) -> DataFrame:
+    """``pairs``, ``logins``, ``owners`` or ``ladder`` (with due times of ``schedule``) of a version."""
+    content = ledger.read_commit(spark, root, version)[1]
+    if table in ("owners", "ladder"):
+        rows = ledger.read_runs(spark, root, content, "accounts", *KEYS["accounts"], only)
+        if table == "owners":
+            return rows.filter("first_seen_at is not null").select("account_id", "first_seen_at", "last_seen_at", "login", "node_id", "inaccessible")
+        due = F.timestamp_seconds(id_stagger(F.unix_timestamp("last_scan_at") + schedule_lookup(schedule, F.col("stage")), F.col("account_id")))
+        return rows.filter("stage is not null").select("account_id", "stage", "last_changed_at", "last_scan_at", due.alias("next_due_at"))
+    return ledger.read_runs(spark, root, content, table, *KEYS[table], only)
+
+
 def stream_rates(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Per-minute totals; data later than the watermark is dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("minute"), "n")
@@ -132,36 +213,126 @@ def stream_dedupe(rows: DataFrame, keys: list[str], ts: str = "ts", late: str =
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+#: Length of a slice of a client's log, in windows.
+SLICE_WINDOWS = 8
+
+
+def _slice_exits(batches, width: int):
+    """Per (client, slice) of sorted rows: what each way into the slice leads to.
+
+    A window opened before the slice ends somewhere in its first ``width``; the first
+    request from then on opens a window, and the slice's other windows follow.  Every
+    request up to there is followed as such an entry; entries whose windows meet in one
+    request go on as one, so a request costs what it merges.  Rows out: (client, slice,
+    entry, start, n), the last window's start and requests in the slice, by entry; and
+    one row of null entry with all requests of the slice.
+    """
+    import pyarrow as pa
+
+    key, total, first_end, newest = None, 0, 0, None
+    chains: list[list] = []  # [start of the window, requests before it, entries], by start
+
+    def done():
+        out = [(*key, None, None, total)] + [(*key, e, start, total - before) for start, before, entries in chains for e in entries]
+        client, part, entry, start, n = zip(*out)
+        kinds = (pa.int64(),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip((client, part, entry, start, n), kinds)], ["client", "slice", "entry", "start", "n"])
+
+    for batch in batches:
+        for client, part, t in zip(*(batch.column(c).to_pylist() for c in ("client", "slice", "t"))):
+            if key != (client, part):
+                if key is not None:
+                    yield done()
+                key, total, chains, newest = (client, part), 0, [], None
+                first_end = (part * SLICE_WINDOWS + 1) * width  # any window from before has ended by then
+            if chains and chains[0][0] + width <= t:
+                ended = [c for c in chains if c[0] + width <= t]
+                chains = [c for c in chains if c[0] + width > t]
+                chains.append([t, total, [e for c in ended for e in c[2]]])
+            if newest is None or newest < first_end and newest != t:
+                if chains and chains[-1][0] == t:
+                    chains[-1][2].append(t)
+                else:
+                    chains.append([t, total, [t]])
+                newest = t
+            total += 1
+    if key is not None:
+        yield done()
+
+
+def _slice_states(batches, width: int):
+    """(client, slice, start, n): the window open at each slice's begin, from sorted rows of ``_slice_exits``."""
+    import pyarrow as pa
+
+    client_at = part_at = None
+    start = n = None  # the window that is open, and its requests so far
+    total, left = 0, None
+    out: list[tuple] = []
+
+    def leave():
+        """What the slice just read does to the open window."""
+        nonlocal start, n
+        if left is not None:
+            start, n = left
+        elif part_at is not None and start is not None:
+            n += total
+
+    for batch in batches:
+        for client, part, entry, begun, count in zip(*(batch.column(c).to_pylist() for c in ("client", "slice", "entry", "start", "n"))):
+            if (client, part) != (client_at, part_at):
+                leave()
+                if client != client_at:
+                    start = n = None
+                client_at, part_at, left = client, part, None
+                out.append((client, part, start, n))
+            if entry is None:
+                total = count
+            elif left is None and (start is None or entry >= start + width):
+                left = begun, count
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["client", "slice", "start", "n"])
+            out = []
+
+
 def quota_violations(log: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
     """Requests above the limit of windows that open at a client's first request.
 
     ``log``: (client, ts, request_id).  A window ends ``seconds`` after it opened and
-    the next request opens another one, so windows are each client's own.  A pause of
-    ``seconds`` ends any window, so a client's log is cut at its pauses and the parts
-    are dealt over the tasks, where sorted rows are walked with two numbers in memory.
+    the next request opens another one, so windows are each client's own and hang on all
+    before.  A segmented scan: the log of a client is cut in slices of SLICE_WINDOWS
+    windows' length; each slice is summed up as a function from the window that is open at
+    its begin to the one open at its end; these small rows are composed in order for each
+    client; then every slice is walked alone from its own state.  A client with all rows
+    is so spread over its slices.
     """
-    by_client = Window.partitionBy("client").orderBy("ts", "request_id")
-    rows = log.select("client", "request_id", F.unix_micros("ts").alias("t"), F.unix_micros(F.lag("ts").over(by_client)).alias("before"))
-    rows = rows.withColumn("pause", F.coalesce(F.col("t") - F.col("before") >= seconds * 1_000_000, F.lit(True)).cast("long"))
-    ordered = Window.partitionBy("client").orderBy("t", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("part", F.sum("pause").over(ordered)).select("client", "part", "t", "request_id")
+    width = seconds * 1_000_000
+    rows = log.select("client", "request_id", F.unix_micros("ts").alias("t"))
+    keys = ["client", "slice"]
+    rows = rows.withColumn("slice", F.floor(F.col("t") / (SLICE_WINDOWS * width)).cast("long"))
+    exits = rows.select("client", "slice", "t").repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(lambda b: _slice_exits(b, width), "client long, slice long, entry long, start long, n long")
+    states = exits.repartition("client").sortWithinPartitions("client", "slice", F.col("entry").asc_nulls_first()).mapInArrow(lambda b: _slice_states(b, width), "client long, slice long, start long, n long")
 
     def walk(batches):
         import pyarrow as pa
 
-        at, start, n = None, 0, 0
+        begin, n = None, 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("client", "part", "t")]
             over = []
-            for client, part, t in zip(*columns):
-                if at != (client, part) or t - start >= seconds * 1_000_000:
-                    at, start, n = (client, part), t, 0
+            for t, start, before in zip(*(batch.column(c).to_pylist() for c in ("t", "start", "n"))):
+                if t is None:
+                    begin, n = start, before or 0
+                    over.append(False)
+                    continue
+                if begin is None or t - begin >= width:
+                    begin, n = t, 0
                 n += 1
                 over.append(n > limit)
             yield batch.select(["client", "request_id"]).filter(pa.array(over, pa.bool_()))
 
-    keys = ["client", "part"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "request_id").mapInArrow(walk, "client long, request_id long")
+    # a slice's state stands before its requests
+    both = rows.select(*keys, "t", "request_id").unionByName(states, allowMissingColumns=True)
+    ordered = both.repartition(*keys).sortWithinPartitions(*keys, F.col("t").asc_nulls_first(), "request_id")
+    return ordered.mapInArrow(walk, "client long, request_id long")
 
 
 def stream_quota(log: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:

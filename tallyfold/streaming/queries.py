@@ -53,20 +53,29 @@ def _run(spark: SparkSession, replay: Replay, transform: Callable[[DataFrame], D
     return spark.read.parquet(f"{out}/*")
 
 
-def _stream_history(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], name: str, schema: str) -> DataFrame:
-    replay = Replay(spark, X.scans(spark, sf_dir), "scans", 3, "observed_at")
+def _stream_history(spark: SparkSession, sf_dir: str, scans: DataFrame, tables: tuple[str, ...], name: str) -> DataFrame:
+    replay = Replay(spark, scans, "scans", 3, "observed_at")
     root, state = shared_folder(spark, "ledger"), shared_folder(spark, "ledger-state")
     for _ in replay.land():
         folds.stream_history(replay.stream(), root, state, REFRESH, tables).awaitTermination()
-    return X.seconds(ledger.read_buckets(spark, root, name, ledger.read_manifest(spark, root), None, schema))
+    return X.seconds(folds.read_history(spark, root, name, REFRESH))
 
 
 def r1_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_history(spark, sf_dir, ("pairs",), "pairs", folds.PAIRS)
+    return _stream_history(spark, sf_dir, X.scans(spark, sf_dir), ("pairs",), "pairs")
 
 
 def r1_stream_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_history(spark, sf_dir, folds.TABLES, "owners", folds.OWNERS)
+    return _stream_history(spark, sf_dir, X.scans(spark, sf_dir), (), "owners")
+
+
+def r1_stream_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_history(spark, sf_dir, X.scans(spark, sf_dir), ("logins",), "logins")
+
+
+def r1_stream_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = X.weekly_scans(spark, sf_dir).withColumns({"scan_id": F.lpad(F.col("scan_id").cast("string"), 19, "0"), "login": F.lit(None).cast("string"), "node_id": F.lit(None).cast("string"), "keys": F.col("keys").cast("array<long>")})
+    return _stream_history(spark, sf_dir, weeks, (), "ladder")
 
 
 def r2_stream_refresh_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +131,11 @@ def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.seconds(ledger.read_ledger(spark, root, "history", folds.PAIRS))
 
 
-QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
+QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r1_stream_logins, r1_stream_ladder, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
 
 
 def _oracles() -> dict[str, str]:
-    from ..plans.oracles import HISTORY, ORACLE_SQL, WEEKS
+    from ..plans.oracles import HISTORY, ORACLE_SQL, SCANS, WEEKS
 
     pairs = "SELECT account_id, key, epoch(first_seen_at)::BIGINT AS first_seen_at, epoch(last_seen_at)::BIGINT AS last_seen_at, present, epoch(removed_at)::BIGINT AS removed_at FROM history"
     quota = """WITH RECURSIVE e AS (SELECT user_id AS client, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
@@ -139,6 +148,10 @@ def _oracles() -> dict[str, str]:
         "s8_write_ledger": "WITH " + HISTORY + "\n" + pairs,
         "r2_stream_refresh_state": "WITH " + WEEKS + "\nSELECT account_id, stage, next_due_at AS next_due_s FROM ladder",
         "r1_stream_owners": ORACLE_SQL["h2_owners"],
+        "r1_stream_ladder": ORACLE_SQL["h6_refresh_ladder"],
+        "r1_stream_logins": "WITH " + SCANS + """, good AS (SELECT * FROM scans WHERE status = 'ok'), newest AS (SELECT account_id, max_by(login, observed_at) AS latest FROM good GROUP BY 1)
+          SELECT account_id, login, epoch(min(observed_at))::BIGINT AS first_seen_at, epoch(max(observed_at))::BIGINT AS last_seen_at, lower(login) = lower(any_value(latest)) AS present
+          FROM good JOIN newest USING (account_id) GROUP BY account_id, login""",
         "r2_stream_zero_keys": ORACLE_SQL["h7_zero_key_ladder"],
         "r3_stream_rates": """SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*) AS n FROM events
           WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM events) - INTERVAL 7 DAY GROUP BY 1""",

@@ -22,18 +22,3 @@ def test_old_versions_go(spark, tmp_path):
         ledger.write_ledger(spark.range(version), root, "t", version)
     assert ledger.remove_versions(spark, root, "t", keep=2) == [1, 2]
     assert ledger.read_ledger(spark, root, "t").count() == 4 and ledger.remove_versions(spark, root, "t", keep=2) == []
-
-
-def test_buckets_keep_their_newest_version(spark, tmp_path):
-    root = str(tmp_path)
-    rows = lambda *pairs: spark.createDataFrame(list(pairs), "x long, bucket int")
-    ledger.write_buckets(rows((1, 0), (2, 1)), root, "t", 1)
-    ledger.write_manifest(spark, root, {("t", 0): 1, ("t", 1): 1}, 1)
-    ledger.write_buckets(rows((3, 1)), root, "t", 2)
-    before = ledger.read_manifest(spark, root)
-    assert sorted(r["x"] for r in ledger.read_buckets(spark, root, "t", before, None, "x long").collect()) == [1, 2]
-    ledger.write_manifest(spark, root, before | {("t", 1): 2}, 2)
-    newest = ledger.read_manifest(spark, root)
-    assert sorted(r["x"] for r in ledger.read_buckets(spark, root, "t", newest, None, "x long").collect()) == [1, 3]
-    assert ledger.read_manifest(spark, root, before=2) == before
-    assert ledger.read_buckets(spark, root, "t", newest, [5], "x long").count() == 0
