@@ -5,11 +5,16 @@ A match says that a key was published under an account, not who that is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import normalize_fingerprints
+from ..session import stored
 
+#: Values of one IN that Spark hands to the Parquet reader one by one (its default).
+IN_FILTER = 10
 #: Queries up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_QUERIES = 1_000_000
 
@@ -35,10 +40,10 @@ def lookup_rows(queries: DataFrame, history: DataFrame, owners: DataFrame, alias
     account is no owner (yet) has no login, and no list
     of matches is made, so a key that very many accounts share is many rows.
     """
+    queries = stored(normalize_fingerprints(queries.select("query_id", "value"), "value").withColumnRenamed("normal", "key"), "asked")
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    queries = normalize_fingerprints(queries.select("query_id", "value"), "value").withColumnRenamed("normal", "key")
     asked = F.broadcast(queries) if few else queries
-    hits = history.join(asked.select("query_id", "key"), "key")
+    hits = stored(history.join(asked.select("query_id", "key"), "key"), "hits")
     found = hits.select("account_id").distinct()
     names = owners.select("account_id", "login").join(found, "account_id", "left_semi")
     also = alias_list(aliases.join(found, "account_id", "left_semi"))
@@ -50,6 +55,35 @@ def lookup_rows(queries: DataFrame, history: DataFrame, owners: DataFrame, alias
     return out.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
 
 
+def write_index(history: DataFrame, path: str, key: str = "key") -> None:
+    """A history laid out for lookups: ranges of the key in files, sorted, with Bloom filters.
+
+    A key shared by very many accounts takes several files: the account is in the order.
+    """
+    laid = history.repartitionByRange(key, "account_id").sortWithinPartitions(key, "account_id")
+    sized = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(8 << 20)}
+    laid.write.options(**sized).parquet(path)
+
+
+#: Keys asked for by filters that files' statistics can answer; more by a join.
+FEW_KEYS = 500
+
+
+def read_index(history: DataFrame, queries: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of a laid-out history that queries (query_id, value) can match.
+
+    At most FEW_KEYS keys become filters of the scan, so files and row groups without
+    them are not read; for more the history is joined as it is.
+    """
+    wanted = normalize_fingerprints(queries.select("query_id", "value"), "value").select("normal").filter("normal is not null").distinct()
+    keys = [r[0] for r in wanted.limit(FEW_KEYS + 1).collect()]
+    if len(keys) > FEW_KEYS:
+        return history
+    # one condition a key: a list would be cut to its least and greatest for the scan
+    spread = [keys[i : i + IN_FILTER] for i in range(0, len(keys), IN_FILTER)]
+    return history.filter(reduce(Column.__or__, [F.col(key).isin(some) for some in spread], F.lit(False)))
+
+
 def reverse_lookup(queries: DataFrame, history: DataFrame, owners: DataFrame, aliases: DataFrame, base: str = "https://example.org/") -> DataFrame:
     """The same with the matches of a query in one array, current ones first, then by login.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import parse_keys
@@ -60,25 +60,39 @@ def select_owner_results(results: DataFrame, owners: DataFrame) -> DataFrame:
     return results.join(known, "account_id", "left").filter("n_keys > 0 or _owner").drop("_owner")
 
 
+def set_digest(key: str) -> list[Column]:
+    """Aggregates that are equal for equal sets of distinct keys: their number and two sums of 64-bit hashes.
+
+    Order-free and mergeable, so they combine before the shuffle, and a set of any size is
+    three numbers; two different sets agree by chance once in 2**128.
+    """
+    known = F.col(key).isNotNull()
+    sums = [F.sum(F.when(known, F.xxhash64(F.lit(k), key).cast("decimal(20,0)"))).alias(f"h{k}") for k in (1, 2)]
+    return [F.count(key).alias("size"), *sums]
+
+
 def scan_two_pass(pages: DataFrame) -> DataFrame:
     """Per scan: whether two passes agree, so that it may be published, or why not.
 
-    ``pages``: (scan_id, pass, key, expected).
+    ``pages``: (scan_id, pass, key, expected).  Keys are counted one by one and passes
+    compared by digests of their sets, so a scan of very many keys is spread and never
+    gathered.
     """
-    per = pages.groupBy("scan_id", "pass").agg(F.count(F.lit(1)).alias("observed"), F.array_sort(F.collect_set("key")).alias("keys"), F.max("expected").alias("expected"))
+    each = pages.groupBy("scan_id", "pass", "key").agg(F.count(F.lit(1)).alias("times"), F.max("expected").alias("expected"))
+    per = each.groupBy("scan_id", "pass").agg(F.sum("times").alias("observed"), F.struct(*set_digest("key")).alias("keys"), F.max("expected").alias("expected"))
     one = [F.max(F.when(F.col("pass") == p, F.struct("observed", "keys", "expected"))).alias(f"p{p}") for p in (1, 2)]
     rows = per.groupBy("scan_id").agg(*one)
 
     def whole(p: str):
-        return (F.col(f"{p}.observed") == F.size(f"{p}.keys")) & (F.col(f"{p}.observed") == F.col(f"{p}.expected"))
+        return (F.col(f"{p}.observed") == F.col(f"{p}.keys.size")) & (F.col(f"{p}.observed") == F.col(f"{p}.expected"))
 
     reason = (
         F.when(F.col("p1").isNull() | F.col("p2").isNull(), "pass missing")
         .when(~whole("p1"), "first pass unstable")
         .when(~whole("p2"), "second pass unstable")
-        .when(F.col("p1.keys") != F.col("p2.keys"), "passes differ")
+        .when(~F.col("p1.keys").eqNullSafe(F.col("p2.keys")), "passes differ")
     )
-    return rows.select("scan_id", reason.isNull().alias("stable"), reason.alias("reason"), F.when(reason.isNull(), F.size("p2.keys")).alias("n_keys"))
+    return rows.select("scan_id", reason.isNull().alias("stable"), reason.alias("reason"), F.when(reason.isNull(), F.col("p2.keys.size").cast("int")).alias("n_keys"))
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans import fixtures as X
 from ..session import shared_folder
 from ..sources import ledger
-from . import folds
+from . import folds, timers
 
 AGES = [3_600, 86_400, 7 * 86_400, 28 * 86_400]
 #: Window of the quota queries: long, as a user of the tables is seen a few times a day.
@@ -84,6 +84,18 @@ def r2_stream_refresh_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("account_id").agg(F.max_by(F.struct("stage", "next_due_s"), "_batch").alias("r")).select("account_id", "r.stage", "r.next_due_s")
 
 
+def _due_rows(spark: SparkSession, scans: DataFrame, slices: int = 3) -> DataFrame:
+    """Every row of the ladder with timers over a replay of scans."""
+    with timers.rocks_db(spark):
+        return _run(spark, Replay(spark, scans, "due", slices, "observed_at"), lambda s: timers.stream_due(s, REFRESH), "due", "update")
+
+
+def r2_stream_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the ladder with due times, from a stream that also wakes accounts when they are due."""
+    rows = _due_rows(spark, X.weekly_scans(spark, sf_dir)).filter("kind = 'scan'")
+    return rows.groupBy("account_id").agg(F.max_by(F.struct("stage", "next_due_s"), "_batch").alias("r")).select("account_id", "r.stage", "r.next_due_s")
+
+
 def r2_stream_zero_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = Replay(spark, X.ladder_scans(spark, sf_dir), "ladder", 3, "observed_at")
     rows = _run(spark, scans, lambda s: folds.stream_zero_keys(s, AGES), "zero-keys", "update")
@@ -131,7 +143,7 @@ def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.seconds(ledger.read_ledger(spark, root, "history", folds.PAIRS))
 
 
-QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r1_stream_logins, r1_stream_ladder, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
+QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r1_stream_logins, r1_stream_ladder, r2_stream_due, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
 
 
 def _oracles() -> dict[str, str]:
@@ -147,6 +159,7 @@ def _oracles() -> dict[str, str]:
         "r1_stream_history": "WITH " + HISTORY + "\n" + pairs,
         "s8_write_ledger": "WITH " + HISTORY + "\n" + pairs,
         "r2_stream_refresh_state": "WITH " + WEEKS + "\nSELECT account_id, stage, next_due_at AS next_due_s FROM ladder",
+        "r2_stream_due": "WITH " + WEEKS + "\nSELECT account_id, stage, next_due_at AS next_due_s FROM ladder",
         "r1_stream_owners": ORACLE_SQL["h2_owners"],
         "r1_stream_ladder": ORACLE_SQL["h6_refresh_ladder"],
         "r1_stream_logins": "WITH " + SCANS + """, good AS (SELECT * FROM scans WHERE status = 'ok'), newest AS (SELECT account_id, max_by(login, observed_at) AS latest FROM good GROUP BY 1)

@@ -183,3 +183,65 @@ def test_time_partitions_have_no_gap_and_no_overlap(spark):
     assert leaves[0][0] == bounds[0] and leaves[-1][1] == bounds[1]
     assert all(a[1] + 1 == b[0] for a, b in zip(leaves, leaves[1:]))
     assert len({hi - lo for lo, hi in leaves}) > 1
+
+
+def test_due_rows_without_a_new_scan(spark, tmp_path):
+    """An account is due when the watermark passes its time, not before, and not if a scan moved it; old state ends."""
+    from tallyfold.streaming import timers
+
+    schema = "account_id long, observed_at timestamp, scan_id long, status string, keys array<long>"
+    source, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    spark.createDataFrame([], schema).write.parquet(source)
+    day = lambda n: START + timedelta(days=n)
+    schedule = [86_400, 4 * 86_400]
+    batches = [
+        [(1, day(0), 1, "ok", [7]), (2, day(0), 2, "ok", [8])],
+        [(1, day(1), 3, "ok", [7])],  # account 1 goes up a stage before it is due
+        [(9, day(4), 4, "ok", [1])],  # time goes on: account 2 is due
+        [(9, day(5), 5, "ok", [1])],
+        [(9, day(8), 6, "ok", [2])],  # account 1 is due now
+        [(9, day(9), 7, "ok", [2])],
+        [(9, day(60), 8, "ok", [2])],
+        [(9, day(61), 9, "ok", [2]), (1, day(61), 10, "ok", [7])],  # the state of account 1 has ended
+        [(9, day(62), 11, "ok", [2])],
+    ]
+    with timers.rocks_db(spark):
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            due = timers.stream_due(spark.readStream.schema(schema).parquet(source), schedule, "1 second")
+            due.writeStream.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = [(r["account_id"], r["kind"], r["stage"], r["next_due_s"]) for r in spark.read.parquet(f"{out}/*").collect()]
+    at = lambda n, a: int(day(n).timestamp()) + a
+    assert got.count((2, "due", 0, at(1, 2))) == 1
+    assert (1, "due", 0, at(1, 1)) not in got and got.count((1, "due", 1, at(5, 1))) == 1
+    assert (1, "scan", 0, at(62, 1)) in got  # begins anew
+    assert sum(k == "due" for _, k, _, _ in got) == 2
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    """A history laid out by key: a few keys read a small part, with the same rows as a whole scan."""
+    from tallyfold.operators import lookup as L
+
+    path = f"{tmp_path}/index"
+    rows = spark.range(300_000).selectExpr("concat('SHA256:', substr(base64(unhex(sha2(string(id div 3), 256))), 1, 43)) as key", "id as account_id", "sha2(string(id), 256) as pad")
+    L.write_index(rows, path)
+    index = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    found = index.filter("account_id in (30, 60000, 299999)").collect()
+    asked = spark.createDataFrame([(r["account_id"], r["key"]) for r in found], "query_id long, value string")
+    before = bytes_moved(spark)[0]
+    got = L.read_index(index, asked).collect()
+    assert bytes_moved(spark)[0] - before < size / 3
+    assert {r["account_id"] // 3 for r in got} == {10, 20_000, 99_999} and len(got) == 9
+    assert L.read_index(index, asked.filter("query_id < 0")).count() == 0
+
+
+def test_digests_of_sets(spark):
+    """A million keys in any order, twice: the same digest; one key less: another."""
+    from tallyfold.operators import validation as V
+
+    keys = spark.range(1_000_000).selectExpr("'s' as scan_id", "1 as pass", "id as key", "1000000L as expected")
+    again = keys.orderBy(F.desc("key")).selectExpr("scan_id", "2 as pass", "key", "expected")
+    assert V.scan_two_pass(keys.unionByName(again)).first()["stable"]
+    other = again.selectExpr("scan_id", "pass", "if(key = 77, -1, key) as key", "expected")
+    assert V.scan_two_pass(keys.unionByName(other)).first()["reason"] == "passes differ"
