@@ -7,8 +7,9 @@
 3. Proposals whose sizes allow the similarity and whose sketches make it likely are
    verified on the full sets, made again from the whole texts.
 4. Links give components.  In a bucket that still holds several components every
-   member's sketch is compared with those of the other components; what may be similar
-   is one family.  Families are cut into blocks by size, and every two blocks compare
+   member's sketch is compared with those of the other components, and never with its own
+   component's, so that many copies of one text cost what the others in their buckets do;
+   what may be similar is one family.  Families are cut into blocks by size, and every two blocks compare
    all their classes on the full sets, so that a pair is found whoever stands first.
 5. Components over all links give the groups; the smallest doc_id is kept.
 
@@ -21,7 +22,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, as_bytes, keep, slices, tidy_worker
@@ -34,11 +35,13 @@ BAND_ROWS = 4
 LEAST_ESTIMATE = 0.56
 #: Equal registers of two similar sets are fewer only beyond five standard deviations.
 LEAST_EQUAL = 70
-#: Larger buckets are cut into parts of about so many members; every two parts meet in a group.
+#: Larger buckets are cut into parts of about so many members, labels that large into parts of their own.
 PART_ROWS = 4096
 #: Bounds of a family's block; two blocks are compared in a task.
 BLOCK_SHINGLES = 500_000
 BLOCK_ROWS = 2000
+#: Classes of sizes that a doubling of the size has.
+SIZE_CLASSES = 4
 
 SIGNATURES = "doc_id long, n_shingles long, digest binary, registers binary"
 
@@ -185,19 +188,61 @@ def _fit(n: np.ndarray, m: int) -> np.ndarray:
 
 
 def _spanning(ids: np.ndarray, n: np.ndarray, label: np.ndarray, registers: np.ndarray):
-    """Edges that connect all members with a pair of two labels whose sketches may be similar."""
-    left = np.arange(len(ids))
-    while len(left):
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
+    """Edges that connect all members with a pair of two labels whose sketches may be similar.
+
+    Members of the commonest label have nothing to do with each other: each of them is
+    compared with the others only, so the work is the others times all.
+    """
+    names, place, times = np.unique(label, return_inverse=True, return_counts=True)
+    many = place == times.argmax()
+    rest, common = np.flatnonzero(~many), np.flatnonzero(many)
+
+    def taken(i: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(members of ``left`` that go with i, the others)."""
+        maybe = np.flatnonzero((label[left] != label[i]) & _fit(n[left], n[i]))
+        hit = maybe[(registers[left[maybe]] == registers[i]).sum(1) >= LEAST_EQUAL]
+        return (left[hit], np.delete(left, hit)) if len(hit) else (hit, left)
+
+    while len(rest):
+        reached, rest = [rest[0]], rest[1:]
+        while reached:
             i = reached.pop()
-            maybe = np.flatnonzero((label[left] != label[i]) & _fit(n[left], n[i]))
-            hit = maybe[(registers[left[maybe]] == registers[i]).sum(1) >= LEAST_EQUAL]
-            if len(hit):
-                found = left[hit].tolist()
-                yield from ((int(ids[i]), int(ids[k])) for k in found)
-                reached += found
-                left = np.delete(left, hit)
+            found, rest = taken(i, rest)
+            if not many[i]:
+                more, common = taken(i, common)
+                found = np.concatenate((found, more))
+            for k in found.tolist():
+                yield int(ids[i]), int(ids[k])
+                reached.append(k)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (band, key, id, n, label) of buckets with two labels or more, with the blocks ``p`` they are compared in.
+
+    A bucket of at most PART_ROWS members is one block.  In a larger one a label with
+    PART_ROWS members or more is cut in parts of its own and the other labels share parts;
+    two parts meet in a block unless both are of one label.
+    """
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = keep(sizes.filter("members > 2 and low <> high").select("band", "key", "members"), "mixed buckets")
+    columns = ["band", "key", "p", "id", "n", "label"]
+    one = rows.join(sizes.filter(F.col("members") <= PART_ROWS), ["band", "key"]).withColumn("p", F.lit("")).select(columns)
+    large = sizes.filter(F.col("members") > PART_ROWS).select("band", "key")
+    if large.isEmpty():
+        return one
+    some = rows.join(large, ["band", "key"])
+    counts = some.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("k"))
+    own = keep(counts.withColumn("group", F.when(F.col("k") >= PART_ROWS, F.col("label").cast("string")).otherwise("")), "bucket labels")
+    groups = own.groupBy("band", "key", "group").agg(F.ceil(F.sum("k") / PART_ROWS).alias("parts"))
+    some = some.join(own.filter("group <> ''").select("band", "key", "label", "group"), ["band", "key", "label"], "left").withColumn("group", F.coalesce("group", F.lit("")))
+    some = some.join(groups, ["band", "key", "group"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    a, b = (groups.select("band", "key", F.col("group").alias(f"g_{x}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias(f"p_{x}")) for x in "ab")
+    # groups are paired before their parts: two parts of one label are never made a pair
+    pairs = groups.select("band", "key", F.col("group").alias("g_a")).join(groups.select("band", "key", F.col("group").alias("g_b")), ["band", "key"]).filter("g_a < g_b or (g_a = '' and g_b = '')")
+    met = pairs.join(a, ["band", "key", "g_a"]).join(b, ["band", "key", "g_b"]).filter("g_a < g_b or p_a <= p_b")
+    met = keep(met.withColumn("p", F.concat_ws(",", "g_a", "p_a", "g_b", "p_b")), "met parts")
+    sides = met.select("band", "key", F.col("g_a").alias("group"), F.col("p_a").alias("part"), "p").union(met.select("band", "key", "g_b", "p_b", "p")).distinct()
+    return one.union(some.join(sides, ["band", "key", "group", "part"]).select(columns))
 
 
 def _family_edges(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -206,20 +251,15 @@ def _family_edges(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> Da
     def connect(batches):
         import pyarrow as pa
 
-        for ids, n, label, registers in _groups(batches, ["band", "key", "p", "q"]):
+        for ids, n, label, registers in _groups(batches, keys):
             rows = np.frombuffer(b"".join(registers), np.uint8).reshape(-1, REGISTERS)
             edges = list(_spanning(np.array(ids), np.array(n), np.array(label), rows))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
 
-    rows = bands.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = mixed.filter("members > 2 and low <> high").select("band", "key", F.ceil(F.col("members") / PART_ROWS).alias("parts"))
-    part, other = F.pmod(F.xxhash64("id"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    met = rows.join(mixed, ["band", "key"]).withColumn("part", part).select("*", other)
-    met = met.select("band", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "label")
-    met = met.join(classes.select("id", "n", "registers"), ["id", "n"]).select("band", "key", "p", "q", "id", "n", "label", "registers")
-    keys = ["band", "key", "p", "q"]
+    keys = ["band", "key", "p"]
+    met = _blocks(bands.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    met = met.join(classes.select("id", "n", "registers"), ["id", "n"]).select(*keys, "id", "n", "label", "registers")
     return met.repartition(_tasks(bands), *keys).sortWithinPartitions(*keys).mapInArrow(connect, "a long, b long").distinct()
 
 
@@ -280,12 +320,18 @@ def _family_links(families: DataFrame, labels: DataFrame, classes: DataFrame, do
     member = families.select("id", F.col("label").alias("family"))
     rows = member.join(classes.select("id", "n"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     weight = F.col("n") + BLOCK_SHINGLES // BLOCK_ROWS
-    before = F.sum(weight).over(Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)) - weight
-    rows = keep(rows.withColumn("block", F.floor(before / BLOCK_SHINGLES)), "family blocks")
+    # a family in one block if it fits, else by size, and equal sizes by a hash
+    rows = rows.withColumn("weight", weight).withColumn("class", F.floor(F.log2(F.col("n")) * SIZE_CLASSES))
+    whole = rows.groupBy("family").agg(F.sum("weight").alias("whole"))
+    parts = rows.groupBy("family", "class").agg(F.sum("weight").alias("some")).join(whole, "family")
+    parts = parts.select("family", "class", F.when(F.col("whole") <= BLOCK_SHINGLES, 0).otherwise(F.ceil(F.col("some") / BLOCK_SHINGLES)).alias("parts"))
+    block = F.when(F.col("parts") == 0, "").otherwise(F.concat_ws(",", "class", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    rows = keep(rows.join(parts, ["family", "class"]).withColumn("block", block).drop("weight", "class", "parts"), "family blocks")
     spans = rows.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    p = spans.select("family", F.col("block").alias("p"), "high")
-    q = spans.select("family", F.col("block").alias("q"), "low")
-    met = p.join(q, "family").filter((F.col("p") <= F.col("q")) & (100 * F.col("high") >= PERCENT * F.col("low"))).select("family", "p", "q")
+    p = spans.select("family", F.col("block").alias("p"), F.col("low").alias("p_low"), F.col("high").alias("p_high"))
+    q = spans.select("family", F.col("block").alias("q"), F.col("low").alias("q_low"), F.col("high").alias("q_high"))
+    fit = (100 * F.col("p_high") >= PERCENT * F.col("q_low")) & (100 * F.col("q_high") >= PERCENT * F.col("p_low"))
+    met = p.join(q, "family").filter((F.col("p") <= F.col("q")) & fit).select("family", "p", "q")
     sides = met.select("family", F.col("p").alias("block"), "p", "q", F.lit(0).alias("side")).union(met.filter("p < q").select("family", F.col("q").alias("block"), "p", "q", F.lit(1).alias("side")))
     ids = keep(rows.select(F.col("id").alias("doc_id")).distinct(), "needed")
     few = ids.count() <= BROADCAST_IDS
