@@ -4,10 +4,11 @@ A key value is an authorized-key line: options, a word, base64 blob, comment.  T
 blob says the type; it must be framed exactly as its type demands (RFC 4253 fields
 with big-endian lengths that fill it) and hold a body of the type's lengths and
 curve.  Lines without a key before the key's line are skipped, as comments are;
-nothing may follow it.  RSA blobs may lack their base64 padding.
+nothing may follow it.  RSA blobs may lack their base64 padding.  A point that is not on
+its curve is no key; that is told of elliptic-curve keys beforehand, by long numbers
+in Python, and everything else by column expressions.
 
-Not checked: whether a curve point is on its curve, and the signature and option
-lists of a certificate.
+Not checked: the signature and option lists of a certificate.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .curves import off_curve
+
 # What follows the type field in a blob; s: length-prefixed field, 8 and 4: bytes of a number.
 BODIES = {
     "ssh-rsa": "ss",
@@ -142,7 +145,8 @@ def _key_of(encoded: Column) -> Column:
             body = F.slice(parts, F.when(known["signed"], 3).otherwise(2), F.lit(8))
             digest = F.unhex(F.sha2(blob, 256))
             good = _let(digest, lambda d: F.struct(d, fingerprint_text(d), kind, F.concat(kind, F.lit(" "), _base64(blob)), F.lit(None).cast("string")).cast(KEY))
-            return F.when(parts.isNull(), _rejected("broken framing")).when(_sound(known["inner"], body), good).otherwise(_rejected("invalid key body"))
+            sound = _sound(known["inner"], body) & ~F.array_contains(F.col("_off"), encoded)
+            return F.when(parts.isNull(), _rejected("broken framing")).when(sound, good).otherwise(_rejected("invalid key body"))
 
         return F.when(known.isNull(), _rejected("unknown type")).otherwise(_let(_fields(blob, known["form"]), checked))
 
@@ -200,8 +204,8 @@ def _parser(application: str) -> Column:
 
 def parse_keys(df: DataFrame, raw: str) -> DataFrame:
     """``df`` with fingerprint, text, type, canonical and reason (null when valid); columns of these names are replaced."""
-    others = df.withColumn("_value", F.col(raw)).drop("fingerprint", "text", "type", "canonical", "reason")
-    return others.select("*", _parser(df.sparkSession.sparkContext.applicationId)).drop("_value")
+    others = df.withColumn("_value", F.col(raw)).withColumn("_off", off_curve(F.col("_value"))).drop("fingerprint", "text", "type", "canonical", "reason")
+    return others.select("*", _parser(df.sparkSession.sparkContext.applicationId)).drop("_value", "_off")
 
 
 def normalize_keys(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:

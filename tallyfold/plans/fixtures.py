@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.curves import multiples
 from ..functions.keys import fingerprint_text
 from ..session import shared_folder
 
@@ -81,6 +82,10 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_custkey").alias("account_id"), name.alias("login"), F.col("o_orderdate").alias("observed_at"), F.col("o_orderkey").alias("tie"))
 
 
+#: Some points of the curve P-256.
+POINTS = multiples("nistp256", 8)
+
+
 def _field(digits: Column, size: int) -> Column:
     """A length-prefixed field of ``size`` bytes as hexadecimal digits."""
     return F.concat(F.lit(f"{size:08X}"), digits)
@@ -98,7 +103,9 @@ def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("*", F.inline(F.array(F.struct(digits("k").alias("own"), digits("l").alias("more")))))
     edwards = F.concat(_named("ssh-ed25519"), _field(own, 32))
     rsa = F.concat(_named("ssh-rsa"), F.lit("00000003010001"), _field(F.concat(F.lit("00C5"), own, "more"), 66))
-    point = _field(F.concat(F.lit("04"), own, "more"), 65)
+    # every other point is on the curve
+    true = F.get(F.array(*[F.lit(p.hex().upper()) for p in POINTS]), (F.floor(seed / 24) % len(POINTS)).cast("int"))
+    point = _field(F.when(F.floor(seed / 12) % 2 == 0, true).otherwise(F.concat(F.lit("04"), own, "more")), 65)
     rest = "0" * 15 + "7" + "00000001" + "00000002" + b"id".hex() + "0" * 8 + "0" * 32 + "0" * 24 + "00000001AB" + "00000001CD"
     signed = F.concat(_named("ssh-ed25519-cert-v01@openssh.com"), F.lit("000000016E"), _field(own, 32), F.lit(rest))
     curve = lambda name: F.concat(_named("ecdsa-sha2-nistp256"), _named(name), point)

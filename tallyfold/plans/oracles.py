@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fixtures import POINTS
 from .queries import NOW
 
 SCANS = """scans AS (
@@ -38,7 +39,8 @@ login_history AS (
     lower(l.login) = lower(any_value(b.latest)) AS present
   FROM logins l JOIN (SELECT account_id, max_by(login, (observed_at, tie)) AS latest FROM logins GROUP BY 1) b USING (account_id)
   GROUP BY 1, 2)"""
-LINES = """seeds AS (
+_POINTS = ", ".join(f"'{p.hex().upper()}'" for p in POINTS)
+LINES = f"""seeds AS (
   SELECT c_custkey AS account_id, c_custkey % 1000 AS observed_at, CASE WHEN c_custkey % 13 = 0 THEN c_custkey - 1 ELSE c_custkey END AS seed FROM customer),
 bodies AS (
   SELECT *, seed % 12 AS kind, sha256('k' || seed) AS own, sha256('k' || seed) || sha256('l' || seed) AS longer,
@@ -47,11 +49,11 @@ lines AS (
   SELECT account_id, observed_at,
     CASE WHEN account_id % 55 = 0 OR kind < 4 THEN edwards
       WHEN kind IN (4, 5) THEN '00000007' || hex('ssh-rsa') || '00000003010001' || '0000004200C5' || longer
-      WHEN kind = 6 THEN '00000013' || hex('ecdsa-sha2-nistp256') || '00000008' || hex('nistp256') || '0000004104' || longer
+      WHEN kind = 6 THEN '00000013' || hex('ecdsa-sha2-nistp256') || '00000008' || hex('nistp256') || '00000041' || CASE WHEN seed // 12 % 2 = 0 THEN ([{_POINTS}])[seed // 24 % {len(POINTS)} + 1] ELSE '04' || longer END
       WHEN kind = 7 THEN '00000020' || hex('ssh-ed25519-cert-v01@openssh.com') || '000000016E' || '00000020' || own || '0000000000000007' || '00000001'
         || '00000002' || hex('id') || '00000000' || repeat('0', 32) || repeat('00000000', 3) || '00000001AB' || '00000001CD' ELSE edwards END AS hx,
     CASE kind WHEN 4 THEN 'ssh-rsa' WHEN 5 THEN 'ssh-rsa' WHEN 6 THEN 'ecdsa-sha2-nistp256' WHEN 7 THEN 'ssh-ed25519-cert-v01@openssh.com' ELSE 'ssh-ed25519' END AS type,
-    CASE WHEN account_id % 35 = 0 OR account_id % 55 = 0 AND kind = 5 THEN 'invalid base64' WHEN account_id % 55 = 0 THEN 'unknown type' WHEN kind IN (8, 9) THEN 'invalid key body'
+    CASE WHEN account_id % 35 = 0 OR account_id % 55 = 0 AND kind = 5 THEN 'invalid base64' WHEN account_id % 55 = 0 THEN 'unknown type' WHEN kind IN (8, 9) OR kind = 6 AND seed // 12 % 2 = 1 THEN 'invalid key body'
       WHEN kind = 10 THEN 'broken framing' WHEN kind = 11 THEN 'more than one key' END AS reason
   FROM bodies),
 good_lines AS (SELECT * FROM lines WHERE reason IS NULL),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+from tallyfold.functions import curves
 from tallyfold.functions import keys as K
 
 # A key line and its fingerprint.
@@ -33,7 +34,7 @@ def u32(n: int) -> bytes:
 
 
 E, N = b"\x01\x00\x01", b"\x00" + b"\xc5" * 32
-POINT = {n: b"\x04" + b"\x07" * (n - 1) for n in (65, 97, 133)}
+POINT = {len(p): p for p in (curves.multiples(c, 3)[2] for c in curves.CURVES)}
 DSS = [b"\x00" + b"\x81" * 128, b"\x00" + b"\x91" * 20, b"\x05" * 128, b"\x06" * 128]
 
 
@@ -102,6 +103,9 @@ def test_rejects(spark):
         "ecdsa-sha2-nistp256 " + blob(b"ecdsa-sha2-nistp256", b"nistp384", POINT[97]): "invalid key body",
         "ecdsa-sha2-nistp384 " + blob(b"ecdsa-sha2-nistp384", b"nistp384", POINT[65]): "invalid key body",
         "ecdsa-sha2-nistp256 " + blob(b"ecdsa-sha2-nistp256", b"nistp256", b"\x02" + POINT[65][1:]): "invalid key body",
+        **{f"ecdsa-sha2-{c} " + blob(f"ecdsa-sha2-{c}".encode(), c.encode(), moved(POINT[n])): "invalid key body" for c, n in (("nistp256", 65), ("nistp384", 97), ("nistp521", 133))},
+        "sk " + blob(b"sk-ecdsa-sha2-nistp256@openssh.com", b"nistp256", moved(POINT[65]), b"ssh:"): "invalid key body",
+        "c " + certificate(b"ecdsa-sha2-nistp521-cert-v01@openssh.com", b"nistp521", moved(POINT[133])): "invalid key body",
         "ssh-dss " + blob(b"ssh-dss", b"\x01", *DSS[1:]): "invalid key body",
         "c " + certificate(b"ssh-ed25519-cert-v01@openssh.com", b"\x02" * 31): "invalid key body",
         "c " + certificate(b"ssh-ed25519-cert-v01@openssh.com", b"\x02" * 32, rest=b"x"): "broken framing",
@@ -112,6 +116,29 @@ def test_rejects(spark):
     assert all(got[i][c] is None for i in range(len(cases)) for c in ("text", "type", "canonical", "fingerprint"))
 
 
+def moved(point: bytes) -> bytes:
+    """A point of the same length that is off the curve by one."""
+    return point[:-1] + bytes([point[-1] ^ 1])
+
+
+def test_points(spark):
+    """Multiples of the base point are on each curve, their neighbours aren't; coordinates stay below the modulus."""
+    for curve, (p, _, _, _) in curves.CURVES.items():
+        size = (p.bit_length() + 7) // 8
+        some = curves.multiples(curve, 40)
+        assert len(set(some)) == 40 and all(curves.on_curve(curve, x) for x in some)
+        assert not any(curves.on_curve(curve, moved(x)) for x in some)
+        x, y = (int.from_bytes(part, "big") for part in (some[4][1 : 1 + size], some[4][1 + size :]))
+        if (x + p).bit_length() <= 8 * size:
+            assert not curves.on_curve(curve, b"\x04" + (x + p).to_bytes(size, "big") + y.to_bytes(size, "big"))
+        assert curves.on_curve(curve, b"\x04" + x.to_bytes(size, "big") + (p - y).to_bytes(size, "big"))
+        assert not curves.on_curve(curve, some[0][:-1]) and not curves.on_curve(curve, b"\x02" + some[0][1:])
+    # a key off its curve is no key: the line after it counts
+    line = "ecdsa-sha2-nistp256 " + blob(b"ecdsa-sha2-nistp256", b"nistp256", moved(POINT[65]))
+    got = parsed(spark, [line + "\n" + ED, ED + "\n" + line])
+    assert got[0]["canonical"] == ED and got[0]["reason"] is None and got[1]["reason"] == "more than one key"
+
+
 def test_fingerprint_spellings(spark):
     bare = PRINT[7:]
     good = [PRINT, "sha256:" + bare, bare, bare + "=", "SHA256:" + bare + "=", " " + RSA + " me "]
