@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 
 #: Time ranges up to this many are sent to every task.
 BROADCAST_RANGES = 1_000_000
@@ -188,6 +189,49 @@ def range_density(accounts: DataFrame, lower: int, upper: int, n: int) -> DataFr
     return rows.withColumn("density", F.col("users") / (F.col("upper_id") - F.col("lower_id") + 1))
 
 
+def _counted_before(batches):
+    """For each edge of sorted rows the ids before it in this task, and a last row with all of the task's."""
+    import numpy as np
+    import pyarrow as pa
+
+    part, seen = None, 0
+    names = ["part", "lower_id", "upper_id", "kind", "before"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, kind = batch.column("part")[0].as_py(), batch.column("kind").to_numpy()
+        upto = seen + np.cumsum(kind == 1)
+        seen = int(upto[-1])
+        edges = pa.array(kind != 1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(upto, pa.int64())], names).filter(edges)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int32()), (None, pa.int64()), (None, pa.int64()), (1, pa.int32()), (seen, pa.int64()))], names)
+
+
+def shard_density(ids: DataFrame, shards: DataFrame) -> DataFrame:
+    """``shards`` (lower_id, upper_id, closed, of any length, overlapping or not) with users and density.
+
+    A sweep over sorted edges: ids and both edges of every range are range-partitioned
+    by position, each task counts the ids before its edges, the tasks' sums, one row each,
+    are added up in order, and a range's users are the ids before its end less those
+    before its beginning.  No range meets an id, so the cost is one sort whatever the
+    ranges; a range of all ids costs as much as one of none.
+    """
+    spark = ids.sparkSession
+    ranges = shards.select(F.col("lower_id").cast("long").alias("lower_id"), F.col("upper_id").cast("long").alias("upper_id")).distinct()
+    ends = F.array(*[F.struct(F.col(c).alias("at"), F.lit(k).alias("kind")) for c, k in (("lower_id", 0), ("upper_id", 2))])
+    edges = ranges.select("lower_id", "upper_id", F.inline(ends))
+    points = ids.select(F.col("id").cast("long").alias("at")).filter("at is not null").distinct().withColumn("kind", F.lit(1))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.unionByName(points, allowMissingColumns=True).repartitionByRange(tasks, "at", "kind").sortWithinPartitions("at", "kind").withColumn("part", F.spark_partition_id())
+    swept = stored(rows.mapInArrow(_counted_before, "part int, lower_id long, upper_id long, kind int, before long"), "edges")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = swept.filter("kind = 1").select("part", F.coalesce(F.sum("before").over(earlier), F.lit(0)).alias("base"))
+    at = swept.filter("kind <> 1").join(F.broadcast(base), "part").withColumn("before", F.col("before") + F.col("base"))
+    users = at.groupBy("lower_id", "upper_id").agg((F.max(F.when(F.col("kind") == 2, F.col("before"))) - F.max(F.when(F.col("kind") == 0, F.col("before")))).alias("users"))
+    return shards.join(users, ["lower_id", "upper_id"]).withColumn("density", F.col("users") / (F.col("upper_id") - F.col("lower_id") + 1))
+
+
 def expected_new(remaining: Column, observed_users: Column, observed_ids: Column) -> Column:
     """Remaining positions times the observed density (0 to 1), rounded up."""
     density = F.greatest(F.lit(0.0), F.least(F.lit(1.0), observed_users / observed_ids))

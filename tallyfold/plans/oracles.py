@@ -297,6 +297,11 @@ ORACLE_SQL: dict[str, str] = {
       r AS (SELECT i AS range, a + (total * i) // 64 AS lower_id, a + (total * (i + 1)) // 64 - 1 AS upper_id FROM range(64) t(i), b),
       u AS (SELECT range, lower_id, upper_id, count(id) AS users FROM r LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem) ON id BETWEEN lower_id AND upper_id GROUP BY 1, 2, 3)
       SELECT *, round(users / (upper_id - lower_id + 1), 6)::DOUBLE AS density, ceil(1000 * least(1.0, greatest(0.0, users / (upper_id - lower_id + 1)::DOUBLE)))::BIGINT AS expected FROM u""",
+    "t5_shard_density": _with(SHARDS) + """, r AS (SELECT run_id, lower_id, CASE WHEN status = 'running' THEN next_id - 1 ELSE upper_id END AS upper_id FROM shards
+        UNION ALL SELECT run_id, next_id, upper_id FROM shards WHERE status = 'running' UNION ALL SELECT run_id, min(lower_id), max(upper_id) FROM shards GROUP BY 1),
+      ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem)
+      SELECT run_id, lower_id, upper_id, count(id) AS users, round(count(id) / (upper_id - lower_id + 1), 6)::DOUBLE AS density
+      FROM r LEFT JOIN ids ON id BETWEEN lower_id AND upper_id WHERE lower_id <= upper_id GROUP BY 1, 2, 3""",
     "t6_pass_plan": _with(SHARDS) + "SELECT 'tail' AS kind, (max(upper_id) + 1)::BIGINT AS lower_id, 10000000::BIGINT AS upper_id FROM shards",
     "t6_run_kind": _with(RUNS) + f"""SELECT run_id, CASE WHEN enumeration_complete THEN 'global' ELSE 'initial' END AS kind, CASE WHEN enumeration_complete THEN processed END AS cutoff_id,
       CASE WHEN enumeration_complete THEN epoch(TIMESTAMP '{NOW}')::BIGINT - 172800 END AS settled_cutoff FROM runs""",

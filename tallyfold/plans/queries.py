@@ -537,6 +537,17 @@ def t5_range_density(spark, d):
     return out.withColumn("density", F.round("density", 6)).withColumn("expected", C.expected_new(F.lit(1000), F.col("users"), F.col("upper_id") - F.col("lower_id") + 1))
 
 
+@query
+def t5_shard_density(spark, d):
+    """Ids in uneven shards: unfinished ones are split where they stand, and each run's whole range is one more."""
+    shards = X.shards(spark, d)
+    cut = F.when(F.col("status") == "running", F.array(F.struct("lower_id", (F.col("next_id") - 1).alias("upper_id")), F.struct(F.col("next_id").alias("lower_id"), "upper_id"))).otherwise(F.array(F.struct("lower_id", "upper_id")))
+    rows = shards.select("run_id", F.inline(cut)).filter("lower_id <= upper_id")
+    rows = rows.unionByName(shards.groupBy("run_id").agg(F.min("lower_id").alias("lower_id"), F.max("upper_id").alias("upper_id")))
+    ids = X.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return C.shard_density(ids, rows).select("run_id", "lower_id", "upper_id", "users", F.round("density", 6).alias("density"))
+
+
 @query
 def t6_pass_plan(spark, d):
     sweeps = X.shards(spark, d).groupBy("run_id").agg(F.min("lower_id").alias("lower_id"), F.max("upper_id").alias("upper_id")).withColumn("lower_id", F.when(F.col("run_id") == 0, 1).otherwise(F.col("lower_id")))

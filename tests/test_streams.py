@@ -245,3 +245,17 @@ def test_digests_of_sets(spark):
     assert V.scan_two_pass(keys.unionByName(again)).first()["stable"]
     other = again.selectExpr("scan_id", "pass", "if(key = 77, -1, key) as key", "expected")
     assert V.scan_two_pass(keys.unionByName(other)).first()["reason"] == "passes differ"
+
+
+def test_density_of_uneven_shards(spark):
+    """Overlapping, nested, empty and one-id ranges, repeated and missing ids."""
+    r = random.Random(11)
+    ids = [r.randrange(-100, 3000) for _ in range(4000)] + [5] * 500
+    ranges = [(lo, lo + r.choice([0, 1, 10, 500, 5000])) for lo in (r.randrange(-200, 3200) for _ in range(60))] + [(7, 7)] * 2
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    got = C.shard_density(df, spark.createDataFrame(ranges, "lower_id long, upper_id long"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    known = set(ids)
+    assert sorted((x["lower_id"], x["upper_id"], x["users"]) for x in got.collect()) == sorted((a, b, sum(a <= i <= b for i in known)) for a, b in ranges)
+    assert C.shard_density(df.limit(0), spark.createDataFrame(ranges[:2], "lower_id long, upper_id long")).agg(F.sum("users")).first()[0] == 0
