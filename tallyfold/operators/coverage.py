@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import containers
 from ..session import stored
 
 #: Time ranges up to this many are sent to every task.
@@ -27,6 +30,101 @@ def merge_bitmaps(bitmaps: DataFrame, mark: str = "mark") -> DataFrame:
     return bitmaps.groupBy(mark, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).withColumn("n", F.bitmap_count("bitmap"))
 
 
+CONTAINERS = "chunk long, container binary, n long"
+
+
+def _sets_of(batches):
+    """Containers of the ids of each batch, before the shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        ids = np.unique(batch.column(0).drop_null().to_numpy())
+        if not len(ids):
+            continue
+        chunk = ids >> containers.CHUNK_BITS
+        at = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+        packed = [containers.pack(part & (1 << containers.CHUNK_BITS) - 1) for part in np.split(ids, at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[at], pa.int64()), pa.array(packed, pa.binary())], ["chunk", "container"])
+
+
+def _merge_sets(batches):
+    """One container a chunk from rows sorted by chunk."""
+    import pyarrow as pa
+
+    at, held = None, []
+
+    def row():
+        whole = reduce(containers.merged, held)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([whole], pa.binary()), pa.array([len(containers.unpack(whole))], pa.int64())], ["chunk", "container", "n"])
+
+    for batch in batches:
+        for chunk, container in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if chunk != at:
+                if held:
+                    yield row()
+                at, held = chunk, []
+            held.append(container)
+            if len(held) > 64:
+                held = [reduce(containers.merged, held)]
+    if held:
+        yield row()
+
+
+def id_containers(ids: DataFrame) -> DataFrame:
+    """CONTAINERS of a set of ids (any 64-bit numbers, repeats and nulls allowed).
+
+    Ids become containers where they are read, so what is shuffled is a few bytes an id at
+    most and a repeated id nothing; containers of a chunk are merged in any order.
+    """
+    parts = ids.select(F.col("id").cast("long")).mapInArrow(_sets_of, "chunk long, container binary")
+    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge_sets, CONTAINERS)
+
+
+def _combined(a: DataFrame, b: DataFrame, how: str, op) -> DataFrame:
+    other = b.select("chunk", F.col("container").alias("_other"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [op(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            sizes = pa.array([len(containers.unpack(r)) for r in rows], pa.int64())
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), sizes], ["chunk", "container", "n"])
+            yield out.filter(pa.array([r is not None for r in rows], pa.bool_()))
+
+    return a.select("chunk", "container").join(other, "chunk", how).mapInArrow(run, CONTAINERS)
+
+
+def sets_less(a: DataFrame, b: DataFrame) -> DataFrame:
+    """CONTAINERS of the ids of ``a`` that ``b`` lacks: one join of chunks, no join of ids."""
+    return _combined(a, b, "left", containers.less)
+
+
+def sets_common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """CONTAINERS of the ids in both."""
+    return _combined(a, b, "inner", containers.common)
+
+
+def ids_of(sets: DataFrame) -> DataFrame:
+    """The ids of CONTAINERS as rows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for chunk, container in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(chunk) << containers.CHUNK_BITS) + containers.unpack(container), pa.int64())], ["id"])
+
+    return sets.select("chunk", "container").mapInArrow(run, "id long")
+
+
+def missing_in_sets(discovered: DataFrame, *settled: DataFrame) -> DataFrame:
+    """CONTAINERS of discovered ids that no other set holds."""
+    return reduce(sets_less, settled, discovered)
+
+
 def coverage_summary(bitmaps: DataFrame, discovered: str = "discovered", successful: str = "successful", inaccessible: str = "inaccessible") -> DataFrame:
     """Counts per mark and missing = discovered less successful less inaccessible."""
     total = lambda m: F.coalesce(F.sum(F.when(F.col("mark") == m, F.col("n"))), F.lit(0))

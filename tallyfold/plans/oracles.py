@@ -251,6 +251,8 @@ ORACLE_SQL: dict[str, str] = {
     "a1_coverage_bitmap": _with(BITMAPS) + "SELECT mark, count(DISTINCT id) AS n FROM marks GROUP BY 1",
     "a1_merge_bitmaps": _with(REMOTE) + "SELECT 'discovered' AS mark, count(DISTINCT id) AS n FROM remote",
     "a2_missing_ids": _with(REMOTE) + "SELECT DISTINCT id FROM remote WHERE id NOT IN (SELECT id FROM local) AND id % 5 <> 0",
+    "a2_missing_containers": _with(REMOTE) + "SELECT DISTINCT id FROM remote WHERE id NOT IN (SELECT id FROM local) AND id % 5 <> 0",
+    "j7_stage_containers": _with(REMOTE) + "SELECT DISTINCT id, id IN (SELECT id FROM local) AS resolved FROM remote",
     "a2_coverage_summary": _with(BITMAPS) + """, c AS (SELECT count(DISTINCT id) FILTER (WHERE mark = 'discovered') AS discovered, count(DISTINCT id) FILTER (WHERE mark = 'successful') AS successful,
       count(DISTINCT id) FILTER (WHERE mark = 'inaccessible') AS inaccessible FROM marks) SELECT *, greatest(discovered - successful - inaccessible, 0) AS missing FROM c""",
     "a3_coverage_by_day": _with(REMOTE) + "SELECT strftime(day, '%Y-%m-%d') AS day, count(DISTINCT id) AS n, false AS error FROM local GROUP BY 1",

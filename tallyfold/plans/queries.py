@@ -20,6 +20,8 @@ from . import fixtures as X
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 NOW = "2024-01-20 12:00:00"
+#: Distance of ids in the query over a sparse space.
+SPREAD = 1_000_003
 REFRESH = [86_400, 3 * 86_400, 7 * 86_400, 14 * 86_400, 28 * 86_400]
 AGES = [3_600, 86_400, 7 * 86_400, 28 * 86_400]
 
@@ -388,6 +390,23 @@ def a2_missing_ids(spark, d):
     return C.missing_ids(remote, local, remote.filter("id % 5 = 0"))
 
 
+@query
+def a2_missing_containers(spark, d):
+    """The same ids out of compressed sets; ids are spread thinly by a factor first."""
+    remote, local = X.remote_local(spark, d)
+    spread = lambda df: C.id_containers(df.select((F.col("id") * SPREAD).alias("id")))
+    missing = C.missing_in_sets(spread(remote), spread(local), spread(remote.filter("id % 5 = 0")))
+    return C.ids_of(missing).select((F.col("id") / SPREAD).cast("long").alias("id"))
+
+
+@query
+def j7_stage_containers(spark, d):
+    """Identities by whether the success set holds them, from compressed sets."""
+    remote, local = (C.id_containers(df) for df in X.remote_local(spark, d))
+    held, lacking = C.ids_of(C.sets_common(remote, local)), C.ids_of(C.sets_less(remote, local))
+    return held.withColumn("resolved", F.lit(True)).unionByName(lacking.withColumn("resolved", F.lit(False)))
+
+
 @query
 def a1_merge_bitmaps(spark, d):
     """Bitmaps of two sets of ids that overlap, merged."""
