@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans import fixtures as X
 from ..session import shared_folder
 from ..sources import ledger
-from . import folds, timers
+from . import folds, membership, timers
 
 AGES = [3_600, 86_400, 7 * 86_400, 28 * 86_400]
 #: Window of the quota queries: long, as a user of the tables is seen a few times a day.
@@ -120,6 +120,15 @@ def r5_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, Replay(spark, events, "dedupe", 3, "ts"), lambda s: folds.stream_dedupe(s, ["user_id", "event_type"]), "dedupe", "append").select("user_id", "event_type")
 
 
+def r5_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a horizon, against filters and a table of all keys."""
+    events = X.load(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    replay, root, state = Replay(spark, events, "distinct", 3, "ts"), shared_folder(spark, "seen"), shared_folder(spark, "seen-state")
+    for _ in replay.land():
+        membership.stream_distinct(replay.stream(), ["user_id", "event_type"], root, state).awaitTermination()
+    return membership.read_distinct(spark, root, "user_id long, event_type string")
+
+
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.load(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("request_id"))
@@ -143,7 +152,7 @@ def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.seconds(ledger.read_ledger(spark, root, "history", folds.PAIRS))
 
 
-QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r1_stream_logins, r1_stream_ladder, r2_stream_due, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
+QUERIES = {f.__name__: f for f in (r1_stream_history, r1_stream_owners, r1_stream_logins, r1_stream_ladder, r2_stream_due, r2_stream_zero_keys, r2_stream_refresh_state, r3_stream_rates, r4_stream_highwater, r5_stream_dedupe, r5_stream_distinct, r6_quota_violations, r6_stream_quota, s8_write_ledger)}
 
 
 def _oracles() -> dict[str, str]:
@@ -170,6 +179,7 @@ def _oracles() -> dict[str, str]:
           WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM events) - INTERVAL 7 DAY GROUP BY 1""",
         "r4_stream_highwater": "SELECT event_type, max(event_id) AS event_id FROM events GROUP BY 1",
         "r5_stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+        "r5_stream_distinct": "SELECT DISTINCT user_id, event_type FROM events",
         "r6_quota_violations": quota,
         "r6_stream_quota": quota,
     }

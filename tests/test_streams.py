@@ -259,3 +259,21 @@ def test_density_of_uneven_shards(spark):
     known = set(ids)
     assert sorted((x["lower_id"], x["upper_id"], x["users"]) for x in got.collect()) == sorted((a, b, sum(a <= i <= b for i in known)) for a, b in ranges)
     assert C.shard_density(df.limit(0), spark.createDataFrame(ranges[:2], "lower_id long, upper_id long")).agg(F.sum("users")).first()[0] == 0
+
+
+def test_distinct_without_a_horizon(spark, tmp_path):
+    """Repeats after any time are dropped, nulls are values, and a batch of new keys needs no exact look-up."""
+    from tallyfold.streaming import membership
+
+    schema, keys = "a long, b string", ["a", "b"]
+    source, root, state = (f"{tmp_path}/{n}" for n in ("in", "ledger", "state"))
+    spark.createDataFrame([], schema).write.parquet(source)
+    batches = [[(i, f"x{i % 7}") for i in range(600)] + [(None, None), (None, ""), (1, None)], [(i, "y") for i in range(300)] + [(5, "x5")] * 3, [(i, f"x{i % 7}") for i in range(599, -1, -1)] + [(None, None), (-1, "new")], [(900, None)], [(900, None), (None, "")]]
+    sizes = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(2).write.mode("append").parquet(source)
+        membership.stream_distinct(spark.readStream.schema(schema).parquet(source), keys, root, state).awaitTermination()
+        sizes.append(membership.read_distinct(spark, root, schema).count())
+    want = [len({r for some in batches[: i + 1] for r in some}) for i in range(len(batches))]
+    assert sizes == want
+    assert {tuple(r) for r in membership.read_distinct(spark, root, schema).collect()} == {r for some in batches for r in some}
