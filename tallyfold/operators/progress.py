@@ -100,13 +100,20 @@ def rate_samples(totals: DataFrame, now: Column, days: int = 7) -> DataFrame:
 
 
 def rolling_rates(samples: DataFrame, hours: int) -> DataFrame:
-    """Per sample: processed and attempted per hour over the trailing window; 0 when empty."""
-    seconds = F.unix_timestamp("minute")
-    w = Window.partitionBy("run_id").orderBy(seconds).rangeBetween(-3600 * hours, 0)
-    rows = samples.withColumn("_first", F.first(F.struct(seconds.alias("at"), "processed", "attempted")).over(w))
+    """Per sample: processed and attempted per hour over the trailing window; 0 when empty.
+
+    A run's samples are cut in blocks of the window's length, and each block also holds
+    the one before it, so a window never looks outside and a long run spreads over tasks.
+    """
+    seconds, span = F.unix_timestamp("minute"), 3600 * hours
+    block = F.floor(seconds / span)
+    copies = F.array(F.struct(block.alias("_block"), F.lit(True).alias("_own")), F.struct((block + 1).alias("_block"), F.lit(False).alias("_own")))
+    rows = samples.select("*", F.inline(copies))
+    w = Window.partitionBy("run_id", "_block").orderBy(seconds).rangeBetween(-span, 0)
+    rows = rows.withColumn("_first", F.first(F.struct(seconds.alias("at"), "processed", "attempted")).over(w)).filter("_own")
     elapsed = (seconds - F.col("_first.at")) / 3600.0
     rate = lambda c: F.when(elapsed > 0, (F.col(c) - F.col(f"_first.{c}")) / elapsed).otherwise(F.lit(0.0))
-    return rows.withColumn("processed_per_hour", rate("processed")).withColumn("attempted_per_hour", rate("attempted")).drop("_first")
+    return rows.withColumn("processed_per_hour", rate("processed")).withColumn("attempted_per_hour", rate("attempted")).drop("_first", "_block", "_own")
 
 
 def pass_plan(runs: DataFrame, highwater: int, now: Column, interval_s: int) -> DataFrame:
