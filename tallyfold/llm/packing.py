@@ -35,6 +35,8 @@ END_ID = 1
 OPEN_BINS = 256
 #: Full sequences that one task should fill; the number of tasks follows the ids.
 BINS_PER_TASK = 4000
+#: Bytes of text encoded at a time; arrays over them take some fifteen times as much.
+BATCH = 2 << 20
 #: Pieces, on average, that are placed longest first.
 LOOKAHEAD = 2000
 
@@ -90,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
         import pyarrow as pa
 
         ids_of = token_ids(tokenizer, False, remembered)
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 4096, BATCH):
             ids, counts = ids_of.encode(as_bytes(batch.column(1)))
             upto = np.cumsum(counts)
             raw = memoryview(np.insert(ids.astype("<u4"), upto, end_id)).cast("B")
