@@ -74,7 +74,8 @@ def r1_stream_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r1_stream_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = X.weekly_scans(spark, sf_dir).withColumns({"scan_id": F.lpad(F.col("scan_id").cast("string"), 19, "0"), "login": F.lit(None).cast("string"), "node_id": F.lit(None).cast("string"), "keys": F.col("keys").cast("array<long>")})
+    # a scan is known by its account and week: event ids may come again
+    weeks = X.weekly_scans(spark, sf_dir).withColumns({"scan_id": F.concat_ws("-", "account_id", F.date_format("observed_at", "yyyyMMdd")), "login": F.lit(None).cast("string"), "node_id": F.lit(None).cast("string"), "keys": F.col("keys").cast("array<long>")})
     return _stream_history(spark, sf_dir, weeks, (), "ladder")
 
 
