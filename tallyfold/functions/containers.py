@@ -76,3 +76,106 @@ def holds(container: bytes | None, lows: np.ndarray) -> np.ndarray:
         return values[at] == lows
     at = np.searchsorted(values[::2], lows, "right") - 1
     return (at >= 0) & (lows <= values[1::2][np.maximum(at, 0)])
+
+
+# --- many containers at once: values as ascending keys, place << CHUNK_BITS | low ------
+
+
+def pack_sets(keys: np.ndarray):
+    """(places, Arrow array of their containers, sizes) of ascending distinct keys."""
+    import pyarrow as pa
+
+    if not len(keys):
+        return keys, pa.array([], pa.binary()), keys
+    place, lows = keys >> CHUNK_BITS, (keys & (1 << CHUNK_BITS) - 1).astype(np.int64)
+    at = np.append(0, np.flatnonzero(np.diff(place)) + 1)
+    n = np.diff(np.append(at, len(keys)))
+    begins = np.append(True, np.diff(keys) != 1)
+    begins[at] = True
+    runs = np.add.reduceat(begins.astype(np.int64), at)
+    whole = 1 << CHUNK_BITS - 3
+    kind = np.where((2 * n <= 4 * runs) & (2 * n <= whole), ARRAY, np.where(4 * runs <= whole, RUNS, BITMAP))
+    offsets = np.append(0, np.cumsum(1 + np.choose(kind, (2 * n, 4 * runs, whole))))
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1]] = kind
+    of = np.repeat(np.arange(len(n)), n)
+
+    def put(where: np.ndarray, words: np.ndarray) -> None:
+        out[where], out[where + 1] = words & 255, words >> 8
+
+    some = np.flatnonzero(kind[of] == ARRAY)
+    put(offsets[of[some]] + 1 + 2 * (some - at[of[some]]), lows[some])
+    ranks = np.cumsum(begins) - 1
+    for mask, word in ((begins, 0), (np.append(begins[1:], True), 2)):
+        some = np.flatnonzero(mask & (kind[of] == RUNS))
+        put(offsets[of[some]] + 1 + 4 * (ranks[some] - ranks[at[of[some]]]) + word, lows[some])
+    for i in np.flatnonzero(kind == BITMAP):
+        bits = np.zeros(1 << CHUNK_BITS, np.uint8)
+        bits[lows[at[i] : at[i] + n[i]]] = 1
+        out[offsets[i] + 1 : offsets[i + 1]] = np.packbits(bits, bitorder="little")
+    return place[at], pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)]), n
+
+
+def _parts(column):
+    """(bytes, begin and length of each container) of an Arrow array; a null has no bytes."""
+    import pyarrow as pa
+
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    body = column.buffers()[2]
+    return np.frombuffer(body, np.uint8) if body else np.zeros(0, np.uint8), offsets[:-1], sizes
+
+
+def _words(body: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` words that follow the first byte of each container, all in one."""
+    at = np.repeat(begin + 1 - 2 * (np.cumsum(n) - n), n) + 2 * np.arange(n.sum())
+    return body[at].astype(np.int64) | body[at + 1].astype(np.int64) << 8
+
+
+def unpack_sets(column) -> np.ndarray:
+    """Ascending keys of an Arrow array of containers; the place is that in the array."""
+    body, begin, size = _parts(column)
+    full = np.flatnonzero(size)
+    kind, found = body[begin[full]], []
+    some = full[kind == ARRAY]
+    n = (size[some] - 1) // 2
+    found.append((np.repeat(some, n) << CHUNK_BITS) + _words(body, begin[some], n))
+    some = full[kind == RUNS]
+    n = (size[some] - 1) // 2
+    ends = _words(body, begin[some], n)
+    low, high = ends[::2], ends[1::2]
+    length = high - low + 1
+    first = (np.repeat(some, n // 2) << CHUNK_BITS) + low
+    found.append(np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum()))
+    for i in full[kind == BITMAP]:
+        found.append((i << CHUNK_BITS) + np.flatnonzero(np.unpackbits(body[begin[i] + 1 : begin[i] + size[i]], bitorder="little")))
+    found = [f for f in found if len(f)]
+    return np.sort(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
+
+
+def slices(*columns, values: int = 1 << 20):
+    """(begin, end) of slices of rows whose containers hold about ``values`` values at most; a row at least."""
+    bound = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        body, begin, size = _parts(column)
+        full = np.flatnonzero(size)
+        kind = body[begin[full]]
+        bound[full] += np.where(kind == ARRAY, size[full] // 2, 1 << CHUNK_BITS)
+        some = full[kind == RUNS]
+        n = (size[some] - 1) // 2
+        ends = _words(body, begin[some], n)
+        if len(some):
+            bound[some] += np.add.reduceat(ends[1::2] - ends[::2] + 1, np.cumsum(n // 2) - n // 2) - (1 << CHUNK_BITS)
+    upto, at = np.cumsum(bound), 0
+    while at < len(bound):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + values, "right")))
+        yield at, end
+        at = end
+
+
+def among(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``a`` are in the ascending ``b``."""
+    if not len(b):
+        return np.zeros(len(a), bool)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a

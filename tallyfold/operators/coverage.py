@@ -33,42 +33,43 @@ def merge_bitmaps(bitmaps: DataFrame, mark: str = "mark") -> DataFrame:
 CONTAINERS = "chunk long, container binary, n long"
 
 
+def _batch(chunks, packed, *more):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), packed, *(pa.array(c, pa.int64()) for c in more)], ["chunk", "container", "n"][: 2 + len(more)])
+
+
 def _sets_of(batches):
     """Containers of the ids of each batch, before the shuffle."""
     import numpy as np
-    import pyarrow as pa
 
     for batch in batches:
         ids = np.unique(batch.column(0).drop_null().to_numpy())
-        if not len(ids):
-            continue
-        chunk = ids >> containers.CHUNK_BITS
-        at = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
-        packed = [containers.pack(part & (1 << containers.CHUNK_BITS) - 1) for part in np.split(ids, at[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[at], pa.int64()), pa.array(packed, pa.binary())], ["chunk", "container"])
+        if len(ids):
+            yield _batch(*containers.pack_sets(ids)[:2])
 
 
 def _merge_sets(batches):
-    """One container a chunk from rows sorted by chunk."""
+    """One container a chunk from rows sorted by chunk, a slice of rows at a time; the last chunk waits for more."""
+    import numpy as np
     import pyarrow as pa
 
-    at, held = None, []
-
-    def row():
-        whole = reduce(containers.merged, held)
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([whole], pa.binary()), pa.array([len(containers.unpack(whole))], pa.int64())], ["chunk", "container", "n"])
-
+    held = None
     for batch in batches:
-        for chunk, container in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if chunk != at:
-                if held:
-                    yield row()
-                at, held = chunk, []
-            held.append(container)
-            if len(held) > 64:
-                held = [reduce(containers.merged, held)]
-    if held:
-        yield row()
+        for begin, end in containers.slices(batch.column(1)):
+            chunks, packed = batch.column(0).to_numpy()[begin:end], batch.column(1)[begin:end]
+            if held is not None:
+                chunks, packed = np.append(held[0], chunks), pa.concat_arrays([held[1], packed])
+            first = np.append(True, np.diff(chunks) != 0)
+            keys = containers.unpack_sets(packed)
+            group = (np.cumsum(first) - 1)[keys >> containers.CHUNK_BITS]
+            place, packed, n = containers.pack_sets(np.unique(group << containers.CHUNK_BITS | keys & (1 << containers.CHUNK_BITS) - 1))
+            chunks = chunks[first][place]
+            if len(chunks) > 1:
+                yield _batch(chunks[:-1], packed[:-1], n[:-1])
+            held = chunks[-1:], packed[-1:], n[-1:]
+    if held is not None:
+        yield _batch(*held)
 
 
 def id_containers(ids: DataFrame) -> DataFrame:
@@ -81,48 +82,72 @@ def id_containers(ids: DataFrame) -> DataFrame:
     return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge_sets, CONTAINERS)
 
 
-def _combined(a: DataFrame, b: DataFrame, how: str, op) -> DataFrame:
-    other = b.select("chunk", F.col("container").alias("_other"))
+def _combined(a: DataFrame, others: tuple[DataFrame, ...], how: str, keep) -> DataFrame:
+    """CONTAINERS of the values of ``a`` that ``keep`` chooses; chunks are joined, then one pass over slices of rows."""
+    rows = a.select("chunk", "container")
+    for i, b in enumerate(others):
+        rows = rows.join(b.select("chunk", F.col("container").alias(f"_{i}")), "chunk", how)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            rows = [op(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            sizes = pa.array([len(containers.unpack(r)) for r in rows], pa.int64())
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), sizes], ["chunk", "container", "n"])
-            yield out.filter(pa.array([r is not None for r in rows], pa.bool_()))
+            columns = batch.columns[1:]
+            for begin, end in containers.slices(*columns):
+                keys, *rest = (containers.unpack_sets(c[begin:end]) for c in columns)
+                for other in rest:
+                    keys = keys[keep(containers.among(keys, other))]
+                if len(keys):
+                    place, packed, n = containers.pack_sets(keys)
+                    yield _batch(batch.column(0).to_numpy()[begin:end][place], packed, n)
 
-    return a.select("chunk", "container").join(other, "chunk", how).mapInArrow(run, CONTAINERS)
+    return rows.mapInArrow(run, CONTAINERS)
 
 
-def sets_less(a: DataFrame, b: DataFrame) -> DataFrame:
-    """CONTAINERS of the ids of ``a`` that ``b`` lacks: one join of chunks, no join of ids."""
-    return _combined(a, b, "left", containers.less)
+def sets_less(a: DataFrame, *others: DataFrame) -> DataFrame:
+    """CONTAINERS of the ids of ``a`` that the others lack: joins of chunks, no join of ids."""
+    return _combined(a, others, "left", lambda held: ~held)
 
 
 def sets_common(a: DataFrame, b: DataFrame) -> DataFrame:
     """CONTAINERS of the ids in both."""
-    return _combined(a, b, "inner", containers.common)
+    return _combined(a, (b,), "inner", lambda held: held)
+
+
+def _ids(batch, begin: int, end: int, keys):
+    return (batch.column(0).to_numpy()[begin:end][keys >> containers.CHUNK_BITS] << containers.CHUNK_BITS) + (keys & (1 << containers.CHUNK_BITS) - 1)
 
 
 def ids_of(sets: DataFrame) -> DataFrame:
     """The ids of CONTAINERS as rows."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for chunk, container in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(chunk) << containers.CHUNK_BITS) + containers.unpack(container), pa.int64())], ["id"])
+            for begin, end in containers.slices(batch.column(1)):
+                keys = containers.unpack_sets(batch.column(1)[begin:end])
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(batch, begin, end, keys), pa.int64())], ["id"])
 
     return sets.select("chunk", "container").mapInArrow(run, "id long")
 
 
+def ids_by_set(sets: DataFrame, other: DataFrame, name: str = "held") -> DataFrame:
+    """The ids of CONTAINERS and whether another set holds them: one join of chunks, one Python worker a task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin, end in containers.slices(*batch.columns[1:]):
+                keys, held = (containers.unpack_sets(c[begin:end]) for c in batch.columns[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(batch, begin, end, keys), pa.int64()), pa.array(containers.among(keys, held))], ["id", name])
+
+    rows = sets.select("chunk", "container").join(other.select("chunk", F.col("container").alias("_other")), "chunk", "left")
+    return rows.mapInArrow(run, f"id long, `{name}` boolean")
+
+
 def missing_in_sets(discovered: DataFrame, *settled: DataFrame) -> DataFrame:
     """CONTAINERS of discovered ids that no other set holds."""
-    return reduce(sets_less, settled, discovered)
+    return sets_less(discovered, *settled)
 
 
 def coverage_summary(bitmaps: DataFrame, discovered: str = "discovered", successful: str = "successful", inaccessible: str = "inaccessible") -> DataFrame:
