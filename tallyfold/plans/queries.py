@@ -403,8 +403,7 @@ def a2_missing_containers(spark, d):
 def j7_stage_containers(spark, d):
     """Identities by whether the success set holds them, from compressed sets."""
     remote, local = (C.id_containers(df) for df in X.remote_local(spark, d))
-    held, lacking = C.ids_of(C.sets_common(remote, local)), C.ids_of(C.sets_less(remote, local))
-    return held.withColumn("resolved", F.lit(True)).unionByName(lacking.withColumn("resolved", F.lit(False)))
+    return C.ids_by_set(remote, local, "resolved")
 
 
 @query
