@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.curves import multiples
 from ..functions.keys import fingerprint_text
-from ..session import shared_folder
+from ..session import shared_folder, tasks_for
+
+#: Rows of one task where several operators hold them in memory at once.
+ROWS_PER_TASK = 500_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,8 +193,13 @@ def shards(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
 
 
 def two_pass_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as two passes over the keys of an order."""
+    """Line items as two passes over the keys of an order.
+
+    Dealt by order once, over tasks that grow with the rows: the join here and the folds
+    after it keep to that, so a task's memory doesn't grow with the table.
+    """
     li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), (F.col("l_suppkey") % 2 + 1).alias("pass"), F.col("l_linenumber").alias("key"))
+    li = li.repartition(tasks_for(li, ROWS_PER_TASK), "scan_id")
     size = li.groupBy("scan_id").agg(F.count_distinct("key").alias("expected"))
     return li.join(size, "scan_id")
 

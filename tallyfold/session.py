@@ -43,3 +43,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for a shuffle of plain table rows so that each gets about ``rows``; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
