@@ -6,11 +6,8 @@ over the same rows; the tests compare the two.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.history import login_history, ownership_history, shown_keys
 from ..operators.schedule import id_stagger, schedule_lookup
@@ -335,99 +332,168 @@ def quota_violations(log: DataFrame, limit: int = 120, seconds: int = 60) -> Dat
     return ordered.mapInArrow(walk, "client long, request_id long")
 
 
-def stream_quota(log: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
-    """The same on a stream whose batches come in order of time; state is one window per client."""
+def _walk_keys(batches, width: int, step, names: list[str], kinds):
+    """Walk sorted rows (key, old, state.., row..): a key's held state stands first; out: its state after, and what steps emit."""
+    import pyarrow as pa
+
+    key, state, fresh, out = object(), None, False, []
+    for batch in batches:
+        for k, old, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                if fresh:
+                    out.append((key, *state, None))
+                key, state, fresh = k, None, False
+            if old:
+                state = tuple(row[:width])
+                continue
+            before = len(out)
+            state, fresh = step(state, row[width:], out), True
+            if len(out) > before:
+                out[-1] = (key, *(None,) * width, out[-1])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names)
+            out = []
+    if fresh:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key, *state, None), kinds)], names)
+
+
+def stream_keyed(rows: DataFrame, key: str, order: list[str], at: str, step, state: str, root: str, checkpoint: str, late: int = 0, emits: str | None = None):
+    """Keep a small state per key of a stream in a log-structured table; returns the started query.
+
+    ``rows``: key, order, time in seconds ``at``, and what ``step(state, row, out)`` needs:
+    it gets the state or None and the row's other columns, returns the state after it and may
+    append one long to ``out``.  A batch is one shuffle by key and one sort; a key costs its
+    rows, no frame and no call to a state store of its own.  State whose ``ends`` is ``late``
+    seconds behind the newest time of earlier batches is as good as gone.  What is emitted
+    goes to the table ``emitted`` as (key, ``emits``).  A commit publishes both; a batch
+    that was committed does nothing.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    held = f"{key} long, {state}"
+    fields = [f.name for f in StructType.fromDDL(state).fields]
+    out = f"{held}, _emitted long"
+    kinds = to_arrow_schema(StructType.fromDDL(out)).types
+    inner = [c for c in rows.columns if c != key]
+
+    def walk(batches):
+        return _walk_keys(batches, len(fields), step, [key, *fields, "_emitted"], kinds)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version, content = ledger.read_commit(spark, root)
+        if content.get("batch", -1) >= batch_id:
+            return
+        old = ledger.read_runs(spark, root, content, "state", held, [key])
+        if "ends" in fields and content.get("newest") is not None:
+            old = old.filter(F.col("ends") > content["newest"] - late)
+        nothing = [F.lit(None).cast(f.dataType).alias(f"_{f.name}") for f in StructType.fromDDL(state).fields]
+        new = batch.select(key, F.lit(False).alias("_old"), *nothing, *inner)
+        both = new.unionByName(old.select(key, F.lit(True).alias("_old"), *(F.col(c).alias(f"_{c}") for c in fields)), allowMissingColumns=True)
+        walked = both.repartition(key).sortWithinPartitions(key, F.desc("_old"), *order).mapInArrow(walk, out).persist()
+        newest = batch.agg(F.max(at)).first()[0]
+        seen = [t for t in (content.get("newest"), newest) if t is not None]
+        after = content | {"batch": batch_id, "newest": max(seen, default=None)}
+        after = ledger.add_run(after, "state", ledger.write_run(walked.filter("_emitted is null").drop("_emitted"), root, "state", version + 1, key))
+        if emits:
+            after = ledger.add_run(after, "emitted", ledger.write_run(walked.filter("_emitted is not null").select(key, F.col("_emitted").alias(emits)), root, "emitted", version + 1, key))
+        ledger.commit(spark, root, version + 1, after)
+        walked.unpersist()
+        ledger.compact(spark, root, {"state": (held, [key])})
+
+    return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    def check(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+def read_keyed(spark: SparkSession, root: str, table: str, fields: str) -> DataFrame:
+    """``state`` (newest row of each key) or ``emitted`` (every row) of ``stream_keyed``."""
+    content = ledger.read_commit(spark, root)[1]
+    names = [f.split()[0] for f in fields.split(",")]
+    if table == "state":
+        return ledger.read_runs(spark, root, content, table, fields, names[:1])
+    runs = content.get("tables", {}).get(table, [])
+    return spark.read.schema(fields).parquet(*(f"{root}/{r['path']}" for r in runs)) if runs else spark.createDataFrame([], fields)
+
+
+def stream_quota(log: DataFrame, root: str, checkpoint: str, limit: int = 120, seconds: int = 60):
+    """The same on a stream whose batches come in order of time; state is one window per client."""
+    width = seconds * 1_000_000
 
-        start, n = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        over = []
-        for t, request in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["request_id"]):
-            if start < 0 or t - start >= seconds * 1_000_000:
-                start, n = t, 0
-            n += 1
-            if n > limit:
-                over.append(request)
-        state.update((int(start), int(n)))
-        yield pd.DataFrame({"client": [key[0]] * len(over), "request_id": over})
+    def step(state, row, out):
+        t, request, _ = row
+        start, n = state or (None, 0)
+        if start is None or t - start >= width:
+            start, n = t, 0
+        if n >= limit:
+            out.append(request)
+        return start, n + 1
 
-    return log.groupBy("client").applyInPandasWithState(check, "client long, request_id long", "start long, n int", "append", GroupStateTimeout.NoTimeout)
+    rows = log.select("client", F.unix_micros("ts").alias("t"), "request_id", F.unix_timestamp("ts").alias("at"))
+    return stream_keyed(rows, "client", ["t", "request_id"], "at", step, "start long, n long", root, checkpoint, emits="request_id")
 
 
 #: State of an account without scans is dropped after so many times the longest step.
 EXPIRE_AFTER = 4
+REFRESHED = "shown string, owner boolean, stage int, last long, ends long"
+ZERO_KEYS = "stage int, first_at long, last_at long, due_at long, owner boolean, ends long"
 
 
-def stream_refresh_state(scans: DataFrame, schedule: list[int], late: str = "1 day") -> DataFrame:
+def stream_refresh_state(scans: DataFrame, root: str, checkpoint: str, schedule: list[int], late: int = 86_400):
     """Per account: stage and next due time after each batch of scans in order of time.
 
     State: the last shown key set, whether the account is an owner, and its stage; it
     expires by event time, long after the last step of the ladder.
     """
+    top, life = len(schedule) - 1, EXPIRE_AFTER * max(schedule)
 
-    def advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+    def step(state, row, out):
+        at, _, ok, now = row
+        shown, owner, stage, last, _ = state or ("", False, -1, 0, 0)
+        owner = owner or bool(now)
+        if owner and ok:
+            stage = 0 if now != shown or stage < 0 else min(stage + 1, top)
+            last = at
+        return now, owner, stage, last, at + life
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        shown, owner, stage, last = state.get if state.exists else ("", False, -1, 0)
-        rows = pd.concat(list(frames)).sort_values(["observed_at", "scan_id"])
-        for at, status, keys in zip(rows["observed_at"].astype("datetime64[s]").astype("int64"), rows["status"], rows["keys"]):
-            now = ",".join(map(str, sorted(set(keys)))) if status == "ok" and keys is not None else ""
-            owner = owner or bool(now)
-            if owner and status == "ok":
-                stage = 0 if now != shown or stage < 0 else min(stage + 1, len(schedule) - 1)
-                last = int(at)
-            shown = now
-        state.update((shown, bool(owner), int(stage), int(last)))
-        _expire(state, int(at), max(schedule))
-        if stage >= 0:
-            yield pd.DataFrame({"account_id": [key[0]], "stage": [stage], "next_due_s": [last + schedule[stage] + key[0] % 900]})
-
-    rows = scans.withWatermark("observed_at", late).groupBy("account_id")
-    return rows.applyInPandasWithState(advance, "account_id long, stage int, next_due_s long", "shown string, owner boolean, stage int, last long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def _expire(state: GroupState, at: int, step: int) -> None:
-    """Let a state end some time after the event time ``at`` (seconds)."""
-    state.setTimeoutTimestamp(max(1000 * (at + EXPIRE_AFTER * step), state.getCurrentWatermarkMs() + 1))
-
-
-def stream_zero_keys(scans: DataFrame, ages: list[int], late: str = "1 day") -> DataFrame:
-    """The zero-key ladder on a stream whose batches come in order of time.
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    now = F.when(ok & F.col("keys").isNotNull(), F.array_join(F.array_sort(F.array_distinct("keys")), ",")).otherwise("")
+    rows = scans.select("account_id", F.unix_timestamp("observed_at").alias("at"), "scan_id", ok.alias("ok"), now.alias("now"))
+    return stream_keyed(rows, "account_id", ["at", "scan_id"], "at", step, REFRESHED, root, checkpoint, late)
 
-    A row per account and batch: its stage and times in seconds, or a null stage where
-    it has left the ladder.  An account with a key stays known, so that it stays out,
-    until its state expires.
-    """
 
-    def advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+def read_refresh_state(spark: SparkSession, root: str, schedule: list[int]) -> DataFrame:
+    rows = read_keyed(spark, root, "state", f"account_id long, {REFRESHED}").filter("stage >= 0")
+    due = F.col("last") + F.get(F.array(*[F.lit(s).cast("long") for s in schedule]), F.col("stage")) + F.pmod("account_id", F.lit(900))
+    return rows.select("account_id", "stage", due.alias("next_due_s"))
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stage, first, last, due, owner = state.get if state.exists else (-1, 0, 0, 0, False)
-        rows = pd.concat(list(frames)).sort_values(["observed_at", "scan_id"])
-        for at, source, n in zip(rows["observed_at"].astype("datetime64[s]").astype("int64").tolist(), rows["source"], rows["n_keys"]):
-            if owner or n > 0:
-                owner, stage = True, -1
-            elif source == "tail":
-                stage, first, due = (0, at, at + ages[0]) if stage < 0 else (stage, first, due)
-                last = at
-            elif source == "onboarding" and stage >= len(ages) - 1:
-                stage = -1
-            elif source == "onboarding" and stage >= 0:
-                stage, last = stage + 1, at
-                due = max(first + ages[stage], at + 300)
-        state.update((int(stage), int(first), int(last), int(due), bool(owner)))
-        _expire(state, int(at), max(ages))
-        there = stage >= 0
-        yield pd.DataFrame({"account_id": [key[0]], "stage": pd.array([stage if there else None], "Int32"), "first_at": [first], "last_at": [last], "due_at": [due]})
-
-    rows = scans.withWatermark("observed_at", late).groupBy("account_id")
-    out = "account_id long, stage int, first_at long, last_at long, due_at long"
-    return rows.applyInPandasWithState(advance, out, "stage int, first_at long, last_at long, due_at long, owner boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+def stream_zero_keys(scans: DataFrame, root: str, checkpoint: str, ages: list[int], late: int = 86_400):
+    """The zero-key ladder on a stream whose batches come in order of time.
+
+    An account that has left the ladder has no stage (below 0).  An account with a key
+    stays known, so that it stays out, until its state expires.
+    """
+    top, life = len(ages) - 1, EXPIRE_AFTER * max(ages)
+
+    def step(state, row, out):
+        at, _, source, has = row
+        stage, first, last, due, owner, _ = state or (-1, 0, 0, 0, False, 0)
+        if owner or has:
+            owner, stage = True, -1
+        elif source == "tail":
+            stage, first, due = (0, at, at + ages[0]) if stage < 0 else (stage, first, due)
+            last = at
+        elif source == "onboarding" and stage >= top:
+            stage = -1
+        elif source == "onboarding" and stage >= 0:
+            stage, last = stage + 1, at
+            due = max(first + ages[stage], at + 300)
+        return stage, first, last, due, owner, at + life
+
+    rows = scans.select("account_id", F.unix_timestamp("observed_at").alias("at"), "scan_id", "source", (F.col("n_keys") > 0).alias("has"))
+    return stream_keyed(rows, "account_id", ["at", "scan_id"], "at", step, ZERO_KEYS, root, checkpoint, late)
+
+
+def read_zero_keys(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_keyed(spark, root, "state", f"account_id long, {ZERO_KEYS}")
+    return rows.filter("stage >= 0").select("account_id", "stage", "first_at", "last_at", "due_at")

@@ -53,6 +53,14 @@ def _run(spark: SparkSession, replay: Replay, transform: Callable[[DataFrame], D
     return spark.read.parquet(f"{out}/*")
 
 
+def _keyed(spark: SparkSession, replay: Replay, start: Callable) -> str:
+    """Run ``start(stream, root, checkpoint)`` slice by slice; returns the root of its tables."""
+    root, state = shared_folder(spark, "keyed"), shared_folder(spark, "keyed-state")
+    for _ in replay.land():
+        start(replay.stream(), root, state).awaitTermination()
+    return root
+
+
 def _stream_history(spark: SparkSession, sf_dir: str, scans: DataFrame, tables: tuple[str, ...], name: str) -> DataFrame:
     replay = Replay(spark, scans, "scans", 3, "observed_at")
     root, state = shared_folder(spark, "ledger"), shared_folder(spark, "ledger-state")
@@ -81,8 +89,8 @@ def r1_stream_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r2_stream_refresh_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = Replay(spark, X.weekly_scans(spark, sf_dir), "weeks", 3, "observed_at")
-    rows = _run(spark, scans, lambda s: folds.stream_refresh_state(s, REFRESH), "refresh", "update")
-    return rows.groupBy("account_id").agg(F.max_by(F.struct("stage", "next_due_s"), "_batch").alias("r")).select("account_id", "r.stage", "r.next_due_s")
+    root = _keyed(spark, scans, lambda s, root, state: folds.stream_refresh_state(s, root, state, REFRESH))
+    return folds.read_refresh_state(spark, root, REFRESH)
 
 
 def _due_rows(spark: SparkSession, scans: DataFrame, slices: int = 3) -> DataFrame:
@@ -99,9 +107,8 @@ def r2_stream_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r2_stream_zero_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = Replay(spark, X.ladder_scans(spark, sf_dir), "ladder", 3, "observed_at")
-    rows = _run(spark, scans, lambda s: folds.stream_zero_keys(s, AGES), "zero-keys", "update")
-    last = F.max_by(F.struct("stage", "first_at", "last_at", "due_at"), "_batch").alias("r")
-    return rows.groupBy("account_id").agg(last).select("account_id", "r.*").filter("stage is not null")
+    root = _keyed(spark, scans, lambda s, root, state: folds.stream_zero_keys(s, root, state, AGES))
+    return folds.read_zero_keys(spark, root)
 
 
 def r3_stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +148,8 @@ def r6_quota_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6_stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     replay = Replay(spark, _access(spark, sf_dir), "quota", 3, "ts")
-    return _run(spark, replay, lambda s: folds.stream_quota(s, 3, QUOTA_SECONDS), "quota", "append").select("client", "request_id")
+    root = _keyed(spark, replay, lambda s, root, state: folds.stream_quota(s, root, state, 3, QUOTA_SECONDS))
+    return folds.read_keyed(spark, root, "emitted", "client long, request_id long")
 
 
 def s8_write_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
