@@ -3,7 +3,8 @@
 ``stream_due`` keeps an account's step of the ladder as typed state in RocksDB.  A scan
 moves it and sets a timer at the time the next scan is due; when the watermark passes
 that time without a new scan, the processor itself emits a row that the account is due.
-A second timer lets state end that no scan has touched for long.
+A second timer lets state end that no scan has touched for long.  Both timers' times are
+part of the state, so that a scan changes those two alone and lists none.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .folds import EXPIRE_AFTER
@@ -20,7 +22,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: kind: "scan" after a batch with scans of the account, "due" when its time has come.
 DUE = "account_id long, kind string, stage int, next_due_s long"
-_STATE = "shown string, owner boolean, stage int, last long, due long, ends long"
+_STATE = "shown string, owner boolean, stage int, last long, due long, ends long, wakes long"
 
 
 class RefreshTimers(StatefulProcessor):
@@ -33,48 +35,44 @@ class RefreshTimers(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("ladder", _STATE)
 
-    def _row(self, account: int, kind: str, stage: int, due: int):
-        import pandas as pd
-
-        return pd.DataFrame({"account_id": [account], "kind": [kind], "stage": pd.array([stage], "int32"), "next_due_s": [due]})
-
     def _at(self, seconds: int, watermark_ms: int) -> int:
         """A timer time: event time must be ahead of the watermark."""
         return max(1000 * seconds, watermark_ms + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:
-        shown, owner, stage, last, due, ends = self.state.get() if self.state.exists() else ("", False, -1, 0, 0, 0)
-        found = []
-        for frame in rows:
-            at = frame["observed_at"].astype("datetime64[s]").astype("int64")
-            found += zip(at.tolist(), frame["scan_id"].tolist(), frame["status"].tolist(), frame["keys"].tolist())
-        for at, _, status, keys in sorted(found, key=lambda r: r[:2]):
-            now = ",".join(map(str, sorted(set(keys)))) if status == "ok" and keys is not None else ""
+        held = self.state.get()
+        shown, owner, stage, last, due, ends, wakes = held or ("", False, -1, 0, 0, 0, 0)
+        for at, _, now, ok in sorted((r["at"], r["scan_id"], r["now"], r["ok"]) for r in rows):
             owner = bool(owner or now)
-            if owner and status == "ok":
+            if owner and ok:
                 stage = 0 if now != shown or stage < 0 else min(stage + 1, len(self.schedule) - 1)
                 last = at
             shown = now
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         watermark = timerValues.getCurrentWatermarkInMs()
+        before = {t for t in (ends, wakes) if t}
         ends = self._at(at + EXPIRE_AFTER * max(self.schedule), watermark)
-        self.handle.registerTimer(ends)
         if stage >= 0:
             due = last + self.schedule[stage] + key[0] % self.stagger
-            self.handle.registerTimer(self._at(due, watermark))
-        self.state.update((shown, owner, int(stage), int(last), int(due), int(ends)))
+            wakes = self._at(due, watermark)
+        after = {t for t in (ends, wakes) if t}
+        for timer in before - after:
+            self.handle.deleteTimer(timer)
+        for timer in after - before:
+            self.handle.registerTimer(timer)
+        self.state.update((shown, owner, stage, last, due, ends, wakes))
         if stage >= 0:
-            yield self._row(key[0], "scan", stage, due)
+            yield Row(account_id=key[0], kind="scan", stage=stage, next_due_s=due)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:
-        if not self.state.exists():
+        held = self.state.get()
+        if not held:
             return
-        _, _, stage, _, due, ends = self.state.get()
+        shown, owner, stage, last, due, ends, _ = held
         if expiredTimerInfo.getExpiryTimeInMs() >= ends:
             self.state.clear()
         elif stage >= 0:
-            yield self._row(key[0], "due", stage, due)
+            self.state.update((shown, owner, stage, last, due, ends, 0))
+            yield Row(account_id=key[0], kind="due", stage=stage, next_due_s=due)
 
     def close(self) -> None:
         pass
@@ -86,8 +84,10 @@ def stream_due(scans: DataFrame, schedule: list[int], late: str = "1 day") -> Da
     Scans of an account come in order of time.  The session's state store must be RocksDB
     (``rocks_db``).
     """
-    rows = scans.withWatermark("observed_at", late).groupBy("account_id")
-    return rows.transformWithStateInPandas(statefulProcessor=RefreshTimers(schedule), outputStructType=DUE, outputMode="Update", timeMode="EventTime")
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    now = F.when(ok & F.col("keys").isNotNull(), F.array_join(F.array_sort(F.array_distinct("keys")), ",")).otherwise("")
+    rows = scans.withWatermark("observed_at", late).select("account_id", "observed_at", "scan_id", F.unix_timestamp("observed_at").alias("at"), now.alias("now"), ok.alias("ok"))
+    return rows.groupBy("account_id").transformWithState(statefulProcessor=RefreshTimers(schedule), outputStructType=DUE, outputMode="Update", timeMode="EventTime")
 
 
 @contextmanager
