@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Conflict(RuntimeError):
@@ -222,11 +223,16 @@ def add_run(content: dict, table: str, path: str, level: int = 0) -> dict:
     return content | {"tables": content.get("tables", {}) | {table: runs}}
 
 
+def nothing(spark: SparkSession, fields: str) -> DataFrame:
+    """No rows of a schema, known as such to the optimizer."""
+    return spark.range(1).limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(fields).fields])
+
+
 def _newest(spark: SparkSession, root: str, runs: list[dict], schema: str, keys: list[str], only=None) -> DataFrame:
     """The newest row of each key in some runs, with the version it was written for."""
     fields = f"{schema}, {NEWEST} long"
     if not runs:
-        return spark.createDataFrame([], fields)
+        return nothing(spark, fields)
     rows = spark.read.schema(fields).parquet(*(f"{root}/{r['path']}" for r in runs))
     if isinstance(only, list):
         # of a longer list the reader would get the least and the greatest only

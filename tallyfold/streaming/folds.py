@@ -6,7 +6,9 @@ over the same rows; the tests compare the two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.history import login_history, ownership_history, shown_keys
@@ -26,83 +28,107 @@ def history_state(scans: DataFrame) -> DataFrame:
     return ownership_history(scans).select("account_id", "key", "first_seen_at", "last_seen_at", "present", "removed_at")
 
 
-def fold_history(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Pairs after a batch whose scans are all later than each account's last one.
+def _differs(values: dict[str, Column]) -> Column:
+    """Whether a row is new or one of its values isn't the held one; ``values``: held column by name."""
+    return ~reduce(Column.__and__, [F.col(name).eqNullSafe(held) for name, held in values.items()])
+
+
+def fold_history(state: DataFrame, batch: DataFrame, changed: bool = False) -> DataFrame:
+    """Pairs after a batch whose scans are all later than each account's last one, or only those it ``changed``.
 
     Pairs the batch doesn't show and that were present are removed at the account's
     first scan of the batch; pairs it shows take their end from the batch, their
     beginning from the state.
     """
+    values = ("first_seen_at", "last_seen_at", "present", "removed_at")
     first = batch.groupBy("account_id").agg(F.min("observed_at").alias("_first"))
-    new = history_state(batch).select("account_id", "key", *[F.col(c).alias(f"n_{c}") for c in ("first_seen_at", "last_seen_at", "present", "removed_at")])
-    rows = state.join(new, ["account_id", "key"], "full_outer").join(first, "account_id", "left")
-    seen, gone = F.col("n_first_seen_at").isNotNull(), F.col("present") & F.col("_first").isNotNull()
-    removed = F.when(seen, F.col("n_removed_at")).when(gone, F.col("_first")).otherwise(F.col("removed_at"))
-    return rows.select(
-        "account_id",
-        "key",
-        F.least("first_seen_at", "n_first_seen_at").alias("first_seen_at"),
-        F.greatest("last_seen_at", "n_last_seen_at").alias("last_seen_at"),
-        removed.isNull().alias("present"),
-        removed.alias("removed_at"),
+    new = history_state(batch).select("account_id", "key", *[F.col(c).alias(f"n_{c}") for c in values])
+    held = state.select("account_id", "key", *[F.col(c).alias(f"s_{c}") for c in values])
+    rows = held.join(new, ["account_id", "key"], "full_outer").join(first, "account_id", "left")
+    seen, gone = F.col("n_first_seen_at").isNotNull(), F.col("s_present") & F.col("_first").isNotNull()
+    removed = F.when(seen, F.col("n_removed_at")).when(gone, F.col("_first")).otherwise(F.col("s_removed_at"))
+    rows = rows.withColumns(
+        {
+            "first_seen_at": F.least("s_first_seen_at", "n_first_seen_at"),
+            "last_seen_at": F.greatest("s_last_seen_at", "n_last_seen_at"),
+            "present": removed.isNull(),
+            "removed_at": removed,
+        }
     )
+    if changed:
+        rows = rows.filter(_differs({c: F.col(f"s_{c}") for c in values}))
+    return rows.select("account_id", "key", *values)
 
 
-def fold_logins(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Logins after a batch of later good scans of the accounts in ``state``."""
-    new = login_history(batch.select("account_id", "login", "observed_at", F.col("scan_id").alias("tie")))
-    latest = new.filter("present").groupBy("account_id").agg(F.first(F.lower("login"), ignorenulls=True).alias("_latest"), F.lit(True).alias("_seen"))
-    new = new.select("account_id", "login", F.col("first_seen_at").alias("_first"), F.col("last_seen_at").alias("_last"))
-    same = (F.col("s.account_id") == F.col("n.account_id")) & F.col("s.login").eqNullSafe(F.col("n.login"))
-    rows = state.alias("s").join(new.alias("n"), same, "full_outer")
-    rows = rows.select(F.coalesce("s.account_id", "n.account_id").alias("account_id"), F.coalesce("s.login", "n.login").alias("login"), F.least("first_seen_at", "_first").alias("first_seen_at"), F.greatest("last_seen_at", "_last").alias("last_seen_at"), "present")
-    rows = rows.join(latest, "account_id", "left")
-    return rows.withColumn("present", F.when(F.col("_seen"), F.lower("login") == F.col("_latest")).otherwise(F.col("present"))).drop("_latest", "_seen")
+def fold_logins(state: DataFrame, batch: DataFrame, latest: DataFrame) -> DataFrame:
+    """Logins that a batch of later good scans adds or changes; ``state``: those of its accounts.
+
+    ``latest``: (account_id, latest), the login of each account's last good scan of the batch.
+    """
+    keys, values = ["account_id", "login"], ("first_seen_at", "last_seen_at", "present")
+    new = batch.groupBy(*keys).agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
+    held = state.select(*keys, "first_seen_at", "last_seen_at", *[F.col(c).alias(f"s_{c}") for c in values])
+    rows = new.unionByName(held, allowMissingColumns=True).repartition("account_id")
+    rows = rows.groupBy(*keys).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), *[F.max(f"s_{c}").alias(f"s_{c}") for c in values])
+    rows = rows.join(latest.withColumn("_seen", F.lit(True)), "account_id", "left")
+    rows = rows.withColumn("present", F.when(F.col("_seen"), F.lower("login") == F.lower("latest")).otherwise(F.col("s_present")))
+    return rows.filter(_differs({c: F.col(f"s_{c}") for c in values})).select(*keys, *values)
 
 
-def fold_accounts(state: DataFrame, batch: DataFrame, schedule: list[int]) -> DataFrame:
-    """ACCOUNTS of the batch's accounts after a batch of later scans; ``state``: theirs before.
+def account_batches(batch: DataFrame) -> DataFrame:
+    """Per account of a batch, what its scans do whatever was known before: one row.
 
-    The state's last scan stands before the batch's: a scan is compared with it, and the
-    runs of good scans between changes go on from its stage.
+    Its first and last scan, when it first shows keys, its last good scan, how many are good,
+    and its last change of keys after its first scan with the good scans up to it.
     """
-    empty, top = F.array().cast("array<long>"), max(len(schedule) - 1, 0)
-    now = batch.select("account_id", "observed_at", "scan_id", F.lit(False).alias("old"), (F.col("status") == "ok").alias("ok"), F.array_sort(F.array_distinct(shown_keys())).alias("shown"), "login", "node_id")
-    before = state.select("account_id", F.col("last_at").alias("observed_at"), F.col("last_scan").alias("scan_id"), F.lit(True).alias("old"), F.lit(False).alias("ok"), "shown", F.col("first_seen_at").isNotNull().alias("was_owner"))
-    rows = now.unionByName(before, allowMissingColumns=True)
     by_account = Window.partitionBy("account_id").orderBy("observed_at", "scan_id")
-    upto = by_account.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("before", F.lag("shown").over(by_account)).withColumn("owner", F.max((F.size("shown") > 0) | F.coalesce("was_owner", F.lit(False))).over(upto))
-    steps = F.col("ok") & F.col("owner")
-    changed = steps & ~F.coalesce("before", empty).eqNullSafe(F.col("shown"))
-    rows = rows.withColumn("change", F.sum(changed.cast("int")).over(upto)).withColumn("steps", steps)
-    order, fresh = F.struct("observed_at", "scan_id"), ~F.col("old")
-    runs = rows.groupBy("account_id", "change").agg(
-        F.max_by(F.struct("observed_at", "scan_id", "shown", "ok"), order).alias("newest"),
-        F.min(F.when(fresh & (F.size("shown") > 0), F.col("observed_at"))).alias("shows"),
+    rows = batch.select("account_id", "observed_at", "scan_id", (F.col("status") == "ok").alias("ok"), F.sort_array(F.array_distinct(shown_keys())).alias("shown"), "login", "node_id")
+    rows = rows.withColumns({"before": F.lag("shown").over(by_account), "oks": F.count(F.when(F.col("ok"), 1)).over(by_account.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    scan, changed = F.struct("observed_at", "scan_id", "shown", "ok"), F.col("ok") & (F.col("before") != F.col("shown"))
+    return rows.groupBy("account_id").agg(
+        F.min(scan).alias("oldest"),
+        F.max(scan).alias("newest"),
+        F.min(F.when(F.size("shown") > 0, F.col("observed_at"))).alias("shows"),
         F.max(F.when(F.col("ok"), F.struct("observed_at", "scan_id", "login", "node_id"))).alias("good"),
-        F.count_if("steps").alias("n"),
-        F.min(F.when(F.col("steps"), F.col("observed_at"))).alias("from_at"),
-        F.max(F.when(F.col("steps"), F.col("observed_at"))).alias("to_at"),
+        F.count_if("ok").alias("n_ok"),
+        F.max(F.when(changed, F.struct("observed_at", "scan_id", "oks"))).alias("change"),
     )
-    per = runs.groupBy("account_id").agg(F.max("newest").alias("newest"), F.min("shows").alias("shows"), F.max("good").alias("good"), F.max_by(F.struct("change", "n", "from_at", "to_at"), "change").alias("run"))
-    kept = state.select("account_id", *[F.col(c).alias(f"s_{c}") for c in ("first_seen_at", "last_seen_at", "login", "node_id", "stage", "last_changed_at", "last_scan_at")])
-    out = per.join(kept, "account_id", "left")
-    goes_on, moved = F.col("run.change") == 0, F.col("run.n") > 0
-    stage = F.when(goes_on, F.col("s_stage") + F.col("run.n")).otherwise(F.col("run.n") - 1)
-    return out.select(
+
+
+def with_known(batches: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of ``account_batches`` beside the accounts' rows of ``state``, whose columns begin with s_."""
+    return batches.join(state.select("account_id", *[F.col(c).alias(f"s_{c}") for c in state.columns if c != "account_id"]), "account_id", "left")
+
+
+def fold_accounts(met: DataFrame, schedule: list[int]) -> DataFrame:
+    """ACCOUNTS after a batch of later scans, from rows of ``with_known``.
+
+    The first scan of the batch is compared with the last one known; without any change the
+    run of good scans goes on from the known stage, if the account ever showed a key.
+    """
+    empty, top = F.array().cast("array<long>"), max(len(schedule) - 1, 0)
+    at_first = F.col("oldest.ok") & (F.coalesce("s_shown", empty) != F.col("oldest.shown"))
+    later = F.col("change").isNotNull()
+    changed = later | F.coalesce(at_first, F.lit(False))
+    moved = changed | F.col("s_first_seen_at").isNotNull() & (F.col("n_ok") > 0)
+    # good scans since the last change, itself left out; a change is a good scan
+    since = F.col("n_ok") - F.when(later, F.col("change.oks")).otherwise(F.lit(1))
+    stage = F.when(changed, since).when(moved, F.col("s_stage") + F.col("n_ok")).otherwise(F.col("s_stage"))
+    has_good = F.col("good").isNotNull()
+    return met.select(
         "account_id",
         F.col("newest.observed_at").alias("last_at"),
         F.col("newest.scan_id").alias("last_scan"),
         F.col("newest.shown").alias("shown"),
         F.coalesce("s_first_seen_at", "shows").alias("first_seen_at"),
         F.coalesce("good.observed_at", "s_last_seen_at").alias("last_seen_at"),
-        F.when(F.col("good").isNotNull(), F.col("good.login")).otherwise(F.col("s_login")).alias("login"),
-        F.when(F.col("good").isNotNull(), F.col("good.node_id")).otherwise(F.col("s_node_id")).alias("node_id"),
+        F.when(has_good, F.col("good.login")).otherwise(F.col("s_login")).alias("login"),
+        F.when(has_good, F.col("good.node_id")).otherwise(F.col("s_node_id")).alias("node_id"),
         (~F.col("newest.ok")).alias("inaccessible"),
-        F.least(stage, F.lit(top)).cast("int").alias("stage"),
-        F.when(goes_on, F.col("s_last_changed_at")).otherwise(F.col("run.from_at")).alias("last_changed_at"),
-        F.when(moved, F.col("run.to_at")).otherwise(F.col("s_last_scan_at")).alias("last_scan_at"),
+        # least() would pass over the null of an account that never showed a key
+        F.when(stage > top, F.lit(top)).otherwise(stage).cast("int").alias("stage"),
+        F.when(later, F.col("change.observed_at")).when(changed, F.col("oldest.observed_at")).otherwise(F.col("s_last_changed_at")).alias("last_changed_at"),
+        F.when(moved, F.col("good.observed_at")).otherwise(F.col("s_last_scan_at")).alias("last_scan_at"),
     )
 
 
@@ -127,51 +153,55 @@ def stream_history(scans: DataFrame, root: str, checkpoint: str, schedule: list[
         version, content = ledger.read_commit(spark, root)
         if content.get("batches", {}).get(writer, -1) >= batch_id:
             return
-        fresh = batch.select(*log_schema.names).dropDuplicates(log_keys).persist()
-        some = [r[0] for r in fresh.select("account_id").distinct().limit(ledger.FEW_KEYS + 1).collect()]
-        held = some if len(some) <= ledger.FEW_KEYS else fresh.select("account_id").distinct()
+        # one shuffle: what follows is by account
+        fresh = batch.select(*log_schema.names).repartition("account_id").persist()
+        held_rows = [fresh]
+        if (fresh.groupBy(*log_keys).count().agg(F.max("count")).first()[0] or 0) > 1:
+            fresh = fresh.dropDuplicates(log_keys).persist()
+            held_rows.append(fresh)
+        batches = account_batches(fresh).persist()
+        some = [r[0] for r in batches.select("account_id").limit(ledger.FEW_KEYS + 1).collect()]
+        held = some if len(some) <= ledger.FEW_KEYS else batches.select("account_id")
 
         def state(name: str, only) -> DataFrame:
             return ledger.read_runs(spark, root, content, name, *KEYS[name], only)
 
-        accounts = state("accounts", held).persist()
-        first = fresh.groupBy("account_id").agg(F.min(F.struct("observed_at", "scan_id")).alias("_first"))
-        late = first.join(accounts.select("account_id", F.struct(F.col("last_at").alias("observed_at"), F.col("last_scan").alias("scan_id")).alias("_last")), "account_id").filter("_first <= _last").select("account_id").persist()
-        on_time, old_accounts, again = fresh, accounts, None
-        if not late.isEmpty():
-            few = [r[0] for r in late.limit(ledger.FEW_KEYS + 1).collect()]
-            log = ledger.read_runs(spark, root, content, "log", log_fields, log_keys, few if len(few) <= ledger.FEW_KEYS else late)
+        met = with_known(batches, state("accounts", held)).withColumn("_late", F.struct("oldest.observed_at", "oldest.scan_id") <= F.struct("s_last_at", "s_last_scan")).persist()
+        held_rows += [batches, met]
+        late, on_time, again, fresh_log = met.filter("_late").select("account_id"), fresh, None, fresh
+        if n_late := met.agg(F.count_if("_late")).first()[0]:
+            log = ledger.read_runs(spark, root, content, "log", log_fields, log_keys, [r[0] for r in late.collect()] if n_late <= ledger.FEW_KEYS else late)
             new = fresh.join(late, "account_id", "left_semi").join(log.select(*log_keys), log_keys, "left_anti").select(*fresh.columns)
-            on_time, old_accounts = fresh.join(late, "account_id", "left_anti"), accounts.join(late, "account_id", "left_anti")
+            on_time = fresh.join(late, "account_id", "left_anti")
             again = log.join(new.select("account_id").distinct(), "account_id", "left_semi").unionByName(new).persist()
+            held_rows.append(again)
             fresh_log = on_time.unionByName(new)
-        else:
-            fresh_log = fresh
-        none = spark.createDataFrame([], ACCOUNTS)
+        met = met.filter(~F.coalesce("_late", F.lit(False)))
+
+        def before(name: str) -> DataFrame:
+            rows = state(name, held)
+            return rows if again is None else rows.join(late, "account_id", "left_anti")
 
         def pairs() -> DataFrame:
-            before = state("pairs", held)
-            before = before if again is None else before.join(late, "account_id", "left_anti")
-            rows = fold_history(before, on_time)
-            return rows.exceptAll(before) if again is None else rows.exceptAll(before).unionByName(history_state(again))
+            rows = fold_history(before("pairs"), on_time, changed=True)
+            return rows if again is None else rows.unionByName(history_state(again))
 
         def logins() -> DataFrame:
-            good = on_time.filter("status = 'ok'")
-            before = state("logins", held)
-            before = before if again is None else before.join(late, "account_id", "left_anti")
-            rows = fold_logins(before, good).exceptAll(before)
+            latest = met.filter("good is not null").select("account_id", F.col("good.login").alias("latest"))
+            rows = fold_logins(before("logins"), on_time.filter("status = 'ok'"), latest)
             return rows if again is None else rows.unionByName(login_history(again.filter("status = 'ok'").select("account_id", "login", "observed_at", F.col("scan_id").alias("tie"))))
 
-        known = fold_accounts(old_accounts, on_time, schedule)
-        new_rows = {"log": fresh_log, "accounts": known if again is None else known.unionByName(fold_accounts(none, again, schedule))}
+        known = fold_accounts(met, schedule)
+        if again is not None:
+            known = known.unionByName(fold_accounts(with_known(account_batches(again), ledger.nothing(spark, ACCOUNTS)), schedule))
+        new_rows = {"log": fresh_log, "accounts": known}
         new_rows |= {name: {"pairs": pairs, "logins": logins}[name]() for name in tables}
         after = content | {"batches": content.get("batches", {}) | {writer: batch_id}}
         for name, rows in new_rows.items():
             after = ledger.add_run(after, name, ledger.write_run(rows, root, name, version + 1, "account_id"))
         ledger.commit(spark, root, version + 1, after)
-        for rows in (fresh, accounts, late, again):
-            if rows is not None:
-                rows.unpersist()
+        for rows in held_rows:
+            rows.unpersist()
         ledger.compact(spark, root, {"log": (log_fields, log_keys), "accounts": KEYS["accounts"]} | {name: KEYS[name] for name in tables})
 
     return scans.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -412,7 +442,7 @@ def read_keyed(spark: SparkSession, root: str, table: str, fields: str) -> DataF
     if table == "state":
         return ledger.read_runs(spark, root, content, table, fields, names[:1])
     runs = content.get("tables", {}).get(table, [])
-    return spark.read.schema(fields).parquet(*(f"{root}/{r['path']}" for r in runs)) if runs else spark.createDataFrame([], fields)
+    return spark.read.schema(fields).parquet(*(f"{root}/{r['path']}" for r in runs)) if runs else ledger.nothing(spark, fields)
 
 
 def stream_quota(log: DataFrame, root: str, checkpoint: str, limit: int = 120, seconds: int = 60):

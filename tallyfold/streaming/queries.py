@@ -28,7 +28,7 @@ class Replay:
         place = F.floor((F.unix_timestamp(order) - (low or 0)) * slices / ((high or 0) - (low or 0) + 1))
         salt = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))
         df.withColumn("_slice", place).repartition("_slice", salt).write.partitionBy("_slice").parquet(self.staged)
-        spark.createDataFrame([], df.schema).write.parquet(self.path)
+        df.limit(0).write.parquet(self.path)
 
     def stream(self) -> DataFrame:
         return self.spark.readStream.schema(self.schema).parquet(self.path)

@@ -89,6 +89,49 @@ def test_committed_batch_runs_again(spark, tmp_path):
     check(spark, root, scans)
 
 
+def shuffled(spark) -> int:
+    """Records written to shuffles by all stages so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_batch_shuffles_its_scans_once(spark, tmp_path):
+    """Scans move once in a batch, by account; all else that moves is a row an account or login."""
+    accounts, days = 300, 20
+    rows = lambda start: [(a, START + timedelta(days=d), f"{a}-{d}", "ok", [a, d % 3], f"u{a}", "U") for a in range(accounts) for d in range(start, start + days)]
+    root, _ = run(spark, [], tmp_path)
+    moved = []
+    for batch in (rows(0), rows(days)):
+        before = shuffled(spark)
+        spark.createDataFrame(batch, SCANS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        folds.stream_history(spark.readStream.schema(SCANS).parquet(f"{tmp_path}/in"), root, f"{tmp_path}/state", REFRESH, ("logins",)).awaitTermination()
+        moved.append(shuffled(spark) - before)
+    assert accounts * days <= min(moved) <= max(moved) < 2 * accounts * days, moved
+    got = folds.read_history(spark, root, "logins").agg(F.count("*"), F.min("first_seen_at"), F.max("last_seen_at"), F.bool_and("present")).first()
+    assert tuple(got) == (accounts, START, START + timedelta(days=2 * days - 1), True)
+
+
+def test_no_ladder_without_a_key(spark, tmp_path):
+    """Accounts that never showed a key have no step of the ladder, in the first batch or later; a first key later starts it."""
+    day = lambda n: START + timedelta(days=n)
+    scan = lambda a, n, keys, status="ok", login="x": (a, day(n), f"{a}-{n:02d}", status, keys, login, "U")
+    first = [scan(1, 0, []), scan(1, 1, None), scan(2, 0, [], "inaccessible"), scan(3, 0, []), scan(4, 0, [7]), scan(4, 1, [7]), scan(5, 0, [1])]
+    second = [scan(1, 3, []), scan(2, 3, []), scan(3, 3, []), scan(3, 4, [9]), scan(3, 5, [9]), scan(4, 3, [7]), scan(5, 3, [1], "inaccessible"), scan(5, 4, [1])]
+    root, _ = run(spark, [first, second], tmp_path)
+    assert {r["account_id"] for r in folds.read_history(spark, root, "ladder", REFRESH).collect()} == {3, 4, 5}
+    check(spark, root, first + second)
+
+
+def test_null_logins(spark, tmp_path):
+    """A null login is one of its own; after it no login is known to be present, as in the batch form."""
+    scan = lambda a, n, login: (a, START + timedelta(days=n), f"{a}-{n}", "ok", [1], login, "U")
+    batches = [[scan(1, 0, "ann"), scan(2, 0, None), scan(3, 0, "Bob")], [scan(1, 1, None), scan(2, 1, "x"), scan(3, 1, "bob")], [scan(1, 2, "ANN")]]
+    for upto in (2, 3):
+        root, _ = run(spark, batches[:upto], f"{tmp_path}/{upto}")
+        check(spark, root, [s for b in batches[:upto] for s in b])
+
+
 def test_batches_cost_level(spark, tmp_path):
     """Ten equal batches on a large history: what each reads and writes stays level."""
     accounts = 20_000
